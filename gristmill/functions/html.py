@@ -5,15 +5,21 @@ tags, pages without a body) go through one Arrow UDF on the standard-library par
 other rows the UDF input is NULL, so their text never leaves the JVM.
 """
 
+import sys
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gristmill import fixed_values as fv
-from gristmill.functions.text import clean_text, first_truthy
+from gristmill.functions.text import clean_text
+
+# Tasks get this module's functions by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _COMMENT = r"(?s)<!--.*?-->"
 _SILENT = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
@@ -79,7 +85,7 @@ def _words(parts):
     return " ".join(" ".join(parts).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _text_by_parser(values: pd.Series) -> pd.Series:
     def convert(value):
         if value is None:
@@ -110,7 +116,7 @@ def _description_regions(tag, attrs):
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _longest_region_by_parser(values: pd.Series) -> pd.Series:
     def convert(value):
         if value is None:
@@ -122,12 +128,24 @@ def _longest_region_by_parser(values: pd.Series) -> pd.Series:
     return values.map(convert, na_action="ignore")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _some(value: Column) -> Column:
+    return _let(value, lambda v: F.when(v != "", v))
+
+
 def unescape_common(text: Column) -> Column:
     """One level of the common entities."""
-    plain = text
-    for entity, char in fv.NATIVE_ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    def plain(value: Column) -> Column:
+        out = value
+        for entity, char in fv.NATIVE_ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(F.contains(value, F.lit("&")), out).otherwise(value)
+
+    return _let(text, plain)
 
 
 def strip_tags(markup: Column) -> Column:
@@ -137,14 +155,28 @@ def strip_tags(markup: Column) -> Column:
     return F.regexp_replace(text, _TAG, " ")
 
 
-def html_to_text(value: Column) -> Column:
-    """Unescape, strip tags if any, collapse whitespace; NULL gives ''."""
-    once = unescape_common(value)
-    tagged = F.contains(once, F.lit("<")) & F.contains(once, F.lit(">"))
-    bare = strip_tags(once)
-    hard = once.rlike(_RARE_ENTITY) | (tagged & bare.rlike(_LEFT_OVER_TAG))
-    native = F.when(tagged, clean_text(unescape_common(bare))).otherwise(clean_text(once))
-    return F.when(hard, _text_by_parser(F.when(hard, value))).otherwise(native)
+def _native_text(value: Column) -> Column:
+    """Struct of the text by built-in functions and whether they cannot be trusted with it."""
+    def settled(once: Column) -> Column:
+        tagged = F.contains(once, F.lit("<")) & F.contains(once, F.lit(">"))
+        return _let(F.when(tagged, strip_tags(once)), lambda bare: F.struct(
+            F.coalesce(once.rlike(_RARE_ENTITY) | bare.rlike(_LEFT_OVER_TAG), once.rlike(_RARE_ENTITY), F.lit(False)).alias("hard"),
+            clean_text(F.coalesce(unescape_common(bare), once)).alias("text")))
+
+    return _let(unescape_common(value), settled)
+
+
+def _settle(rows: DataFrame, out: str, value: Column, native: Column, parser) -> DataFrame:
+    """Adds the native text, or the parser's where it is needed. The parser sees NULL for other rows."""
+    staged = rows.withColumns({"_value": value, "_native": native})
+    hard = F.col("_native.hard")
+    parsed = parser(F.when(hard, F.col("_value")))
+    return staged.withColumn(out, F.when(hard, parsed).otherwise(F.col("_native.text"))).drop("_value", "_native")
+
+
+def with_text(rows: DataFrame, out: str, value: Column) -> DataFrame:
+    """Adds the text of an HTML value: unescape, strip tags if any, collapse blanks; NULL gives ''."""
+    return _settle(rows, out, value, _native_text(value), _text_by_parser)
 
 
 def _drop_regions(html: Column) -> Column:
@@ -152,32 +184,30 @@ def _drop_regions(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer|header)\b[^>]*>.*?</\1\s*>", " ")
 
 
-def _body(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
+def _native_description(html: Column) -> Column:
+    def settled(kept: Column) -> Column:
+        body = F.regexp_extract(kept, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
+        return _let(strip_tags(body), lambda bare: F.struct(
+            (~kept.rlike(r"(?i)<body\b") | kept.rlike(r"(?i)</?(?:script|style|noscript|nav|footer|header)\b")
+             | bare.rlike(_LEFT_OVER_TAG) | bare.rlike(_UNCOMMON_ENTITY)).alias("hard"),
+            clean_text(unescape_common(bare)).alias("text")))
 
+    return _let(_drop_regions(html), settled)
 
-def generic_description(html: Column) -> Column:
-    """The longest text among the description regions. A body contains all the others, so its
-    text is the answer whenever there is one; only pages without a clean body are parsed."""
-    kept = _drop_regions(html)
-    bare = strip_tags(_body(kept))
-    hard = (
-        ~kept.rlike(r"(?i)<body\b")
-        | kept.rlike(r"(?i)</?(?:script|style|noscript|nav|footer|header)\b")
-        | bare.rlike(_LEFT_OVER_TAG)
-        | bare.rlike(_UNCOMMON_ENTITY)
-    )
-    native = clean_text(unescape_common(bare))
-    return F.when(hard, _longest_region_by_parser(F.when(hard, html))).otherwise(native)
+
+def with_generic_description(rows: DataFrame, out: str, html: Column) -> DataFrame:
+    """Adds the longest text among the description regions, NULL for no page. A body contains all
+    the others, so its text is the answer whenever there is one; only pages without a clean body are
+    parsed."""
+    return _settle(rows, out, html, F.when(html.isNotNull(), _native_description(html)), _longest_region_by_parser)
 
 
 def _meta(html: Column, attribute: str, name: str) -> Column:
-    """Content of the first meta tag with attribute=name, in either attribute order."""
-    tag = F.regexp_extract(
-        html, rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']?{name}["'\s/>][^>]*>?""", 0)
-    quoted = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
-    single = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
-    return unescape_common(first_truthy(quoted, single, default=""))
+    """Content of the first meta tag with attribute=name, in either attribute order; NULL without one."""
+    content = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    tag = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']?{name}["'\s/>][^>]*>?""", 0)
+    return _let(tag, lambda t: F.when(t != "", unescape_common(F.concat(
+        F.regexp_extract(t, content, 1), F.regexp_extract(t, content, 2)))))
 
 
 def _element(html: Column, tag: str) -> Column:
@@ -186,20 +216,19 @@ def _element(html: Column, tag: str) -> Column:
 
 
 def _meta_title(html: Column) -> Column:
-    return F.when(
-        html.rlike(r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']?og:title["'\s/>]"""), _meta(html, "property", "og:title")
-    ).otherwise(_meta(html, "name", "twitter:title"))
+    """og:title if there is such a tag, even an empty one; else twitter:title."""
+    return F.coalesce(_meta(html, "property", "og:title"), _meta(html, "name", "twitter:title"))
 
 
 def page_title(html: Column) -> Column:
     """Og:title, twitter:title, then <title>; '' when none."""
-    return first_truthy(clean_text(_meta_title(html)), _element(html, "title"), default="")
+    return F.coalesce(_some(clean_text(_meta_title(html))), _element(html, "title"))
 
 
 def generic_title(html: Column) -> Column:
     """Og:title, twitter:title, first h1 outside dropped regions, <title>, Unknown."""
-    kept = _drop_regions(html)
-    return first_truthy(_meta_title(kept), _element(kept, "h1"), _element(kept, "title"), default="Unknown")
+    return _let(_drop_regions(html), lambda kept: F.coalesce(
+        _some(_meta_title(kept)), _some(_element(kept, "h1")), _some(_element(kept, "title")), F.lit("Unknown")))
 
 
 def site_name(html: Column) -> Column:

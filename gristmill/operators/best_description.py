@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill import fixed_values as fv
 from gristmill.functions import html as H
 from gristmill.functions import variants as V
-from gristmill.functions.html import html_to_text
+from gristmill.functions.html import with_text
 from gristmill.functions.postings import json_ld_company, json_ld_items, json_ld_location, posting
 from gristmill.functions.responses import extracted_posting
 from gristmill.functions.text import first_truthy, strip_blank
@@ -19,25 +19,24 @@ from gristmill.functions.urls import embedded_board_url
 from gristmill.sources import details as D
 
 
-def json_ld_postings(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(url, posting) from the first JobPosting with a long enough description. Only pages with
-    such items produce rows to group."""
-    items = pages.select(F.col(url).alias("url"), F.posexplode(json_ld_items(F.col(html))).alias("pos", "item"))
+def json_ld_postings(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
+    """(keys, posting) from the first JobPosting with a long enough description; the first key is
+    the url. Only pages with such items produce rows to group."""
+    items = pages.select(*keys, F.posexplode(json_ld_items(F.col(html))).alias("pos", "item"))
     item = F.col("item")
-    described = items.withColumn("description", html_to_text(
-        first_truthy(V.get(item, "$.description"), V.get(item, "$.jobDescription"), default=""))).filter(
+    described = with_text(items, "description", first_truthy(
+        V.get(item, "$.description"), V.get(item, "$.jobDescription"), default="")).filter(
         F.length("description") >= fv.MIN_DESCRIPTION)
-    made = described.select("url", "pos", posting(
-        first_truthy(V.get(item, "$.title"), V.get(item, "$.name")), json_ld_company(item), F.col("url"),
+    made = described.select(*keys, "pos", posting(
+        first_truthy(V.get(item, "$.title"), V.get(item, "$.name")), json_ld_company(item), F.col(keys[0]),
         F.col("description"), "json-ld", json_ld_location(item)).alias("posting"))
-    return made.groupBy("url").agg(F.min_by("posting", "pos").alias("posting"))
+    return made.groupBy(*keys).agg(F.min_by("posting", "pos").alias("posting"))
 
 
 def with_generic_posting(pages: DataFrame, html: str, out: str) -> DataFrame:
-    """Adds the generic posting of a page, NULL when its longest region is too short. The text is
-    a column of its own, so that it is extracted once."""
+    """Adds the generic posting of a page, NULL when its longest region is too short."""
     page = F.col(html)
-    described = pages.withColumn("_text", F.when(page.isNotNull(), H.generic_description(page)))
+    described = H.with_generic_description(pages, "_text", page)
     made = posting(H.generic_title(page), H.site_name(page), F.col("url"), F.col("_text"), "generic", F.lit("Unknown"))
     return described.withColumn(out, F.when(F.length("_text") >= fv.MIN_DESCRIPTION, made)).drop("_text")
 
@@ -60,27 +59,37 @@ def _length(p: Column) -> Column:
     return F.coalesce(F.length(p["description"]), F.lit(-1))
 
 
-def _with_html_posting(pages: DataFrame, html: str, iframe: str, out: str) -> DataFrame:
-    """JSON-LD, then the iframe's JSON-LD, the iframe's generic text, then the page's generic text."""
-    def attach(frame: DataFrame, column: str, name: str) -> DataFrame:
-        found = json_ld_postings(frame, column).select(F.col("url").alias("found_url"), F.col("posting").alias(name))
-        return frame.join(found, F.col("url") == F.col("found_url"), "left").drop("found_url")
+def _picked(slot: int, value: str = "posting", extra: Column | None = None) -> Column:
+    here = F.col("slot") == slot
+    return F.any_value(F.when(here if extra is None else here & extra, F.col(value)), True)
 
-    rows = attach(attach(pages, html, "_ld"), iframe, "_frame_ld")
-    unsettled = F.col("_ld").isNull() & F.col("_frame_ld").isNull()
-    rows = with_generic_posting(rows.withColumn("_frame_html", F.when(unsettled, F.col(iframe))), "_frame_html", "_frame")
-    unsettled = unsettled & F.col("_frame").isNull()
-    rows = with_generic_posting(rows.withColumn("_own_html", F.when(unsettled, F.col(html))), "_own_html", "_generic")
-    return rows.withColumn(out, F.coalesce("_ld", "_frame_ld", "_frame", "_generic")).drop(
-        "_ld", "_frame_ld", "_frame", "_generic", "_frame_html", "_own_html")
 
+def _board_lookups(pages: DataFrame, details: DataFrame, boards: DataFrame) -> DataFrame:
+    """Per url the board posting of the url itself, of the board link in its page and of the
+    one in its rendered page, each under the page's own url. All links are looked up together."""
+    links = pages.select("url", F.posexplode(F.array(
+        F.col("url"), embedded_board_url(F.col("html")), embedded_board_url(F.col("rendered_html")))).alias("slot", "link")) \
+        .filter(F.col("link").isNotNull())
+    found = D.board_postings(links, details, boards, url="link").select(F.col("url").alias("link"), "posting")
+    own = links.join(found, "link").withColumn("posting", F.col("posting").withField("url", F.col("url")))
+    return own.groupBy("url").agg(_picked(0).alias("_api"), _picked(1).alias("_embedded"), _picked(2).alias("_rendered_api"))
 
-def _with_board(pages: DataFrame, details: DataFrame, boards: DataFrame, lookup: str, out: str) -> DataFrame:
-    """Joins the board posting of the url in column `lookup`, keeping the row's own url."""
-    wanted = pages.filter(F.col(lookup).isNotNull()).select(F.col(lookup).alias("url"))
-    found = D.board_postings(wanted, details, boards).select(F.col("url").alias("found_url"), F.col("posting").alias(out))
-    joined = pages.join(found, F.col(lookup) == F.col("found_url"), "left").drop("found_url")
-    return joined.withColumn(out, F.when(F.col(out).isNotNull(), F.col(out).withField("url", F.col("url"))))
+
+def _page_postings(pages: DataFrame) -> DataFrame:
+    """Per url what the page and the rendered page give: JSON-LD, then the iframe's JSON-LD, the iframe's
+    generic text, and the page's generic text. The four documents of a url are read as four rows, so
+    whole pages are never shuffled; only postings are."""
+    slots = pages.select("url", F.posexplode(F.array("html", "iframe_html", "rendered_html", "rendered_iframe_html"))
+                         .alias("slot", "html")).filter(F.col("html").isNotNull())
+    structured = json_ld_postings(slots, "url", "slot").withColumn("generic", F.lit(False))
+    generic = with_generic_posting(slots, "html", "posting").filter(F.col("posting").isNotNull()).select(
+        "url", "slot", "posting", F.lit(True).alias("generic"))
+    loose, strict = F.col("generic"), ~F.col("generic")
+
+    def ladder(page: int, frame: int) -> Column:
+        return F.coalesce(_picked(page, extra=strict), _picked(frame, extra=strict), _picked(frame, extra=loose), _picked(page, extra=loose))
+
+    return structured.unionByName(generic).groupBy("url").agg(ladder(0, 1).alias("_page"), ladder(2, 3).alias("_rendered"))
 
 
 def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, responses: DataFrame | None = None) -> DataFrame:
@@ -88,39 +97,27 @@ def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, r
 
     Order: board record, careers record, embedded board (own url kept), page text if full, the longer
     of page and rendered page and rendered text, extraction response, whatever remains.
-    `responses` has url, text.
+    `responses` has url, text. Land a rung's document only for urls the earlier rungs left open, as a
+    fetcher would; NULL documents cost nothing here.
     """
-    rows = _with_board(pages.withColumn("_own", F.col("url")), details, boards, "_own", "_api")
-    found = D.careers(D.requested(pages), details).select(F.col("url").alias("found_url"), F.col("posting").alias("_careers"))
-    rows = rows.join(found, F.col("url") == F.col("found_url"), "left").drop("found_url")
-    open_ = F.col("_api").isNull() & F.col("_careers").isNull()
-    rows = rows.withColumn("_embedded_url", F.when(open_, embedded_board_url(F.col("html"))))
-    rows = _with_board(rows, details, boards, "_embedded_url", "_embedded")
-    rows = rows.withColumn("_settled", F.coalesce("_api", "_careers", "_embedded")).drop(
-        "_own", "_api", "_careers", "_embedded", "_embedded_url")
-    # Settled rows carry NULL pages on, so no later rung does work for them.
-    for column in ("html", "iframe_html"):
-        rows = rows.withColumn(column, F.when(F.col("_settled").isNull(), F.col(column)))
-    rows = _with_html_posting(rows, "html", "iframe_html", "_page")
-    full = _length(F.col("_page")) >= fv.FULL_DESCRIPTION
-    rows = rows.withColumn("_settled", F.coalesce("_settled", F.when(full, F.col("_page"))))
-    for column in ("rendered_html", "rendered_iframe_html", "rendered_text"):
-        rows = rows.withColumn(column, F.when(F.col("_settled").isNull(), F.col(column)))
-    rows = _with_html_posting(rows, "rendered_html", "rendered_iframe_html", "_rendered")
+    keyed = pages.select("url", "rendered_text", F.col("rendered_html").isNotNull().alias("_is_rendered"))
+    rows = keyed.join(_board_lookups(pages, details, boards), "url", "left") \
+        .join(D.careers(D.requested(pages), details).withColumnRenamed("posting", "_careers"), "url", "left") \
+        .join(_page_postings(pages), "url", "left")
+    page, api = F.col("_page"), F.col("_rendered_api")
+    settled = F.coalesce("_api", "_careers", "_embedded", F.when(_length(page) >= fv.FULL_DESCRIPTION, page))
     short = F.col("_rendered").isNotNull() & (_length(F.col("_rendered")) < fv.FULL_DESCRIPTION)
-    rows = rows.withColumn("_lookup", F.when(short, embedded_board_url(F.col("rendered_html"))))
-    rows = _with_board(rows, details, boards, "_lookup", "_rendered_api")
-    rendered = F.coalesce("_rendered_api", "_rendered")
-    page, text = F.col("_page"), text_posting(F.col("rendered_text"), F.col("url"))
-    chosen = F.when(F.col("rendered_html").isNotNull(), better(better(page, rendered), text)).otherwise(page)
-    rows = rows.withColumn("_chosen", chosen)
-    extracted = None
+    rows = rows.withColumns({
+        "_settled": settled, "_rendered": F.coalesce(F.when(short, api), F.col("_rendered")),
+        "_text": text_posting(F.col("rendered_text"), F.col("url"))})
+    rows = rows.withColumn("_longer", better(page, F.col("_rendered")))
+    rows = rows.withColumn("_chosen", F.when(F.col("_is_rendered"), better(F.col("_longer"), F.col("_text"))).otherwise(page))
     if responses is not None:
-        texts = responses.select(F.col("url").alias("r_url"), F.col("text").alias("_response"))
-        rows = rows.join(texts, F.col("url") == F.col("r_url"), "left")
-        extracted = F.when(F.coalesce(F.col("rendered_text") != "", F.lit(False)),
-                           extracted_posting(F.col("_response"), F.col("url")))
-    long_enough = _length(F.col("_chosen")) >= fv.MIN_DESCRIPTION
-    best = F.coalesce("_settled", F.when(long_enough, F.col("_chosen")), extracted, "_chosen") if responses is not None \
-        else F.coalesce("_settled", "_chosen")
+        answers = responses.select("url", extracted_posting(F.col("text"), F.col("url")).alias("_extracted"))
+        rows = rows.join(answers, "url", "left")
+    else:
+        rows = rows.withColumn("_extracted", F.lit(None).cast(rows.schema["_chosen"].dataType))
+    enough = _length(F.col("_chosen")) >= fv.MIN_DESCRIPTION
+    asked = F.coalesce(F.col("rendered_text") != "", F.lit(False))
+    best = F.coalesce("_settled", F.when(enough, F.col("_chosen")), F.when(asked, F.col("_extracted")), "_chosen")
     return rows.select(best.alias("p")).filter("p is not null").select("p.*")

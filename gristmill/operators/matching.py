@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import fixed_values as fv
+from gristmill.functions.text import strip_blank
 
 
 def match_count(tags: Column, keywords: Column) -> Column:
@@ -54,21 +55,29 @@ def tag_scores(rows: DataFrame) -> DataFrame:
 
 def select_experiences(items: Column, keywords: Column, minimum: int = fv.MIN_EXPERIENCES) -> Column:
     """Every high-priority item with all bullets; then the others, best tag match first, until
-    there are three, with three bullets if any tag matched and two if none did."""
+    there are three, with three bullets if any tag matched and two if none did. The cut is given as
+    `max_bullets` (NULL: all) and made by cut_bullets, after a possible reordering."""
     kw = selection_keywords(keywords)
     high = F.filter(items, lambda e: F.coalesce(e["priority"] == "high", F.lit(False)))
     rest = _by_score(F.filter(items, lambda e: F.coalesce(e["priority"] != "high", F.lit(True))),
                      lambda e: match_count(e["tags"], kw))
 
-    def shown(e: Column, bullets: Column) -> Column:
+    def shown(e: Column, max_bullets: Column) -> Column:
         return F.struct(e["company"].alias("company"), e["role"].alias("role"), e["period"].alias("period"),
-                        F.transform(bullets, lambda b: b["text"]).alias("bullets"))
+                        F.transform(e["bullets"], lambda b: b["text"]).alias("bullets"),
+                        max_bullets.cast("int").alias("max_bullets"))
 
     chosen = F.slice(rest, F.lit(1), F.greatest(F.lit(minimum) - F.size(high), F.lit(0)))
     return F.concat(
-        F.transform(high, lambda e: shown(e, e["bullets"])),
-        F.transform(chosen, lambda s: shown(s["item"], F.slice(
-            s["item"]["bullets"], F.lit(1), F.when(s["order"] < 0, 3).otherwise(2)))))
+        F.transform(high, lambda e: shown(e, F.lit(None))),
+        F.transform(chosen, lambda s: shown(s["item"], F.when(s["order"] < 0, 3).otherwise(2))))
+
+
+def cut_bullets(experiences: Column) -> Column:
+    """The selected experiences with their bullets cut to max_bullets."""
+    return F.transform(experiences, lambda e: F.struct(
+        e["company"].alias("company"), e["role"].alias("role"), e["period"].alias("period"),
+        F.slice(e["bullets"], F.lit(1), F.coalesce(e["max_bullets"], F.size(e["bullets"]))).alias("bullets")))
 
 
 def select_projects(items: Column, keywords: Column, top: int = fv.TOP_PROJECTS,
@@ -144,13 +153,12 @@ def candidate_text(rows: DataFrame) -> DataFrame:
         F.array(p["name"], p["location"], contact, *heading("SUMMARY"), F.col("summary"), *heading("SKILLS")), skills,
         F.array(*heading("WORK EXPERIENCE")), jobs, F.array(F.lit("### PROJECTS"), blank), projects,
         F.array(F.lit("### EDUCATION"), blank), education)
-    from gristmill.functions.text import strip_blank
     return rows.select("candidate_id", strip_blank(F.array_join(lines, "\n")).alias("text"))
 
 
 def tailored_context(rows: DataFrame) -> DataFrame:
-    """The nested context of a tailored résumé per pair: everything a template needs but the
-    rewritten summary, which arrives as a response row."""
+    """The nested context of a tailored résumé per pair, bullets not cut yet: everything a template
+    needs but the rewritten summary, which arrives as a response row."""
     kw = F.col("keywords")
     return rows.select(
         "candidate_id", "posting_id", "personal", "summary",

@@ -12,23 +12,24 @@ def posting_keywords(postings: DataFrame, posting_id: str, text: str) -> DataFra
     return keyword_lists(postings, posting_id, text).select(F.col(posting_id).alias("posting_id"), "keywords")
 
 
-def tailored(pairs: DataFrame, candidates: DataFrame, postings: DataFrame, posting_id: str, text: str) -> DataFrame:
+def tailored(pairs: DataFrame, candidates: DataFrame, postings: DataFrame, posting_id: str, text: str,
+             reorder_responses: DataFrame | None = None) -> DataFrame:
     """One nested context per (candidate_id, posting_id) of the work list. Only
-    postings in the work list get keywords."""
+    postings in the work list get keywords. Bullets are cut last, after reordering."""
     wanted = postings.join(pairs.select(F.col("posting_id").alias(posting_id)).distinct(), posting_id, "left_semi")
-    return M.tailored_context(M.work_rows(pairs, candidates, posting_keywords(wanted, posting_id, text)))
-
-
-def with_reordered_bullets(contexts: DataFrame, responses: DataFrame) -> DataFrame:
-    """P26 on contexts: bullets of each experience replaced by the order of its response row, where
-    there is one. `responses` has candidate_id, posting_id, item (position from 0), text."""
-    items = contexts.select("candidate_id", "posting_id", F.posexplode("experiences").alias("item", "experience"))
-    joined = items.join(responses, ["candidate_id", "posting_id", "item"], "left")
-    bullets = F.col("experience.bullets")
-    new = F.slice(reordered_list(F.col("text"), bullets), F.lit(1), F.greatest(F.size(bullets), F.lit(0)))
-    # One context's experiences: a handful of rows per key.
-    gathered = joined.groupBy("candidate_id", "posting_id").agg(F.array_sort(F.collect_list(F.struct(
-        "item", F.col("experience").withField("bullets", new).alias("experience")))).alias("e"))
-    kept = gathered.select("candidate_id", "posting_id", F.col("e.experience").alias("reordered"))
-    return contexts.join(kept, ["candidate_id", "posting_id"], "left").withColumn(
-        "experiences", F.coalesce("reordered", "experiences")).drop("reordered")
+    contexts = M.tailored_context(M.work_rows(pairs, candidates, posting_keywords(wanted, posting_id, text)))
+    if reorder_responses is not None:
+        for section in ("experiences", "projects"):
+            contexts = reordered(contexts, section, reorder_responses)
+    return contexts.withColumn("experiences", M.cut_bullets(F.col("experiences")))
+
+
+def reordered(contexts: DataFrame, section: str, responses: DataFrame) -> DataFrame:
+    """P26 on contexts: bullets of each item in a section in the order of its response row, where there
+    is one. `responses` has candidate_id, posting_id, section, item (position from 0), text."""
+    answers = responses.filter(F.col("section") == section).groupBy("candidate_id", "posting_id").agg(
+        # One context's items: a handful of answers.
+        F.map_from_entries(F.collect_list(F.struct("item", "text"))).alias("answers"))
+    joined = contexts.join(answers, ["candidate_id", "posting_id"], "left")
+    return joined.withColumn(section, F.transform(section, lambda e, i: e.withField("bullets", reordered_list(
+        F.try_element_at(F.col("answers"), i), e["bullets"])))).drop("answers")

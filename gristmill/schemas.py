@@ -1,50 +1,41 @@
-"""Explicit schemas. Nothing in the library infers a schema from data."""
+"""Explicit schemas. Nothing in the library infers a schema from data.
 
-from pyspark.sql import types as T
+Flat schemas are StructTypes; nested ones are DDL text, which every reader accepts.
+"""
 
-POSTING = T.StructType.fromDDL(
-    "title STRING, company STRING, url STRING, description STRING, location STRING, source STRING"
-)
+from pyspark.sql import types as T
 
-ORDERED_POSTING = T.StructType.fromDDL(
-    "title STRING, company STRING, url STRING, description STRING, location STRING, "
-    "source STRING, source_rank INT, ord BIGINT"
-)
 
-# One landed HTTP payload. `branch` tells search pages from browse pages where a
-# board has both.
-PAYLOAD = T.StructType.fromDDL(
-    "source STRING, slug STRING, branch STRING, page_no INT, body STRING, ord BIGINT"
-)
+def _flat(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-DETAIL = T.StructType.fromDDL("board STRING, slug STRING, job_id STRING, body STRING")
 
-RSS_ITEM = T.StructType.fromDDL(
-    "title STRING, link STRING, guid STRING, description STRING, region STRING"
-)
+_S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 
-APP_LOG = T.StructType.fromDDL(
-    "title STRING, company STRING, score INT, cover_letter STRING, fit_reason STRING, "
-    "url STRING, status STRING"
-)
+POSTING = _flat(title=_S, company=_S, url=_S, description=_S, location=_S, source=_S)
+ORDERED_POSTING = _flat(title=_S, company=_S, url=_S, description=_S, location=_S, source=_S, source_rank=_I, ord=_L)
 
-BULLETS = "ARRAY<STRUCT<text: STRING, tags: ARRAY<STRING>>>"
+# One landed HTTP payload. `branch` tells search pages from browse pages where a board has both.
+PAYLOAD = _flat(source=_S, slug=_S, branch=_S, page_no=_I, body=_S, ord=_L)
+DETAIL = _flat(board=_S, slug=_S, job_id=_S, body=_S)
+RSS_ITEM = _flat(title=_S, link=_S, guid=_S, description=_S, region=_S)
+APP_LOG = _flat(title=_S, company=_S, score=_I, cover_letter=_S, fit_reason=_S, url=_S, status=_S)
 
-CANDIDATE = T.StructType.fromDDL(
+_BULLETS = "ARRAY<STRUCT<text: STRING, tags: ARRAY<STRING>>>"
+CANDIDATE = (
     "candidate_id STRING, "
     "personal STRUCT<name: STRING, email: STRING, phone: STRING, location: STRING, "
     "github: STRING, linkedin: STRING, website: STRING>, "
     "summary STRING, "
     f"work_experience ARRAY<STRUCT<company: STRING, role: STRING, period: STRING, "
-    f"bullets: {BULLETS}, tags: ARRAY<STRING>, priority: STRING>>, "
-    f"projects ARRAY<STRUCT<name: STRING, bullets: {BULLETS}, tags: ARRAY<STRING>, "
+    f"bullets: {_BULLETS}, tags: ARRAY<STRING>, priority: STRING>>, "
+    f"projects ARRAY<STRUCT<name: STRING, bullets: {_BULLETS}, tags: ARRAY<STRING>, "
     "link: STRING, priority: STRING>>, "
     "education ARRAY<STRUCT<degree: STRING, school: STRING, gpa: STRING, period: STRING, "
     "coursework: ARRAY<STRING>>>, "
     "skills ARRAY<STRUCT<category: STRING, skills: ARRAY<STRING>>>"
 )
-
-LABELLED_TEXT = T.StructType.fromDDL(
-    "id STRING, title STRING, company STRING, role_family STRING, url STRING, "
-    "description STRING, synthetic BOOLEAN"
+LABELLED_TEXTS = (
+    "ARRAY<STRUCT<id: STRING, title: STRING, company: STRING, role_family: STRING, url: STRING, "
+    "description: STRING, synthetic: BOOLEAN>>"
 )

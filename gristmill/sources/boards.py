@@ -15,7 +15,7 @@ from gristmill import schemas
 from gristmill.functions import predicates as P
 from gristmill.functions import urls as U
 from gristmill.functions import variants as V
-from gristmill.functions.html import html_to_text
+from gristmill.functions.html import with_text
 from gristmill.functions.text import first_truthy, split_feed_title, strip_blank, truthy
 
 
@@ -114,10 +114,9 @@ def himalayas(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bo
     # One row at most, so sending it to every task is safe.
     any_found = F.broadcast(found.select(F.lit("browse").alias("branch")).limit(1))
     chosen = found.unionByName(browse.join(any_found, "branch", "left_anti"))
-    return _ordered(chosen.select(
+    return _ordered(with_text(chosen, "description", _text("$.description")).select(
         "title", first_truthy(_text("$.companyName"), _text("$.companySlug"), default="Unknown").alias("company"),
-        first_truthy(_text("$.applicationLink"), _text("$.guid"), default="").alias("url"),
-        html_to_text(_text("$.description")).alias("description"),
+        first_truthy(_text("$.applicationLink"), _text("$.guid"), default="").alias("url"), "description",
         first_truthy(F.col("place"), default="Remote").alias("location"),
         F.lit("himalayas").alias("source"), "ord"), source_rank)
 
@@ -133,9 +132,8 @@ def weworkremotely(items: DataFrame, terms: Sequence[str] = (), source_rank: int
     parts = split_feed_title(strip_blank(F.coalesce("title", F.lit(""))))
     rows = items.withColumn("parts", parts).withColumn("company", F.col("parts.company"))
     kept = _remote_titles(rows, F.col("parts.title"), terms)
-    return _ordered(kept.select(
-        "title", "company", first_truthy(F.col("link"), F.col("guid"), default="").alias("url"),
-        html_to_text(F.col("description")).alias("description"),
+    return _ordered(with_text(kept, "description", F.col("description")).select(
+        "title", "company", first_truthy(F.col("link"), F.col("guid"), default="").alias("url"), "description",
         first_truthy(F.col("region"), default="Remote").alias("location"),
         F.lit("weworkremotely").alias("source"), "ord"), source_rank)
 
@@ -151,9 +149,9 @@ def remotive(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: boo
     rows = rows.withColumn("location", first_truthy(_text("$.candidate_required_location"), default="Remote"))
     if worldwide_only:
         rows = rows.filter(P.worldwide(F.col("location")))
-    return _ordered(rows.select(
+    return _ordered(with_text(rows, "description", _text("$.description")).select(
         "title", first_truthy(_text("$.company_name"), default="Unknown").alias("company"),
-        F.coalesce(_text("$.url"), F.lit("")).alias("url"), html_to_text(_text("$.description")).alias("description"),
+        F.coalesce(_text("$.url"), F.lit("")).alias("url"), "description",
         "location", F.lit("remotive").alias("source"), "ord"), source_rank)
 
 
@@ -164,9 +162,9 @@ def remoteok(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: boo
     if worldwide_only:
         rows = rows.filter(P.worldwide(F.col("location")))
     link = first_truthy(_text("$.url"), _text("$.apply_url"), default="")
-    return _ordered(rows.select(
+    return _ordered(with_text(rows, "description", _text("$.description")).select(
         "title", first_truthy(_text("$.company"), default="Unknown").alias("company"),
-        U.remoteok_url(link, _text("$.slug")).alias("url"), html_to_text(_text("$.description")).alias("description"),
+        U.remoteok_url(link, _text("$.slug")).alias("url"), "description",
         "location", F.lit("remoteok").alias("source"), "ord"), source_rank)
 
 
@@ -181,9 +179,8 @@ def jobicy(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool
     rows = rows.withColumn("location", first_truthy(*places, default="Remote"))
     if worldwide_only:
         rows = rows.filter(P.worldwide(F.col("location")))
-    return _ordered(rows.select(
+    about = first_truthy(_text("$.jobDescription"), _text("$.description"), _text("$.jobExcerpt"), default="")
+    return _ordered(with_text(rows, "description", about).select(
         "title", first_truthy(_text("$.companyName"), _text("$.company"), default="Unknown").alias("company"),
-        first_truthy(_text("$.jobLink"), _text("$.url"), _text("$.link"), default="").alias("url"),
-        html_to_text(first_truthy(_text("$.jobDescription"), _text("$.description"), _text("$.jobExcerpt"), default=""))
-        .alias("description"),
+        first_truthy(_text("$.jobLink"), _text("$.url"), _text("$.link"), default="").alias("url"), "description",
         "location", F.lit("jobicy").alias("source"), "ord"), source_rank)

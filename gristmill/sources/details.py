@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gristmill import fixed_values as fv
 from gristmill.functions import urls as U
 from gristmill.functions import variants as V
-from gristmill.functions.html import html_to_text, page_title
+from gristmill.functions.html import page_title, with_text
 from gristmill.functions.postings import posting
 from gristmill.functions.text import clean_text, first_truthy, strip_blank, truthy
 from gristmill.operators.limits import union_sources
@@ -34,9 +34,9 @@ def greenhouse(urls: DataFrame, details: DataFrame) -> DataFrame:
     data = F.col("data")
     location = F.when(V.is_type(data, "$.location", "OBJECT"), F.coalesce(_text("$.location.name"), F.lit("Unknown"))) \
         .otherwise(_text("$.location"))
-    return rows.select("url", posting(
+    return with_text(rows, "description", _text("$.content")).select("url", posting(
         _text("$.title"), first_truthy(_text("$.company_name"), F.col("key.slug")), F.col("url"),
-        html_to_text(_text("$.content")), "greenhouse", location).alias("posting"))
+        F.col("description"), "greenhouse", location).alias("posting"))
 
 
 def lever(urls: DataFrame, details: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -57,17 +57,18 @@ def lever(urls: DataFrame, details: DataFrame, pages: DataFrame | None = None) -
 def ashby(urls: DataFrame, boards: DataFrame) -> DataFrame:
     """The first board row of the company whose jobUrl contains the job id.
 
-    `boards` holds one board payload per company (slug, body). Containment becomes an equi-join: each
-    row is indexed by the substrings of its jobUrl that are as long as some id asked of its company
-    (for the usual fixed-length ids that is one per path part), and only the first row per substring
-    is kept. No pairs of ids and rows of a company are formed.
+    `boards` holds board payloads (slug, body, ord). Containment becomes an equi-join: each row is
+    indexed by the substrings of its jobUrl that are as long as some id asked of its company (for the
+    usual fixed-length ids that is one per path part), and only the first row per substring is kept.
+    No pairs of ids and rows of a company are formed.
     """
     wanted = urls.filter((F.col("key.board") == "ashby") & F.col("key.job_id").isNotNull()).select(
         "url", F.col("key.slug").alias("slug"), F.col("key.job_id").alias("job_id"))
     # At most as many lengths as a url has characters.
     lengths = wanted.groupBy("slug").agg(F.collect_set(F.length("job_id")).alias("lengths"))
     rows = boards.withColumn("data", F.try_parse_json("body")).select(
-        F.col("slug"), F.posexplode(V.items(F.col("data"), "$.jobs")).alias("ord", "job"))
+        "slug", "ord", F.posexplode(V.items(F.col("data"), "$.jobs")).alias("pos", "job")).withColumn(
+        "ord", F.shiftleft(F.col("ord"), 32) + F.col("pos")).drop("pos")
     # A job id is a path part, so it lies within one part of the link.
     listed = rows.join(lengths, "slug").select(
         "slug", "ord", "job", "lengths",
@@ -90,8 +91,8 @@ def smartrecruiters(urls: DataFrame, details: DataFrame) -> DataFrame:
     path = "$.jobAd.sections"
     as_object = F.transform(F.map_entries(V.get(data, path, "map<string,variant>")), lambda e: e["value"])
     sections = F.when(V.is_type(data, path, "ARRAY"), V.get(data, path, "array<variant>")).otherwise(as_object)
-    texts = rows.select("url", "key", "data", F.posexplode(sections).alias("pos", "section")).withColumn(
-        "text", html_to_text(V.text_if_string(F.col("section"), "$.text")))
+    texts = with_text(rows.select("url", "key", "data", F.posexplode(sections).alias("pos", "section")), "text",
+                      V.text_if_string(F.col("section"), "$.text"))
     # One record's sections: a few rows per url.
     joined = texts.groupBy("url").agg(
         F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"), F.first(F.to_json("data")).alias("body"),
@@ -115,13 +116,14 @@ def careers(urls: DataFrame, details: DataFrame, sites=fv.CAREERS_SITES) -> Data
         F.col("slug").alias("d_slug"), F.col("job_id").alias("d_job"), F.try_parse_json("body").alias("data"))
     rows = wanted.join(records, (F.col("company") == F.col("d_slug")) & (F.col("job_id") == F.col("d_job"))).filter(
         truthy(_text("$.description")))
-    return rows.select("url", posting(
-        _text("$.title"), F.col("company"), F.col("url"), html_to_text(_text("$.description")), "careers-api",
+    return with_text(rows, "description", _text("$.description")).select("url", posting(
+        _text("$.title"), F.col("company"), F.col("url"), F.col("description"), "careers-api",
         first_truthy(_text("$.groupedLocation"), _text("$.location"), default="Unknown")).alias("posting"))
 
 
-def board_postings(urls: DataFrame, details: DataFrame, boards: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def board_postings(urls: DataFrame, details: DataFrame, boards: DataFrame, pages: DataFrame | None = None,
+                   url: str = "url") -> DataFrame:
     """(url, posting) of every url whose board has a record for it."""
-    wanted = requested(urls)
+    wanted = requested(urls, url)
     return union_sources(greenhouse(wanted, details), lever(wanted, details, pages), ashby(wanted, boards),
                          smartrecruiters(wanted, details))

@@ -100,7 +100,7 @@ def read_labelled_corpus(spark: SparkSession, path: str, n_max: int | None = Non
     """Labelled texts of one JSON array file in file order, the first n_max; an error
     when there are none."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(
-        F.from_json("value", T.ArrayType(schemas.LABELLED_TEXT))).alias("ord", "row"))
+        F.from_json("value", schemas.LABELLED_TEXTS)).alias("ord", "row"))
     rows = whole.select("row.*", F.col("ord").cast("long")).filter(F.col("synthetic"))
     if n_max is not None:
         rows = rows.orderBy("ord").limit(n_max)
