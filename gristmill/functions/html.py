@@ -88,8 +88,6 @@ def _words(parts):
 @F.pandas_udf(StringType())
 def _text_by_parser(values: pd.Series) -> pd.Series:
     def convert(value):
-        if value is None:
-            return None
         text = unescape(value)
         if "<" in text and ">" in text:
             return _words(_read(text).whole)
@@ -119,8 +117,6 @@ def _description_regions(tag, attrs):
 @F.pandas_udf(StringType())
 def _longest_region_by_parser(values: pd.Series) -> pd.Series:
     def convert(value):
-        if value is None:
-            return None
         regions = _read(value, DROPPED, _description_regions).regions
         texts = [_words(parts) for _, parts in sorted(regions, key=lambda r: r[0])]
         return max(texts, key=len, default="")
@@ -166,12 +162,16 @@ def _native_text(value: Column) -> Column:
     return _let(unescape_common(value), settled)
 
 
-def _settle(rows: DataFrame, out: str, value: Column, native: Column, parser) -> DataFrame:
-    """Adds the native text, or the parser's where it is needed. The parser sees NULL for other rows."""
+def _settle(rows: DataFrame, out: str, value: Column, native: Column, parser, **extra: str) -> DataFrame:
+    """Adds the native text, or the parser's where it is needed. The parser sees NULL for other rows.
+    `extra` names further fields of the native struct to add, as new column = field."""
     staged = rows.withColumns({"_value": value, "_native": native})
     hard = F.col("_native.hard")
-    parsed = parser(F.when(hard, F.col("_value")))
-    return staged.withColumn(out, F.when(hard, parsed).otherwise(F.col("_native.text"))).drop("_value", "_native")
+    # Marked so that no filter on the result is pushed down: it would parse the text twice.
+    parsed = parser.asNondeterministic()(F.when(hard, F.col("_value")))
+    return staged.withColumns({
+        out: F.when(hard, parsed).otherwise(F.col("_native.text")),
+        **{name: F.col(f"_native.{field}") for name, field in extra.items()}}).drop("_value", "_native")
 
 
 def with_text(rows: DataFrame, out: str, value: Column) -> DataFrame:
@@ -184,22 +184,28 @@ def _drop_regions(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer|header)\b[^>]*>.*?</\1\s*>", " ")
 
 
-def _native_description(html: Column) -> Column:
+def _native_page(html: Column) -> Column:
+    """Struct of a page's title, site, body text and whether the text cannot be trusted. The dropped
+    regions are cut out once for all of them."""
     def settled(kept: Column) -> Column:
         body = F.regexp_extract(kept, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
+        title = F.coalesce(_some(_meta_title(kept)), _some(_element(kept, "h1")), _some(_element(kept, "title")), F.lit("Unknown"))
         return _let(strip_tags(body), lambda bare: F.struct(
             (~kept.rlike(r"(?i)<body\b") | kept.rlike(r"(?i)</?(?:script|style|noscript|nav|footer|header)\b")
              | bare.rlike(_LEFT_OVER_TAG) | bare.rlike(_UNCOMMON_ENTITY)).alias("hard"),
-            clean_text(unescape_common(bare)).alias("text")))
+            clean_text(unescape_common(bare)).alias("text"), title.alias("title"),
+            clean_text(_meta(kept, "property", "og:site_name")).alias("site")))
 
     return _let(_drop_regions(html), settled)
 
 
-def with_generic_description(rows: DataFrame, out: str, html: Column) -> DataFrame:
-    """Adds the longest text among the description regions, NULL for no page. A body contains all
-    the others, so its text is the answer whenever there is one; only pages without a clean body are
-    parsed."""
-    return _settle(rows, out, html, F.when(html.isNotNull(), _native_description(html)), _longest_region_by_parser)
+def with_generic_page(rows: DataFrame, html: Column, text: str, title: str, site: str) -> DataFrame:
+    """Adds the longest text among the description regions, the title (og:title, twitter:title,
+    first h1 outside dropped regions, <title>, Unknown) and the site name ('' if none). A body contains
+    all the regions, so its text is the answer whenever there is one; only pages without a clean body
+    are parsed. A NULL page gives NULLs."""
+    native = F.when(html.isNotNull(), _native_page(html))
+    return _settle(rows, text, html, native, _longest_region_by_parser, **{title: "title", site: "site"})
 
 
 def _meta(html: Column, attribute: str, name: str) -> Column:
@@ -225,17 +231,6 @@ def page_title(html: Column) -> Column:
     return F.coalesce(_some(clean_text(_meta_title(html))), _element(html, "title"))
 
 
-def generic_title(html: Column) -> Column:
-    """Og:title, twitter:title, first h1 outside dropped regions, <title>, Unknown."""
-    return _let(_drop_regions(html), lambda kept: F.coalesce(
-        _some(_meta_title(kept)), _some(_element(kept, "h1")), _some(_element(kept, "title")), F.lit("Unknown")))
-
-
-def site_name(html: Column) -> Column:
-    """Og:site_name or ''."""
-    return clean_text(_meta(_drop_regions(html), "property", "og:site_name"))
-
-
 def iframe_source(html: Column) -> Column:
     """First iframe or frame in document order whose source starts with http, else NULL."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<i?frame\b[^>]*>"), F.lit(0))

@@ -2,23 +2,26 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import fixed_values as fv
 
-# Unicode whitespace plus the four separator controls that count as blank too.
-BLANK = r"[\s\x1c-\x1f]"
+# Every character that counts as blank: Unicode whitespace and the four separator controls.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_BLANK = r"[\s\x1c-\x1f]"
+# A lone space needs no replacement, so only other runs match.
+_BLANK_RUN = rf"(?U)[\s\x1c-\x1f&&[^ ]]{_BLANK}*| {_BLANK}+"
 
 
 def strip_blank(text: Column) -> Column:
     """Trim any Unicode whitespace. ``trim`` alone removes only spaces."""
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_text(text: Column) -> Column:
     """Every whitespace run becomes one space; NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U){BLANK}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _BLANK_RUN, " "))
 
 
 def first_truthy(*values: Column, default: str | None = None) -> Column:
@@ -41,11 +44,21 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return found
 
 
+def raw_tokens(text: Column) -> Column:
+    """Lower-case tokens of three or more characters in text order, stop words included."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(fv.TOKEN_PATTERN), F.lit(1))
+
+
 def similarity_tokens(text: Column, stopwords: Sequence[str] = fv.TOKEN_STOPWORDS) -> Column:
-    """P20: lower-case tokens of three or more characters, stop words removed, in text order."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(fv.TOKEN_PATTERN), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    """P20: raw tokens without stop words, as an array."""
+    return F.filter(raw_tokens(text), lambda t: ~t.isin(*stopwords))
+
+
+def token_rows(rows: DataFrame, text: str, *keep: str, stopwords: Sequence[str] = fv.TOKEN_STOPWORDS) -> DataFrame:
+    """P20 as rows: the columns to keep and `token`. Stop words are filtered after the explode, inside
+    generated code."""
+    exploded = rows.select(*keep, F.explode(raw_tokens(F.col(text))).alias("token"))
+    return exploded.filter(~F.col("token").isin(*stopwords))
 
 
 def keyword_words(text: Column) -> Column:

@@ -76,10 +76,15 @@ def remoteok_url(link: Column, slug: Column) -> Column:
 
 
 def embedded_board_url(html: Column) -> Column:
-    """Canonical url of a board link inside a page; pattern order decides, not position."""
+    """Canonical url of a board link inside a page; pattern order decides, not position. Each pattern
+    scans the page once; its groups are then read from the short match."""
+    def canonical(pattern: str, template: str):
+        return lambda m: F.when(m != "", F.format_string(
+            template, F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)))
+
     found = []
-    for pattern, template in fv.EMBEDDED_BOARD_PATTERNS:
-        slug = F.regexp_extract(html, "(?i)" + pattern, 1)
-        ident = F.regexp_extract(html, "(?i)" + pattern, 2)
-        found.append(F.when(slug != "", F.format_string(template, slug, ident)))
+    for fixed, template in fv.EMBEDDED_BOARD_PATTERNS:
+        pattern = "(?i)" + fixed
+        match = F.regexp_extract(html, pattern, 0)
+        found.append(F.transform(F.array(match), canonical(pattern, template))[0])
     return F.coalesce(*found)

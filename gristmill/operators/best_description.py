@@ -35,10 +35,9 @@ def json_ld_postings(pages: DataFrame, *keys: str, html: str = "html") -> DataFr
 
 def with_generic_posting(pages: DataFrame, html: str, out: str) -> DataFrame:
     """Adds the generic posting of a page, NULL when its longest region is too short."""
-    page = F.col(html)
-    described = H.with_generic_description(pages, "_text", page)
-    made = posting(H.generic_title(page), H.site_name(page), F.col("url"), F.col("_text"), "generic", F.lit("Unknown"))
-    return described.withColumn(out, F.when(F.length("_text") >= fv.MIN_DESCRIPTION, made)).drop("_text")
+    described = H.with_generic_page(pages, F.col(html), "_text", "_title", "_site")
+    made = posting(F.col("_title"), F.col("_site"), F.col("url"), F.col("_text"), "generic", F.lit("Unknown"))
+    return described.withColumn(out, F.when(F.length("_text") >= fv.MIN_DESCRIPTION, made)).drop("_text", "_title", "_site")
 
 
 def text_posting(text: Column, url: Column) -> Column:

@@ -7,17 +7,12 @@ grouping keys all start with the id that already partitions the data.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill import fixed_values as fv
-from gristmill.functions.text import keyword_words, similarity_tokens
-
-
-def is_keyword(word: Column, stopwords: Sequence[str] = fv.KEYWORD_STOPWORDS) -> Column:
-    """a single word counts when it is no stop word and longer than two characters."""
-    return ~word.isin(*stopwords) & (F.length(word) > 2)
+from gristmill.functions.text import keyword_words, token_rows
 
 
 def by_document(docs: DataFrame, doc_id: str, *columns: str, placed: bool = False) -> DataFrame:
@@ -28,30 +23,32 @@ def by_document(docs: DataFrame, doc_id: str, *columns: str, placed: bool = Fals
 
 def gram_counts(docs: DataFrame, doc_id: str, text: str, stopwords: Sequence[str] = fv.KEYWORD_STOPWORDS,
                 placed: bool = False) -> DataFrame:
-    """Count and first position of each word (kind 0) and adjacent pair (kind 1).
+    """Count and first position of each word that is no stop word and longer than two
+    characters, and of each adjacent pair without stop words.
 
-    Words that do not qualify are counted under a NULL gram, one per document and kind, so a
-    document without any keyword stays in the table.
+    Only the first position of a text may keep a NULL gram, which keeps a document without any keyword
+    in the table. A pair holds a space and a word none, so the gram alone tells them apart.
     """
     words = by_document(docs, doc_id, text, placed=placed).select(doc_id, keyword_words(F.col(text)).alias("words"))
     pairs = F.arrays_zip(F.col("words").alias("word"),
                          F.slice("words", F.lit(2), F.size("words")).alias("next"))
     placed_words = words.select(doc_id, F.posexplode_outer(pairs).alias("pos", "pair")).select(
-        doc_id, "pos", F.col("pair.word").alias("word"), F.col("pair.next").alias("next"))
+        doc_id, "pos", F.col("pair.word").alias("word"), F.col("pair.next").alias("next")).withColumn(
+        "plain", ~F.col("word").isin(*stopwords))
     word, following = F.col("word"), F.col("next")
-    pair_ok = ~word.isin(*stopwords) & ~following.isin(*stopwords)
     grams = placed_words.select(doc_id, "pos", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.when(is_keyword(word, stopwords), word).alias("gram")),
-        F.struct(F.lit(1).alias("kind"), F.when(pair_ok, F.concat(word, F.lit(" "), following)).alias("gram")),
-    )).alias("g"))
-    return grams.groupBy(doc_id, "g.kind", "g.gram").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+        F.when(F.col("plain") & (F.length(word) > 2), word),
+        F.when(F.col("plain") & ~following.isin(*stopwords), F.concat(word, F.lit(" "), following)),
+    )).alias("gram")).filter(F.col("gram").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+    return grams.groupBy(doc_id, "gram").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
 def ranked_grams(counts: DataFrame, doc_id: str, top_n: int = fv.KEYWORDS_PER_TEXT) -> DataFrame:
-    """The top_n words and top_n // 2 pairs per document; ties go to the first occurrence."""
+    """The top_n words (kind 0) and top_n // 2 pairs (kind 1) per document; ties go to the first
+    occurrence. A NULL gram sorts last among the words."""
+    kind = F.coalesce(F.contains("gram", F.lit(" ")), F.lit(False)).cast("int")
     order = Window.partitionBy(doc_id, "kind").orderBy(F.col("gram").isNull(), F.desc("n"), "first_pos")
-    ranked = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n)
+    ranked = counts.withColumn("kind", kind).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n)
     return ranked.filter((F.col("kind") == 0) | (F.col("place") <= top_n // 2))
 
 
@@ -77,14 +74,12 @@ def top_keywords(docs: DataFrame, doc_id: str, text: str, top_n: int = fv.KEYWOR
 def term_frequencies(docs: DataFrame, doc_id: str, text: str, placed: bool = False) -> DataFrame:
     """Raw counts (doc_id, token, tf). Documents without tokens have no rows."""
     placed_docs = by_document(docs, doc_id, text, placed=placed)
-    return placed_docs.select(doc_id, F.explode(similarity_tokens(F.col(text))).alias("token")) \
-        .groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return token_rows(placed_docs, text, doc_id).groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_terms(docs: DataFrame, group: str, text: str, k: int) -> DataFrame:
     """E13, L4 per group: the k most frequent tokens, ties by token. Counting combines before the
     shuffle on (group, token), and each task keeps only its best k before groups are gathered."""
-    counts = docs.select(group, F.explode(similarity_tokens(F.col(text))).alias("token")) \
-        .groupBy(group, "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = token_rows(docs, text, group).groupBy(group, "token").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(group).orderBy(F.desc("n"), "token")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

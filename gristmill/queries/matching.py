@@ -50,10 +50,10 @@ def _work(spark, folder):
 
 # Items of the candidates in long form, with tag counts against all keywords (s30) and the first ten (s10).
 ITEMS_SQL = f"""WITH {keyword_lists_sql()},
-lines AS (SELECT conv_id || '-' || turn AS cid, conv_id AS pid, list_filter(regexp_split_to_array(text, '[.\\n]+\\s*'), lambda l: length(l) > 0) AS ls FROM conversations),
-placed AS (SELECT cid, pid, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM lines),
+turns AS (SELECT conv_id || '-' || turn AS cid, conv_id AS pid, list_filter(regexp_split_to_array(text, '[.\\n]+\\s*'), lambda l: length(l) > 0) AS ls FROM conversations),
+item_lines AS (SELECT cid, pid, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM turns),
 scored AS (SELECT cid, pid, i, line, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws, {PRIORITY} AS priority,
-  kws[1:10] AS k10, kws FROM placed JOIN lists ON doc_id = pid),
+  kws[1:10] AS k10, kws FROM item_lines JOIN lists ON doc_id = pid),
 items AS (SELECT cid, pid, i, ws, priority, len(list_filter(ws, lambda w: list_contains(kws, lower(w)))) AS s30,
   len(list_filter(ws, lambda w: list_contains(k10, lower(w)))) AS s10, kws FROM scored)"""
 

@@ -6,6 +6,7 @@ from gristmill.functions import html as H
 from gristmill.functions import urls as U
 from gristmill.operators import best_description as BD
 from gristmill.queries import query, table
+from gristmill.session import spread
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
@@ -16,6 +17,10 @@ def unescape_sql(text: str) -> str:
     return text
 
 
+def _pages(spark, folder, *columns):
+    return spread(table(spark, folder, "pages").select("page_id", *columns), "page_id")
+
+
 def text_sql(markup: str) -> str:
     """Comments, script and style bodies and tags become spaces; entities once; blanks collapsed."""
     bare = f"regexp_replace({markup}, '(?s)<!--.*?-->', ' ', 'g')"
@@ -40,7 +45,7 @@ def title_sql(html: str, tag: str) -> str:
 @query(f"SELECT page_id, md5({text_sql(unescape_sql('html'))}) AS digest, CAST(length({text_sql(unescape_sql('html'))}) AS INTEGER) AS n FROM pages")
 def html_to_text(spark, folder):
     """Whole pages as text."""
-    rows = H.with_text(table(spark, folder, "pages").select("page_id", "html"), "t", F.col("html"))
+    rows = H.with_text(_pages(spark, folder, "html"), "t", F.col("html"))
     return rows.select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
@@ -51,7 +56,8 @@ def html_to_text_rare_entities(spark, folder):
     wrapped = F.concat(
         F.lit("&lt;p&gt;"), F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;")),
         F.expr("CASE WHEN doc_id % 2 = 0 THEN ' &#233;&euro;' ELSE '' END"), F.lit("&lt;/p&gt;"))
-    rows = H.with_text(table(spark, folder, "documents").select("doc_id", wrapped.alias("markup")), "t", F.col("markup"))
+    rows = H.with_text(spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
+        "doc_id", wrapped.alias("markup")), "t", F.col("markup"))
     return rows.select("doc_id", F.md5("t").alias("digest"))
 
 
@@ -64,19 +70,19 @@ HEADED = f"replace(html, '<head>', '<head>' || {OG} || CASE WHEN page_id % 4 = 0
   FROM pages""")
 def page_title(spark, folder):
     """Og:title, twitter:title or the title element."""
-    return table(spark, folder, "pages").select("page_id", H.page_title(F.expr(HEADED)).alias("title"))
+    return _pages(spark, folder, "html").select("page_id", H.page_title(F.expr(HEADED)).alias("title"))
 
 
 GENERIC_SQL = f"""SELECT page_id, 'http://p/' || page_id AS url, CASE page_id % 3 WHEN 0 THEN 'Og & ' || page_id WHEN 1 THEN 'Tw ' || page_id
   ELSE {title_sql('html', 'h1')} END AS title, CASE WHEN page_id % 4 = 0 THEN 'Site' ELSE 'Unknown' END AS company, {body_sql('html')} AS t FROM pages"""
 
 
-@query(f"""SELECT page_id, title, company, CAST(length(t) AS INTEGER) AS n_chars, md5(left(t, 5000)) AS digest FROM ({GENERIC_SQL}) WHERE length(t) >= 100""")
+@query(f"""SELECT page_id, title, company, CAST(least(length(t), 5000) AS INTEGER) AS n_chars, md5(left(t, 5000)) AS digest FROM ({GENERIC_SQL}) WHERE length(t) >= 100""")
 def generic_extract(spark, folder):
     """Title, site and longest region."""
-    pages = table(spark, folder, "pages").select("page_id", F.expr("'http://p/' || page_id").alias("url"), F.expr(HEADED).alias("html"))
-    rows = BD.with_generic_posting(H.with_generic_description(pages, "region", F.col("html")), "html", "p").filter("p is not null")
-    return rows.select("page_id", "p.title", "p.company", F.length("region").alias("n_chars"), F.md5("p.description").alias("digest"))
+    pages = _pages(spark, folder, "html").select("page_id", F.expr("'http://p/' || page_id").alias("url"), F.expr(HEADED).alias("html"))
+    rows = BD.with_generic_posting(pages, "html", "p").filter("p is not null")
+    return rows.select("page_id", "p.title", "p.company", F.length("p.description").alias("n_chars"), F.md5("p.description").alias("digest"))
 
 
 FRAMES = """html || CASE page_id % 4 WHEN 0 THEN '<iframe src="/local"></iframe><IFRAME width=3 SRC=''http://f/' || page_id || '''></IFRAME>'
@@ -86,7 +92,7 @@ FRAMES = """html || CASE page_id % 4 WHEN 0 THEN '<iframe src="/local"></iframe>
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://f/' || page_id WHEN 1 THEN 'https://g/' || page_id || '?a=1&b=2' END AS src FROM pages""")
 def iframe_source(spark, folder):
     """P14."""
-    return table(spark, folder, "pages").select("page_id", H.iframe_source(F.expr(FRAMES)).alias("src"))
+    return _pages(spark, folder, "html").select("page_id", H.iframe_source(F.expr(FRAMES)).alias("src"))
 
 
 LINKS = """html || CASE page_id % 5
@@ -100,7 +106,7 @@ LINKS = """html || CASE page_id % 5
   WHEN 3 THEN 'https://jobs.smartrecruiters.com/Acme/' || page_id END AS board_url FROM pages""")
 def embedded_board(spark, folder):
     """Pattern order decides, not position."""
-    return table(spark, folder, "pages").select("page_id", U.embedded_board_url(F.expr(LINKS)).alias("board_url"))
+    return _pages(spark, folder, "html").select("page_id", U.embedded_board_url(F.expr(LINKS)).alias("board_url"))
 
 
 JSON_LD = """CASE c_custkey % 6

@@ -65,7 +65,7 @@ def response_rows(spark, folder):
 
 
 @query("""SELECT kind || ':' || doc_id AS request_id, kind, CAST(head + least(cut, length(text)) AS INTEGER) AS n_chars FROM documents,
-  (VALUES ('seniority', 60, 1500), ('extraction', 63, 6000), ('summary', 47, 800)) k(kind, head, cut)""")
+  (VALUES ('seniority', 55, 1500), ('extraction', 58, 6000), ('summary', 48, 800)) k(kind, head, cut)""")
 def request_rows(spark, folder):
     """Texts are cut at the length of each request kind."""
     docs = table(spark, folder, "documents")

@@ -7,6 +7,7 @@ from gristmill.functions import text as X
 from gristmill.operators import keywords as K
 from gristmill.operators import recall as R
 from gristmill.queries import query, sql_list, table
+from gristmill.session import spread
 
 STOP = sql_list(fv.KEYWORD_STOPWORDS)
 TOKEN_STOP = sql_list(fv.TOKEN_STOPWORDS)
@@ -71,7 +72,8 @@ SELECT source, token, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n
 FROM c QUALIFY rank <= 10""")
 def top_terms_by_source(spark, folder):
     """E13, L4."""
-    return K.top_terms(table(spark, folder, "documents"), "source", "text", 10)
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return K.top_terms(spread(docs, "doc_id"), "source", "text", 10)
 
 
 # Years text composed from part columns, the same way on both sides.
@@ -121,8 +123,8 @@ recalls AS (SELECT d.doc_id, d.source AS role_family, kws, skills,
 
 
 def _recall_rows(spark, folder):
-    docs = table(spark, folder, "documents")
-    terms = K.top_terms(docs, "source", "text", 3)
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    terms = K.top_terms(spread(docs, "doc_id"), "source", "text", 3)
     skills = terms.groupBy(F.col("source").alias("role_family")).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.upper("token").alias("s")))).alias("ranked")).select(
         "role_family", F.concat(F.col("ranked.s"), F.array(F.lit("CI/CD"), F.lit("ING"))).alias("skills"))

@@ -38,3 +38,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="gristmill-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A table scan with fewer splits than cores (a small file, or one row group) is spread by key before
+    row-by-row work. A large table has splits enough and is left where it is, without a shuffle."""
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if splits >= scan.sparkSession.sparkContext.defaultParallelism else scan.repartition(*keys)
