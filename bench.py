@@ -26,7 +26,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     spark = build_session(f"local[{cpus}]", app="bench", shuffle_partitions=cpus * 2, spark__driver__memory="12g",
-                          spark__ui__showConsoleProgress="false")
+                          spark__driver__extraJavaOptions="-XX:+UseParallelGC", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     registry.load()
     seconds = {}

@@ -66,9 +66,9 @@ def keyword_lists(docs: DataFrame, doc_id: str, text: str, top_n: int = fv.KEYWO
 def top_keywords(docs: DataFrame, doc_id: str, text: str, top_n: int = fv.KEYWORDS_PER_TEXT,
                  placed: bool = False) -> DataFrame:
     """W3, U6 in long form: doc_id, rank from 1, keyword, n."""
-    lists = keyword_lists(docs, doc_id, text, top_n, placed=placed)
-    return lists.select(doc_id, F.posexplode("entries").alias("pos", "entry")).select(
-        doc_id, (F.col("pos") + 1).alias("rank"), "entry.keyword", "entry.n")
+    kept = ranked_grams(gram_counts(docs, doc_id, text, placed=placed), doc_id, top_n).filter(F.col("gram").isNotNull())
+    order = Window.partitionBy(doc_id).orderBy("kind", "place")
+    return kept.select(doc_id, F.row_number().over(order).alias("rank"), F.col("gram").alias("keyword"), "n")
 
 
 def term_frequencies(docs: DataFrame, doc_id: str, text: str, placed: bool = False) -> DataFrame:

@@ -14,6 +14,8 @@ def build_session(master: str | None = None, app: str = "gristmill", shuffle_par
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Word counts have nearly as many groups as rows, so a small first-level map only costs time.
+        .config("spark.sql.codegen.aggregate.map.twolevel.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
