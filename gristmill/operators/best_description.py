@@ -19,18 +19,21 @@ from gristmill.functions.urls import embedded_board_url
 from gristmill.sources import details as D
 
 
-def json_ld_postings(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
-    """(keys, posting) from the first JobPosting with a long enough description; the first key is
-    the url. Only pages with such items produce rows to group."""
-    items = pages.select(*keys, F.posexplode(json_ld_items(F.col(html))).alias("pos", "item"))
+def _with_json_ld(items: DataFrame, out: str) -> DataFrame:
+    """Adds the posting of one JobPosting `item`, NULL when its cleaned description is too short."""
     item = F.col("item")
-    described = with_text(items, "description", first_truthy(
-        V.get(item, "$.description"), V.get(item, "$.jobDescription"), default="")).filter(
-        F.length("description") >= fv.MIN_DESCRIPTION)
-    made = described.select(*keys, "pos", posting(
-        first_truthy(V.get(item, "$.title"), V.get(item, "$.name")), json_ld_company(item), F.col(keys[0]),
-        F.col("description"), "json-ld", json_ld_location(item)).alias("posting"))
-    return made.groupBy(*keys).agg(F.min_by("posting", "pos").alias("posting"))
+    described = with_text(items, "_text", first_truthy(V.get(item, "$.description"), V.get(item, "$.jobDescription"), default=""))
+    made = posting(first_truthy(V.get(item, "$.title"), V.get(item, "$.name")), json_ld_company(item), F.col("url"),
+                   F.col("_text"), "json-ld", json_ld_location(item))
+    return described.withColumn(out, F.when(F.length("_text") >= fv.MIN_DESCRIPTION, made)).drop("_text")
+
+
+def json_ld_postings(pages: DataFrame) -> DataFrame:
+    """(url, posting) from the first JobPosting in `html` with a long enough description. Only
+    pages with such items produce rows to group."""
+    items = pages.select("url", F.posexplode(json_ld_items(F.col("html"))).alias("pos", "item"))
+    made = _with_json_ld(items, "posting").filter(F.col("posting").isNotNull())
+    return made.groupBy("url").agg(F.min_by("posting", "pos").alias("posting"))
 
 
 def with_generic_posting(pages: DataFrame, html: str, out: str) -> DataFrame:
@@ -58,9 +61,8 @@ def _length(p: Column) -> Column:
     return F.coalesce(F.length(p["description"]), F.lit(-1))
 
 
-def _picked(slot: int, value: str = "posting", extra: Column | None = None) -> Column:
-    here = F.col("slot") == slot
-    return F.any_value(F.when(here if extra is None else here & extra, F.col(value)), True)
+def _picked(slot: int) -> Column:
+    return F.any_value(F.when(F.col("slot") == slot, F.col("posting")), True)
 
 
 def _board_lookups(pages: DataFrame, details: DataFrame, boards: DataFrame) -> DataFrame:
@@ -76,19 +78,24 @@ def _board_lookups(pages: DataFrame, details: DataFrame, boards: DataFrame) -> D
 
 def _page_postings(pages: DataFrame) -> DataFrame:
     """Per url what the page and the rendered page give: JSON-LD, then the iframe's JSON-LD, the iframe's
-    generic text, and the page's generic text. The four documents of a url are read as four rows, so
-    whole pages are never shuffled; only postings are."""
+    generic text, and the page's generic text. The four documents of a url are four rows, each read
+    once for both kinds; whole documents are never shuffled, only postings are."""
     slots = pages.select("url", F.posexplode(F.array("html", "iframe_html", "rendered_html", "rendered_iframe_html"))
                          .alias("slot", "html")).filter(F.col("html").isNotNull())
-    structured = json_ld_postings(slots, "url", "slot").withColumn("generic", F.lit(False))
-    generic = with_generic_posting(slots, "html", "posting").filter(F.col("posting").isNotNull()).select(
-        "url", "slot", "posting", F.lit(True).alias("generic"))
-    loose, strict = F.col("generic"), ~F.col("generic")
+    read = with_generic_posting(slots.withColumn("_items", json_ld_items(F.col("html"))), "html", "_generic")
+    items = read.select("url", "slot", "_generic", F.posexplode_outer("_items").alias("pos", "item"))
+    found = _with_json_ld(items, "_ld").select("url", "slot", "_generic", "pos", "_ld")
+
+    def structured(slot: int) -> Column:
+        return F.expr(f"min_by(_ld, pos) FILTER (WHERE slot = {slot} AND _ld IS NOT NULL)")
+
+    def generic(slot: int) -> Column:
+        return F.any_value(F.when(F.col("slot") == slot, F.col("_generic")), True)
 
     def ladder(page: int, frame: int) -> Column:
-        return F.coalesce(_picked(page, extra=strict), _picked(frame, extra=strict), _picked(frame, extra=loose), _picked(page, extra=loose))
+        return F.coalesce(structured(page), structured(frame), generic(frame), generic(page))
 
-    return structured.unionByName(generic).groupBy("url").agg(ladder(0, 1).alias("_page"), ladder(2, 3).alias("_rendered"))
+    return found.groupBy("url").agg(ladder(0, 1).alias("_page"), ladder(2, 3).alias("_rendered"))
 
 
 def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, responses: DataFrame | None = None) -> DataFrame:

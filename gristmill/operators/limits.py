@@ -11,6 +11,12 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), sources)
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row tables with different columns side by side, gathered without a join."""
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union.agg(*[F.any_value(F.col(c), True).alias(c) for c in union.columns])
+
+
 def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n rows in arrival order."""
     return rows.orderBy(*[F.col(c) for c in order]).limit(n)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill import fixed_values as fv
+from gristmill.operators.limits import one_row
 
 
 def status_counts(log: DataFrame) -> DataFrame:
@@ -22,14 +23,13 @@ def top_companies(log: DataFrame, k: int = 10) -> DataFrame:
 def dataset_summary(log: DataFrame) -> DataFrame:
     """E3, E4. Distinct counts are exact; titles and companies are counted in their own aggregates so
     that no row is expanded for them."""
-    one = F.lit(1).alias("one")
     totals = log.agg(
-        one, F.count(F.lit(1)).alias("n_jobs"),
+        F.count(F.lit(1)).alias("n_jobs"),
         F.count_if(F.coalesce(F.col("cover_letter") != "", F.lit(False))).alias("n_with_cover_letter"),
         F.count_if(F.coalesce(F.col("fit_reason") != "", F.lit(False))).alias("n_with_fit_reason"))
-    titles = log.select(F.coalesce("title", F.lit("")).alias("x")).distinct().agg(one, F.count("x").alias("n_distinct_titles"))
-    companies = log.select(F.coalesce("company", F.lit("")).alias("x")).distinct().agg(one, F.count("x").alias("n_companies"))
-    return totals.join(titles, "one").join(companies, "one").drop("one")
+    titles = log.select(F.coalesce("title", F.lit("")).alias("x")).distinct().agg(F.count("x").alias("n_distinct_titles"))
+    companies = log.select(F.coalesce("company", F.lit("")).alias("x")).distinct().agg(F.count("x").alias("n_companies"))
+    return one_row(totals, titles, companies)
 
 
 def distribution(rows: DataFrame, value: str, *groups: str) -> DataFrame:

@@ -12,14 +12,13 @@ from gristmill.operators.log import fill_from_scraped, without_applied
 
 
 def drop_senior(postings: DataFrame, verdicts: DataFrame, description: str = "description", key: str = "url") -> DataFrame:
-    """F8, P19. Text decides most rows; only the undecided ones meet the verdict table
-    (key, verdict BOOLEAN, one row per key). A missing verdict does not drop a row."""
+    """F8, P19. Text decides most rows; a verdict (key, verdict BOOLEAN, one row per key) counts only for
+    undecided ones. A missing verdict does not drop a row."""
     text = F.col(description)
     judged = postings.withColumn("_senior", F.when(truthy(text), seniority(min_years(text))).otherwise(F.lit(False)))
-    decided = judged.filter(~F.col("_senior"))
-    answers = verdicts.select(F.col(key).alias("_v_key"), "verdict").filter("verdict")
-    undecided = judged.filter(F.col("_senior").isNull()).join(answers, F.col(key).eqNullSafe(F.col("_v_key")), "left_anti")
-    return decided.unionByName(undecided).drop("_senior")
+    yes = verdicts.filter("verdict").select(F.col(key).alias("_v_key"))
+    open_ = judged.filter(F.coalesce(~F.col("_senior"), F.lit(True)))
+    return open_.join(yes, F.col("_senior").isNull() & F.col(key).eqNullSafe(F.col("_v_key")), "left_anti").drop("_senior")
 
 
 def seniority_verdicts(responses: DataFrame, key: str = "url") -> DataFrame:

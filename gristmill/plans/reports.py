@@ -10,17 +10,17 @@ from gristmill.operators import similarity as S
 from gristmill.operators import stats as ST
 from gristmill.operators.dedup import dedup_by_posting
 from gristmill.operators.keywords import keyword_lists
+from gristmill.operators.limits import one_row
 
 
 def _one(df: DataFrame, name: str) -> DataFrame:
-    """A one-row table as one struct, keyed for joining with other one-row tables."""
-    return df.select(F.lit(1).alias("one"), F.struct("*").alias(name))
+    """A one-row table as one struct."""
+    return df.select(F.struct("*").alias(name))
 
 
-def _gathered(df: DataFrame, name: str, *order) -> DataFrame:
+def _gathered(df: DataFrame, name: str) -> DataFrame:
     """A small table as one array of structs."""
-    rows = df.select(F.struct(*[c for c in df.columns]).alias("row"))
-    return rows.agg(F.array_sort(F.collect_list("row")).alias(name)).select(F.lit(1).alias("one"), name)
+    return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
 
 
 def statistics_report(log: DataFrame) -> DataFrame:
@@ -44,10 +44,7 @@ def statistics_report(log: DataFrame) -> DataFrame:
         sections.append(_one(ST.mean_length(texts, name), f"{name}_length"))
         sections.append(_one(S.pairwise_cosine_stats(texts, name).select(
             *[F.round(c, 3).alias(c) for c in ("cosine_mean", "cosine_stdev", "cosine_min", "cosine_max")]), f"{name}_similarity"))
-    report = sections[0]
-    for section in sections[1:]:
-        report = report.join(section, "one")
-    return report.drop("one")
+    return one_row(*sections)
 
 
 def recall_report(docs: DataFrame, skills: DataFrame, doc_id: str = "id", text: str = "description",
@@ -56,7 +53,7 @@ def recall_report(docs: DataFrame, skills: DataFrame, doc_id: str = "id", text:
     placed = docs.select(doc_id, "role_family", text).repartition(doc_id)
     rows = R.recall_rows(placed, keyword_lists(placed, doc_id, text, top_n, placed=True), skills, doc_id)
     summary = R.recall_summary(rows)
-    return _one(summary, "summary").join(_gathered(R.recall_by_family(rows), "by_family"), "one").drop("one")
+    return one_row(_one(summary, "summary"), _gathered(R.recall_by_family(rows), "by_family"))
 
 
 def write_json(report: DataFrame, path: str) -> None:

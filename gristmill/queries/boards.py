@@ -103,8 +103,11 @@ HIMALAYAS_PLACE = "CASE p_size % 4 WHEN 1 THEN p_type || ', Worldwide' WHEN 3 TH
 
 @query(_remote_sql(f"lower({TITLE})", HIMALAYAS_COMPANY, HIMALAYAS_URL, HIMALAYAS_PLACE, "himalayas"))
 def himalayas_search(spark, folder):
-    """Search pages; the worldwide test is the board's."""
-    return _picked(B.himalayas(_payloads(table(spark, folder, "part"), "himalayas", HIMALAYAS_BODY), TERMS, worldwide_only=True))
+    """Search pages, whose worldwide test is the board's; they match, so browse pages do not count."""
+    part = table(spark, folder, "part")
+    search = _payloads(part, "himalayas", HIMALAYAS_BODY)
+    browse = _payloads(part, "himalayas", """'{"jobs": [{"title": "' || p_name || '"}], "nextCursor": "c"}'""").withColumn("branch", F.lit("browse"))
+    return _picked(B.himalayas(search.unionByName(browse), TERMS, worldwide_only=True))
 
 
 @query(_remote_sql(f"lower({TITLE})", HIMALAYAS_COMPANY, HIMALAYAS_URL, HIMALAYAS_PLACE, "himalayas",

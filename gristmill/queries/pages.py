@@ -125,7 +125,7 @@ LD_PAGE = f"""'<html><head><script>var a = 1;</script><script type="application/
 def jsonld_postings(spark, folder):
     """Object, array and salvaged blocks; graphs and type lists do not count."""
     pages = table(spark, folder, "customer").select(F.expr("'c/' || c_custkey").alias("url"), F.expr(LD_PAGE).alias("html"))
-    return BD.json_ld_postings(pages, "url").select("url", "posting.title", "posting.company", "posting.description", "posting.location")
+    return BD.json_ld_postings(pages).select("url", "posting.title", "posting.company", "posting.description", "posting.location")
 
 
 LADDER_URL = "CASE WHEN page_id % 6 = 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || page_id ELSE 'http://p/' || page_id END"

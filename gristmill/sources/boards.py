@@ -100,9 +100,10 @@ def himalayas(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bo
     search = F.col("branch") == "search"
     ends = F.when(search, (size <= 0) | ((total > 0) & (F.col("page_no") * fv.PAGE_SIZE >= total))).otherwise(
         ~truthy(V.get(body, "$.nextCursor")))
-    last = parsed.filter(ends | body.isNull()).groupBy(F.col("branch").alias("last_branch")).agg(
-        F.min("page_no").alias("last_page"))
-    used = parsed.join(last, F.col("branch") == F.col("last_branch"), "left").filter(
+    last = parsed.filter(F.col("branch").isin("search", "browse") & (ends | body.isNull())).groupBy(
+        F.col("branch").alias("last_branch")).agg(F.min("page_no").alias("last_page"))
+    # Two rows at most, so sending them to every task is safe; a shuffle would have two keys.
+    used = parsed.join(F.broadcast(last), F.col("branch") == F.col("last_branch"), "left").filter(
         F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))).drop("last_branch", "last_page")
     rows = _remote_titles(_entries(used, "$.jobs"), F.lower(F.coalesce(_text("$.title"), F.lit(""))), terms)
     place = F.coalesce(V.join_list_or_text(F.col("job"), "$.locationRestrictions"), F.lit(""))
@@ -112,7 +113,7 @@ def himalayas(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bo
     if worldwide_only:
         browse = browse.filter(P.worldwide(F.col("place")))
     # One row at most, so sending it to every task is safe.
-    any_found = F.broadcast(found.select(F.lit("browse").alias("branch")).limit(1))
+    any_found = F.broadcast(found.select(F.replace("branch", F.lit("search"), F.lit("browse")).alias("branch")).limit(1))
     chosen = found.unionByName(browse.join(any_found, "branch", "left_anti"))
     return _ordered(with_text(chosen, "description", _text("$.description")).select(
         "title", first_truthy(_text("$.companyName"), _text("$.companySlug"), default="Unknown").alias("company"),

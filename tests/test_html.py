@@ -67,7 +67,7 @@ def test_json_ld(rows):
         ("salvage", page(f'x = {{"@type":"JobPosting","title":"c","description":"{text}","jobLocation":[{{}}]}};')),
         ("graph", page(f'{{"@graph":[{{"@type":"JobPosting","description":"{text}"}}]}}')),
         ("types", page(f'{{"@type":["JobPosting"],"description":"{text}"}}')))
-    found = {r.url: r.posting for r in BD.json_ld_postings(df, "url").collect()}
+    found = {r.url: r.posting for r in BD.json_ld_postings(df).collect()}
     assert sorted(found) == ["array", "object", "salvage"]
     assert (found["object"].title, found["object"].company, found["object"].location) == ("a", "o", "x y")
     assert (found["array"].title, found["array"].company, found["array"].location) == ("b", "org", "addr")
