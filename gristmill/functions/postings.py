@@ -27,14 +27,14 @@ def json_ld_items(html: Column) -> Column:
         F.try_parse_json(raw), F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0))))
     items = F.flatten(F.transform(
         F.filter(blocks, lambda b: b.isNotNull()),
-        lambda b: F.when(V.is_type(b, "$", "ARRAY"), V.get(b, "$", "array<variant>")).otherwise(F.array(b))))
-    return F.filter(items, lambda v: V.is_type(v, "$", "OBJECT") & F.coalesce(
+        lambda b: F.when(V.is_array(b, "$"), V.get(b, "$", "array<variant>")).otherwise(F.array(b))))
+    return F.filter(items, lambda v: V.is_object(v, "$") & F.coalesce(
         V.text_if_string(v, "$['@type']") == "JobPosting", F.lit(False)))
 
 
 def json_ld_company(item: Column) -> Column:
     """Name of the organisation object, or the organisation itself when it is a string."""
-    return F.when(V.is_type(item, "$.hiringOrganization", "OBJECT"), V.get(item, "$.hiringOrganization.name")) \
+    return F.when(V.is_object(item, "$.hiringOrganization"), V.get(item, "$.hiringOrganization.name")) \
         .otherwise(V.text_if_string(item, "$.hiringOrganization"))
 
 
@@ -44,5 +44,5 @@ def json_ld_location(item: Column) -> Column:
     joined = strip_blank(F.concat(
         F.coalesce(V.get(item, address + ".addressLocality"), F.lit("")), F.lit(" "),
         F.coalesce(V.get(item, address + ".addressRegion"), F.lit(""))))
-    return F.when(~V.is_type(item, "$.jobLocation", "OBJECT"), F.lit("")) \
-        .when(V.is_type(item, address, "OBJECT"), joined).otherwise(V.text_if_string(item, address))
+    return F.when(~V.is_object(item, "$.jobLocation"), F.lit("")) \
+        .when(V.is_object(item, address), joined).otherwise(V.text_if_string(item, address))

@@ -21,7 +21,7 @@ def json_truthy(value: Column) -> Column:
 def score_from_response(response: Column) -> Column:
     """P25: integer `score` of the JSON, else the first digits in the text, else 0."""
     data = salvage_json(response)
-    stated = F.when(V.is_type(data, "$", "OBJECT"), V.get(data, "$.score", "int"))
+    stated = F.when(V.is_object(data, "$"), V.get(data, "$.score", "int"))
     digits = F.regexp_extract(F.coalesce(response, F.lit("")), r"\d+", 0).try_cast("int")
     return F.coalesce(stated, digits, F.lit(0))
 
@@ -58,7 +58,7 @@ def application_result(response: Column) -> Column:
     """Letter and reason of a usable response; `error` holds the raw text of any other."""
     data = salvage_json(response)
     usable = json_truthy(data)
-    error = F.when(V.is_type(data, "$", "OBJECT") & V.get(data, "$.error", "variant").isNotNull(),
+    error = F.when(V.is_object(data, "$") & V.get(data, "$.error", "variant").isNotNull(),
                    V.get(data, "$.error")).when(~F.coalesce(usable, F.lit(False)), F.coalesce(response, F.lit("")))
     return F.struct(
         F.when(error.isNull(), V.get(data, "$.cover_letter")).alias("cover_letter"),

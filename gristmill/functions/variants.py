@@ -8,30 +8,26 @@ def get(value: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def type_of(value: Column, path: str = "$") -> Column:
-    """Type name of the value at a path: STRING, ARRAY<...>, OBJECT<...>, VOID; NULL when absent."""
-    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+def is_array(value: Column, path: str) -> Column:
+    return get(value, path, "array<variant>").isNotNull()
 
 
-def is_type(value: Column, path: str, name: str) -> Column:
-    return F.coalesce(F.startswith(type_of(value, path), F.lit(name)), F.lit(False))
+def is_object(value: Column, path: str) -> Column:
+    return get(value, path, "map<string,variant>").isNotNull()
 
 
 def text_if_string(value: Column, path: str) -> Column:
     """The value only if it is a JSON string. A plain cast would return the JSON of an object."""
-    return F.when(is_type(value, path, "STRING"), get(value, path))
+    return F.when(F.schema_of_variant(get(value, path, "variant")) == "STRING", get(value, path))
 
 
 def join_list_or_text(value: Column, path: str) -> Column:
     """An array of strings joined by ', ', or the string itself."""
-    return F.when(is_type(value, path, "ARRAY"),
-                  F.array_join(get(value, path, "array<string>"), ", ")).otherwise(get(value, path))
+    return F.coalesce(F.array_join(get(value, path, "array<string>"), ", "), get(value, path))
 
 
-def items(value: Column, *paths: str) -> Column:
-    """Rows of a payload: the payload itself if it is an array, else the first non-empty array
-    among the paths of the payload object."""
-    nested = [F.when(is_type(value, p, "ARRAY") & (F.size(get(value, p, "array<variant>")) > 0),
-                     get(value, p, "array<variant>")) for p in paths]
-    whole = F.when(is_type(value, "$", "ARRAY"), get(value, "$", "array<variant>"))
-    return F.coalesce(whole, *nested)
+def items(value: Column, *paths: str, whole: bool = True) -> Column:
+    """Rows of a payload: the payload itself if it is an array (unless `whole` is off), else the first
+    non-empty array among the paths of the payload object."""
+    nested = [F.when(F.size(get(value, p, "array<variant>")) > 0, get(value, p, "array<variant>")) for p in paths]
+    return F.coalesce(*([get(value, "$", "array<variant>")] if whole else []), *nested)

@@ -60,6 +60,14 @@ def fetch_boards(payloads: DataFrame, details: DataFrame, roster: DataFrame, det
     return first_rows(board_postings(payloads, details, roster, detected, role), max_jobs, "source_rank", "ord")
 
 
+def fetch(payloads: DataFrame, rss_items: DataFrame, details: DataFrame, roster: DataFrame, detected: DataFrame,
+          role: str | None = None, remote_only: bool = False, max_jobs: int = fv.BOARD_CAP) -> DataFrame:
+    """Company boards, or with `remote_only` the remote boards without the worldwide restriction."""
+    if remote_only:
+        return fetch_remote(payloads, rss_items, role, worldwide_only=False, max_jobs=max_jobs)
+    return fetch_boards(payloads, details, roster, detected, role, max_jobs)
+
+
 def fetch_report(postings: DataFrame) -> DataFrame:
     """E27."""
     return counts_per_source(postings)

@@ -23,12 +23,20 @@ def _gathered(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
 
 
+def _unique_postings(log: DataFrame) -> DataFrame:
+    """W2. A log read from a file knows which keys its records have."""
+    if "present" not in log.columns:
+        return dedup_by_posting(log)
+    flagged = log.withColumns({f"_no_{c}": ~F.array_contains("present", c) for c in ("title", "company")})
+    return dedup_by_posting(flagged, missing={"title": "_no_title", "company": "_no_company"})
+
+
 def statistics_report(log: DataFrame) -> DataFrame:
     """K2: one row with the sections dataset, scores, score_vs_status, personalization, cost_model. The
     gathered tables have one row per status, score or top company."""
     rounded = ST.score_statistics(log, "score").select(
         "n", F.round("mean", 2).alias("mean"), "median", F.round("stdev", 2).alias("stdev"), "min", "max", "p95")
-    unique = dedup_by_posting(log)
+    unique = _unique_postings(log)
     sections = [
         _one(ST.dataset_summary(log), "dataset"),
         _gathered(ST.status_counts(log), "statuses"),

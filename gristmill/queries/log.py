@@ -129,6 +129,15 @@ def quantity_stats(spark, folder):
     return _rounded(ST.score_statistics(rows, "v", "l_returnflag"))
 
 
+@query("""SELECT l_returnflag, l_linestatus, list_sort(list(v))[CAST(least(count(v), floor(0.95 * count(v)) + 1) AS BIGINT)] AS p95
+  FROM (SELECT l_returnflag, l_linestatus, CAST(round(l_extendedprice / 100) AS INTEGER) AS v FROM lineitem) GROUP BY 1, 2""")
+def p95(spark, folder):
+    """E8 per group: the value at rank min(n - 1, int(0.95 n)) from 0."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.round(F.col("l_extendedprice") / 100, 0).cast("int").alias("v"))
+    return ST.score_statistics(rows, "v", "l_returnflag", "l_linestatus").select("l_returnflag", "l_linestatus", "p95")
+
+
 @query(f"SELECT score AS value, count(*) AS n FROM {LOG_SQL} WHERE score IS NOT NULL GROUP BY 1 ORDER BY 1")
 def score_distribution(spark, folder):
     """E10."""
@@ -155,7 +164,7 @@ SELECT l_returnflag, count(*) AS n, round(any_value(q1), 6) AS q1, round(any_val
   max(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high_whisker,
   count(*) FILTER (WHERE NOT x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
 FROM v JOIN q USING (l_returnflag) GROUP BY 1""")
-def box_plot(spark, folder):
+def boxplot(spark, folder):
     """E26."""
     rows = table(spark, folder, "lineitem").select("l_returnflag", (F.col("l_quantity") * F.col("l_quantity")).cast("int").alias("x"))
     return _rounded(ST.box_plot(rows, "l_returnflag", "x"))

@@ -128,6 +128,15 @@ def jsonld_postings(spark, folder):
     return BD.json_ld_postings(pages).select("url", "posting.title", "posting.company", "posting.description", "posting.location")
 
 
+@query("""SELECT doc_id, left(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1], 120) AS title,
+  md5(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 5000)) AS digest FROM documents WHERE length(text) >= 100""")
+def text_postings(spark, folder):
+    """Postings of plain texts; the first line is the title."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    rows = docs.select("doc_id", BD.text_posting(F.col("text"), F.lit("u")).alias("p")).filter("p is not null")
+    return rows.select("doc_id", "p.title", F.md5("p.description").alias("digest"))
+
+
 LADDER_URL = "CASE WHEN page_id % 6 = 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || page_id ELSE 'http://p/' || page_id END"
 LADDER_HTML = "CASE page_id % 6 WHEN 1 THEN html || '//boards.greenhouse.io/acme/jobs/' || page_id WHEN 3 THEN NULL ELSE html END"
 

@@ -183,6 +183,17 @@ def url_parts(spark, folder):
         U.detect_board(url).alias("board"), U.job_id(url).alias("job_id"))
 
 
+@query(f"""WITH u AS (SELECT page_id, {BOARD_URL} AS u FROM pages)
+SELECT coalesce(CASE WHEN contains(host, 'greenhouse.io') THEN 'greenhouse' WHEN contains(host, 'lever.co') THEN 'lever'
+  WHEN contains(host, 'ashbyhq.com') THEN 'ashby' WHEN contains(host, 'smartrecruiters.com') THEN 'smartrecruiters'
+  WHEN contains(host, 'myworkdayjobs.com') THEN 'workday' WHEN contains(host, 'jobvite.com') THEN 'jobvite' END, 'none') AS board, count(*) AS n
+FROM (SELECT lower(regexp_extract(u, '{URL_PATTERN}', 1)) AS host FROM u) GROUP BY 1""")
+def board_detect(spark, folder):
+    """P5: pages per detected board."""
+    board = F.coalesce(U.detect_board(F.expr(BOARD_URL)), F.lit("none"))
+    return table(spark, folder, "pages").groupBy(board.alias("board")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT slug, ats FROM (SELECT 's' || s_suppkey AS slug, CASE WHEN s_suppkey % 2 = 0 THEN 'greenhouse' WHEN s_suppkey % 3 = 0 THEN 'lever'
   WHEN s_suppkey % 5 = 0 THEN 'ashby' END AS ats FROM supplier) WHERE ats IS NOT NULL""")
 def detect_ats(spark, folder):

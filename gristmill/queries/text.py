@@ -6,6 +6,7 @@ from gristmill import fixed_values as fv
 from gristmill.functions import text as X
 from gristmill.operators import keywords as K
 from gristmill.operators import recall as R
+from gristmill.plans import reports as RP
 from gristmill.queries import query, sql_list, table
 from gristmill.session import spread
 
@@ -122,13 +123,18 @@ recalls AS (SELECT d.doc_id, d.source AS role_family, kws, skills,
   FROM documents d JOIN lists USING (doc_id) JOIN skills s ON d.source = s.source)"""
 
 
-def _recall_rows(spark, folder):
+def _family_inputs(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     terms = K.top_terms(spread(docs, "doc_id"), "source", "text", 3)
     skills = terms.groupBy(F.col("source").alias("role_family")).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.upper("token").alias("s")))).alias("ranked")).select(
         "role_family", F.concat(F.col("ranked.s"), F.array(F.lit("CI/CD"), F.lit("ING"))).alias("skills"))
-    placed = docs.select("doc_id", F.col("source").alias("role_family"), "text").repartition("doc_id")
+    return docs.withColumnRenamed("source", "role_family"), skills
+
+
+def _recall_rows(spark, folder):
+    docs, skills = _family_inputs(spark, folder)
+    placed = docs.repartition("doc_id")
     return R.recall_rows(placed, K.keyword_lists(placed, "doc_id", "text", placed=True), skills, "doc_id")
 
 
@@ -154,3 +160,14 @@ def recall_summary(spark, folder):
 def recall_by_family(spark, folder):
     """E22."""
     return R.recall_by_family(_recall_rows(spark, folder)).withColumn("recall_mean", F.round("recall_mean", 6))
+
+
+@query(f"""WITH {RECALL_SQL} SELECT count(*) AS n_docs, count(DISTINCT role_family) AS n_families, round(avg(recall), 6) AS recall_mean,
+  round(avg(bigram_share), 6) AS bigram_share_mean FROM recalls""")
+def recall_report(spark, folder):
+    """K3: the nested report, read back at some of its fields."""
+    docs, skills = _family_inputs(spark, folder)
+    report = RP.recall_report(docs, skills, "doc_id", "text")
+    return report.select("summary.n_docs", F.size("by_family").cast("bigint").alias("n_families"),
+                         F.round("summary.recall_mean", 6).alias("recall_mean"),
+                         F.round("summary.bigram_share_mean", 6).alias("bigram_share_mean"))

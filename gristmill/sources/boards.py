@@ -19,11 +19,11 @@ from gristmill.functions.html import with_text
 from gristmill.functions.text import first_truthy, split_feed_title, strip_blank, truthy
 
 
-def _entries(payloads: DataFrame, *paths: str) -> DataFrame:
+def _entries(payloads: DataFrame, *paths: str, whole: bool = True) -> DataFrame:
     """One row per array entry: the payload columns, job (VARIANT) and ord over all payloads."""
     parsed = payloads.withColumn("payload", F.try_parse_json("body")).drop("body")
-    return parsed.select("*", F.posexplode(V.items(F.col("payload"), *paths)).alias("pos", "job")).withColumn(
-        "ord", F.shiftleft(F.col("ord"), 32) + F.col("pos")).filter(V.is_type(F.col("job"), "$", "OBJECT"))
+    return parsed.select("*", F.posexplode(V.items(F.col("payload"), *paths, whole=whole)).alias("pos", "job")).withColumn(
+        "ord", F.shiftleft(F.col("ord"), 32) + F.col("pos")).filter(V.is_object(F.col("job"), "$"))
 
 
 def _text(path: str) -> Column:
@@ -52,7 +52,7 @@ def _remote_titles(rows: DataFrame, title: Column, terms: Sequence[str], skip_te
 def greenhouse(payloads: DataFrame, details: DataFrame, terms: Sequence[str] = (), source_rank: int = 0) -> DataFrame:
     """List rows with the raw content of their detail record, '' where there is none. Title
     filters run before the join."""
-    listed = _board_titles(_entries(payloads, "$.jobs"), terms).withColumn("job_id", _text("$.id"))
+    listed = _board_titles(_entries(payloads, "$.jobs", whole=False), terms).withColumn("job_id", _text("$.id"))
     content = details.filter(F.col("board") == "greenhouse").select(
         F.col("slug").alias("d_slug"), F.col("job_id").alias("d_job"),
         V.get(F.try_parse_json("body"), "$.content").alias("content"))
@@ -105,7 +105,7 @@ def himalayas(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bo
     # Two rows at most, so sending them to every task is safe; a shuffle would have two keys.
     used = parsed.join(F.broadcast(last), F.col("branch") == F.col("last_branch"), "left").filter(
         F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))).drop("last_branch", "last_page")
-    rows = _remote_titles(_entries(used, "$.jobs"), F.lower(F.coalesce(_text("$.title"), F.lit(""))), terms)
+    rows = _remote_titles(_entries(used, "$.jobs", whole=False), F.lower(F.coalesce(_text("$.title"), F.lit(""))), terms)
     place = F.coalesce(V.join_list_or_text(F.col("job"), "$.locationRestrictions"), F.lit(""))
     rows = rows.withColumn("place", place)
     found = rows.filter(search) if searched else rows.filter(F.lit(False))
@@ -143,9 +143,8 @@ def remotive(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: boo
              source_rank: int = 0) -> DataFrame:
     """Only object payloads. A search (given, or exactly one term) already matched title and text
     at the board, so the title terms are not tested again."""
-    objects = payloads.filter(V.is_type(F.try_parse_json("body"), "$", "OBJECT"))
     searched = bool(search) or len(terms) == 1
-    rows = _remote_titles(_entries(objects, "$.jobs"), strip_blank(F.coalesce(_text("$.title"), F.lit(""))), terms,
+    rows = _remote_titles(_entries(payloads, "$.jobs", whole=False), strip_blank(F.coalesce(_text("$.title"), F.lit(""))), terms,
                           F.lit(True) if searched else None)
     rows = rows.withColumn("location", first_truthy(_text("$.candidate_required_location"), default="Remote"))
     if worldwide_only:
@@ -174,7 +173,7 @@ def jobicy(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool
     title = strip_blank(first_truthy(_text("$.jobTitle"), _text("$.title"), default=""))
     rows = _remote_titles(_entries(payloads, "$.jobs", "$.data"), title, terms)
     job = F.col("job")
-    places = [F.when(V.is_type(job, p, "ARRAY") & (F.size(V.get(job, p, "array<variant>")) == 0), F.lit(None))
+    places = [F.when(V.is_array(job, p) & (F.size(V.get(job, p, "array<variant>")) == 0), F.lit(None))
               .otherwise(V.join_list_or_text(job, p))
               for p in ("$.jobGeo", "$.jobLocation", "$.location", "$.candidate_required_location")]
     rows = rows.withColumn("location", first_truthy(*places, default="Remote"))

@@ -32,7 +32,7 @@ def greenhouse(urls: DataFrame, details: DataFrame) -> DataFrame:
     """S11."""
     rows = _matched(urls, details, "greenhouse").filter(truthy(_text("$.content")))
     data = F.col("data")
-    location = F.when(V.is_type(data, "$.location", "OBJECT"), F.coalesce(_text("$.location.name"), F.lit("Unknown"))) \
+    location = F.when(V.is_object(data, "$.location"), F.coalesce(_text("$.location.name"), F.lit("Unknown"))) \
         .otherwise(_text("$.location"))
     return with_text(rows, "description", _text("$.content")).select("url", posting(
         _text("$.title"), first_truthy(_text("$.company_name"), F.col("key.slug")), F.col("url"),
@@ -90,7 +90,7 @@ def smartrecruiters(urls: DataFrame, details: DataFrame) -> DataFrame:
     data = F.col("data")
     path = "$.jobAd.sections"
     as_object = F.transform(F.map_entries(V.get(data, path, "map<string,variant>")), lambda e: e["value"])
-    sections = F.when(V.is_type(data, path, "ARRAY"), V.get(data, path, "array<variant>")).otherwise(as_object)
+    sections = F.when(V.is_array(data, path), V.get(data, path, "array<variant>")).otherwise(as_object)
     texts = with_text(rows.select("url", "key", "data", F.posexplode(sections).alias("pos", "section")), "text",
                       V.text_if_string(F.col("section"), "$.text"))
     # One record's sections: a few rows per url.
