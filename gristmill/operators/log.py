@@ -66,7 +66,11 @@ def upsert(base: DataFrame, updates: DataFrame, columns: Sequence[str] | None =
     """
     columns = list(columns or [c for c in base.columns if c not in (key, "ord")])
     patches = combine_updates(updates, columns, key)
-    first_rows = base.groupBy(F.col(key).alias("first_key")).agg(F.min("ord").alias("first_ord"))
+    # Only base rows with an updated key are grouped; with few updates that takes no shuffle of the base.
+    keys = patches.select("patch_key")
+    touched = base.select(F.col(key).alias("first_key"), "ord").join(
+        keys, F.col("first_key").eqNullSafe(F.col("patch_key")), "left_semi")
+    first_rows = touched.groupBy("first_key").agg(F.min("ord").alias("first_ord"))
     targeted = patches.join(first_rows, F.col("patch_key").eqNullSafe(F.col("first_key")), "left")
     hits = targeted.filter(F.col("first_ord").isNotNull())
     merged = base.join(

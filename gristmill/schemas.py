@@ -20,6 +20,7 @@ PAYLOAD = _flat(source=_S, slug=_S, branch=_S, page_no=_I, body=_S, ord=_L)
 DETAIL = _flat(board=_S, slug=_S, job_id=_S, body=_S)
 RSS_ITEM = _flat(title=_S, link=_S, guid=_S, description=_S, region=_S)
 APP_LOG = _flat(title=_S, company=_S, score=_I, cover_letter=_S, fit_reason=_S, url=_S, status=_S)
+LABELLED_TEXT = _flat(id=_S, title=_S, company=_S, role_family=_S, url=_S, description=_S, synthetic=T.BooleanType())
 
 _BULLETS = "ARRAY<STRUCT<text: STRING, tags: ARRAY<STRING>>>"
 CANDIDATE = (
@@ -35,7 +36,3 @@ CANDIDATE = (
     "coursework: ARRAY<STRING>>>, "
     "skills ARRAY<STRUCT<category: STRING, skills: ARRAY<STRING>>>"
 )
-LABELLED_TEXTS = (
-    "ARRAY<STRUCT<id: STRING, title: STRING, company: STRING, role_family: STRING, url: STRING, "
-    "description: STRING, synthetic: BOOLEAN>>"
-)

@@ -18,21 +18,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_log(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """An application log, a JSON array of records or one record per line. A missing or
-    unreadable file is an empty log, or an error when strict. Columns: the log fields, `present`
-    (keys the record has) and `ord`."""
+def _records(spark: SparkSession, path: str, lines: bool, strict: bool = False) -> DataFrame:
+    """Records (ord, record VARIANT) in file order. A JSON array cannot be split, so one task reads it;
+    large files should have one record per line, which any number of tasks can read."""
+    if lines:
+        parse = F.parse_json if strict else F.try_parse_json
+        text = spark.read.text(path)
+        return text.select(F.monotonically_increasing_id().alias("ord"), parse("value").alias("record")).filter("record IS NOT NULL")
+    whole = F.from_json("value", "array<variant>", {"mode": "FAILFAST"} if strict else {})
+    return spark.read.text(path, wholetext=True).select(F.posexplode(whole).alias("ord", "record")).filter("record IS NOT NULL")
+
+
+def read_log(spark: SparkSession, path: str, strict: bool = False, lines: bool = False) -> DataFrame:
+    """An application log, a JSON array of records or, with `lines`, one record per line. A
+    missing or unreadable file is an empty log, or an error when strict. Columns: the log fields,
+    `present` (keys the record has) and `ord`."""
     fields = schemas.APP_LOG.fields
     columns = T.StructType([*fields, T.StructField("present", T.ArrayType(T.StringType())), T.StructField("ord", T.LongType())])
     if not path_exists(spark, path):
         if strict:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], columns)
-    text = spark.read.text(path, wholetext=True)
-    # A log file is one JSON array; split it into records without inferring anything.
-    whole = F.from_json("value", "array<variant>", {"mode": "FAILFAST"} if strict else {})
     record = F.col("record")
-    return text.select(F.posexplode(whole).alias("ord", "record")).filter(record.isNotNull()).select(
+    return _records(spark, path, lines, strict).select(
         *[F.try_variant_get(record, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields],
         F.json_object_keys(F.to_json(record)).alias("present"), F.col("ord").cast("long"))
 
@@ -96,12 +104,12 @@ def checked_candidates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return filled, flagged.filter("_bad").drop("_bad")
 
 
-def read_labelled_corpus(spark: SparkSession, path: str, n_max: int | None = None) -> DataFrame:
-    """Labelled texts of one JSON array file in file order, the first n_max; an error
-    when there are none."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(
-        F.from_json("value", schemas.LABELLED_TEXTS)).alias("ord", "row"))
-    rows = whole.select("row.*", F.col("ord").cast("long")).filter(F.col("synthetic"))
+def read_labelled_corpus(spark: SparkSession, path: str, n_max: int | None = None, lines: bool = False) -> DataFrame:
+    """Labelled texts in file order, the first n_max; an error when there are none."""
+    record = F.col("record")
+    rows = _records(spark, path, lines).select(
+        *[F.try_variant_get(record, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schemas.LABELLED_TEXT.fields],
+        F.col("ord").cast("long")).filter("synthetic")
     if n_max is not None:
         rows = rows.orderBy("ord").limit(n_max)
     if rows.isEmpty():

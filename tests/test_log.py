@@ -36,6 +36,15 @@ def test_upsert(rows):
     assert sorted(again.collect(), key=lambda r: r.ord) == sorted(got.select(again.columns).collect(), key=lambda r: r.ord)
 
 
+def test_upsert_with_a_hot_url(rows):
+    base = rows(BASE, *[log_row("hot" if i % 3 == 0 else f"u{i}", i) for i in range(300)])
+    new = updates(rows, *[{"url": "hot", "score": i} for i in range(90)], *[{"url": f"new{i % 5}", "title": str(i)} for i in range(20)])
+    got = L.upsert(base, new)
+    assert got.count() == 305
+    assert [r.ord for r in got.filter("score = 89").collect()] == [0]
+    assert {r.url: r.title for r in got.filter("url LIKE 'new%'").collect()} == {f"new{i}": str(15 + i) for i in range(5)}
+
+
 def test_applied(rows):
     log = rows(BASE, log_row("a", 1, "applied", company="first"), log_row("a", 2, "applied", company="second"), log_row("b", 3),
                log_row(None, 4, "applied"))
@@ -114,6 +123,9 @@ def test_log_files_and_report(spark, rows, tmp_path):
     assert FL.read_log(spark, str(tmp_path / "bad.json")).count() == 0
     with pytest.raises(Exception):
         FL.read_log(spark, str(tmp_path / "bad.json"), strict=True).count()
+    (tmp_path / "log.jsonl").write_text("\n".join(map(json.dumps, records)) + "\nbroken\n")
+    by_line = FL.read_log(spark, str(tmp_path / "log.jsonl"), lines=True)
+    assert by_line.orderBy("ord").drop("ord").collect() == log.orderBy("ord").drop("ord").collect()
     out = tmp_path / "report"
     RP.write_json(RP.statistics_report(log), str(out))
     report = json.loads(next(out.glob("*.json")).read_text())
@@ -161,6 +173,8 @@ def test_labelled_corpus(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps([{"id": str(i), "synthetic": i % 2 == 0} for i in range(6)]))
     assert [r.id for r in FL.read_labelled_corpus(spark, str(path), 2).orderBy("ord").collect()] == ["0", "2"]
+    (tmp_path / "c.jsonl").write_text('{"id": "x", "synthetic": true}\n{"id": "y"}\n')
+    assert [r.id for r in FL.read_labelled_corpus(spark, str(tmp_path / "c.jsonl"), lines=True).collect()] == ["x"]
     path.write_text("[]")
     with pytest.raises(ValueError):
         FL.read_labelled_corpus(spark, str(path))
