@@ -1,11 +1,13 @@
 """The operators as registered queries over whole tables."""
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, fingerprints, suffix_dedup, token_files
+from gristmill.llm import bpe, fingerprints, langid, license_scan, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
+from gristmill.llm.rows import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +27,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.mix_report(table(spark, folder, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query()
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, folder, "documents"))
+    return rows.select(id_back().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                       F.col("component").alias("component_id"))
+
+
+SHARED_LINES = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS line_key FROM lines),
+shared AS (SELECT line_key, max(doc_id) AS keeper FROM keyed WHERE length(line_key) >= 20
+           GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, s.keeper IS NOT NULL AND s.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN shared s USING (line_key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query(SHARED_LINES)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = line_dedup.without_shared_lines(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     rows = bpe.decode_documents(bpe.encode_documents(table(spark, folder, "documents")))
@@ -33,6 +67,22 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query()
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.report(table(spark, folder, "documents"))
+
+
+@query()
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, folder, "labels")))
+
+
+@query()
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, folder, "documents"))
+
+
 @query()
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.new_folder(spark)
