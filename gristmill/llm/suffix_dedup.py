@@ -1,18 +1,20 @@
 """Repeated byte strings (operator 9): distributed prefix doubling to a threshold length.
 
-A string of ``threshold`` bytes is named by its two halves, so ranks grow from half the threshold to all of it:
-
-1. *Rank of the first half.* Every string of the threshold's length holds a sampled place (a minimum of the rolling
-   hash among the halves inside it), so only sampled places are ranked first: about 4 % of all bytes. Spark sorts
-   (name of the half at the place, name of its neighbourhood, document, place); a neighbourhood is all that strings
-   holding that half can reach. A half that is alone is unique, and its place drops out. A place whose whole
-   neighbourhood stands earlier in the order is past the threshold on both sides: all its strings are repeats.
-2. *Doubling.* What is left are the first places of each neighbourhood among several that share a half. Each string
-   around them gets the pair of ranks (half at i, half at i + threshold / 2), and equal pairs meet; all but the first
-   are repeats.
-
-Names are 64-bit rolling hashes, so a pair has 128 bits. The sort is by key, document and place, so a passage that a
-third of all documents share is spread over many tasks. Only places that repeat go on to later rounds.
+Ranks grow from a seed of two fifths of the threshold to all of it, and only what shares a rank goes on:
+
+1. *Seeds.* Every string of the threshold's length holds a sampled place (a minimum of the rolling hash among the seeds
+   inside it), so only sampled places are ranked first: about 3 % of all bytes. Spark sorts (name of the seed, name of
+   its neighbourhood, document, place); a neighbourhood is all that strings holding that seed can reach. A seed that is
+   alone is unique, and its place drops out. A place whose whole neighbourhood stands earlier in the order is past the
+   threshold on both sides: all its strings are repeats. Left are the first places of each neighbourhood among several
+   that share a seed.
+2. *Groups.* The strings around those places go in groups of ``GROUP`` neighbouring starts. Spark sorts (name of what a
+   group's strings have in common, name of all they reach, document, place), and the same three cases follow.
+3. *Strings.* The strings of the groups that are left get the pair of ranks (half at i, half at i + threshold / 2), and
+   equal pairs meet; all but the first are repeats.
+
+Names are 64-bit rolling hashes, so a pair has 128 bits. The sorts are by key, document and place, so a passage that a
+third of all documents share is spread over many tasks; the last step takes minima before its shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.rows import id_back, keyed, map_rows, staged
 
 THRESHOLD = 100
+#: Neighbouring starts that are ranked together in the second round.
+GROUP = 8
 #: A place is a document's tie bits above so many bits of byte offset.
 OFFSET_BITS = 40
 _OFFSET = (1 << OFFSET_BITS) - 1
@@ -96,154 +100,182 @@ def sampled(names: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(highest == order)
 
 
-def places(text: str, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(offsets, names of the halves, names of the neighbourhoods) of a document's sampled places."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    n = len(data)
-    if n < 2 * half:
-        return None
-    sums = FIRST.sums(data)
-    names = FIRST.names(sums, slice(0, n - half + 1), slice(half, n + 1))
-    at = sampled(names, half + 1)
-    low, high = np.maximum(at - half, 0), np.minimum(at + 2 * half, n)
-    around = SECOND.names(SECOND.sums(data), low, high)
-    # A neighbourhood that a document's end cuts short isn't equal to another.
-    cut = ((at - low) * (3 * half) + (high - at)).astype(np.uint64)
-    return at, names[at], around + cut * np.uint64(0x9E3779B97F4A7C15)
+def cut_names(sums: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, wanted: int) -> np.ndarray:
+    """Names of [low, high) as far as the document reaches; one that its end cuts isn't equal to another."""
+    a, b = np.maximum(low, 0), np.minimum(high, n)
+    cut = ((a - low) * (wanted + 1) + (high - b)).astype(np.uint64)
+    return SECOND.names(sums, a, b) + cut * np.uint64(0x9E3779B97F4A7C15)
 
 
-_PLACES = pa.schema([("half", pa.int64()), ("around", pa.int64()), ("_id", pa.int64()), ("place", pa.int64())])
+class Ladder:
+    """Lengths of the rounds for a threshold."""
 
+    def __init__(self, threshold: int):
+        self.length, self.seed, self.half = threshold, 2 * threshold // 5, threshold // 2
+        self.reach = self.length - self.seed  # starts before a place whose strings hold its seed
 
-def _sampled_places(docs: DataFrame, half: int) -> DataFrame:
+    def places(self, data: np.ndarray) -> tuple:
+        """(names of the seeds, names of the neighbourhoods, offsets) of a document's sampled places."""
+        n = len(data)
+        sums = FIRST.sums(data)
+        names = FIRST.names(sums, slice(0, n - self.seed + 1), slice(self.seed, n + 1))
+        at = sampled(names, self.reach + 1)
+        around = cut_names(SECOND.sums(data), at - self.reach, at + self.length, n, self.length + self.reach)
+        return names[at], around, at
+
+    def groups(self, data: np.ndarray, at: np.ndarray) -> tuple:
+        """(names in common, names of all, first start, number of starts) of the groups around places."""
+        n = len(data)
+        back, place = (x.ravel() for x in np.meshgrid(np.arange(0, self.reach + 1, GROUP), at, indexing="ij"))
+        far = np.minimum(back + GROUP - 1, self.reach)
+        common = FIRST.names(FIRST.sums(data), np.maximum(place - back, 0), np.minimum(place + self.length - far, n))
+        all_of = cut_names(SECOND.sums(data), place - far, place + self.length - back, n, self.length + self.reach)
+        first, last = np.maximum(place - far, 0), np.minimum(place - back, n - self.length)
+        whole = (last >= first)
+        return common[whole], all_of[whole], first[whole], (last - first + 1)[whole]
+
+    def strings(self, data: np.ndarray, spans: np.ndarray) -> tuple:
+        """(first rank, second rank, start) of every string of the groups."""
+        starts = np.unique(np.concatenate([np.arange(x >> SPAN_BITS, (x >> SPAN_BITS) + (x & _SPAN)) for x in spans.tolist()]))
+        sums = FIRST.sums(data)
+        return (FIRST.names(sums, starts, starts + self.half), FIRST.names(sums, starts + self.half, starts + 2 * self.half), starts)
+
+
+#: Bits below an offset that hold a number of starts or bytes.
+SPAN_BITS = 16
+_SPAN = (1 << SPAN_BITS) - 1
+_RANKS = "one long, two long, _id long, place long"
+_SCHEMA = {n: pa.schema([(c, pa.int64()) for c in ("one", "two", "_id", "place", "starts")[:n]]) for n in (4, 5)}
+
+
+def _columns(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
+
+
+def ranks_of(ladder: Ladder, kind: str):
+    """Arrow function from documents, with a list of places or groups after the first round, to rows of ranks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                for i, t, text in zip(*(c.to_pylist() for c in batch.slice(start, 128).columns)):
-                    if found := places(text, half):
-                        at, names, around = found
-                        held.append((names.view(np.int64), around.view(np.int64), np.full(len(at), i, np.int64), at + (t << OFFSET_BITS)))
-                        size += len(at)
+            for start in range(0, batch.num_rows, 64):
+                for i, t, text, *at in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    if len(data) < ladder.length:
+                        continue
+                    one, two, offsets, *more = getattr(ladder, kind)(data, *(np.unique(np.array(x, np.int64)) for x in at))
+                    held.append((one.view(np.int64), two.view(np.int64), np.full(len(offsets), i, np.int64), offsets + (t << OFFSET_BITS), *more))
+                    size += len(offsets)
                 if size >= FLUSH_PLACES:
-                    yield _columns(held, _PLACES)
+                    yield _columns(held, _SCHEMA[len(held[0])])
                     held, size = [], 0
         if held:
-            yield _columns(held, _PLACES)
-
-    return docs.select("_id", "_tie", "_text").mapInArrow(run, "half long, around long, _id long, place long")
-
+            yield _columns(held, _SCHEMA[len(held[0])])
 
-def _columns(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
+    return run
 
 
 WHOLE, TEST = 0, 1
-_FOUND = pa.schema([("_id", pa.int64()), ("place", pa.int64()), ("kind", pa.int8())])
 
 
 def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (half, around, document, place): WHOLE for a place whose neighbourhood stands earlier, TEST
-    for the first place of a neighbourhood whose half has several. The runs at either end of a task can go on in
-    another, so their first places are tested whatever follows. Between batches one place is kept."""
-    last = None           # the last row seen
-    first_half = None     # half of the task's first run
-    held = None           # first place of the latest neighbourhood, and whether it was given out
+    """Over rows sorted by (one, two, document, place): WHOLE for a place whose pair stands earlier, TEST for the first
+    place of a pair whose ``one`` has several. The runs at either end of a task can go on in another, so their first
+    places are tested whatever follows. Between batches one row is kept."""
+    last = None       # the last row seen
+    first_run = None  # ``one`` of the task's first run
+    held = None       # first row of the latest pair, and whether it was given out
     for batch in batches:
         if not batch.num_rows:
             continue
-        half, around, ids, place = (c.to_numpy() for c in batch.columns)
-        if first_half is None:
-            first_half = half[0]
-        before = [np.concatenate([[c[0] if last is None else last[k]], c[:-1]]) for k, c in enumerate((half, around, ids, place))]
-        same = (half == before[0]) & (around == before[1])
+        rows = [c.to_numpy() for c in batch.columns]
+        one = rows[0]
+        if first_run is None:
+            first_run = one[0]
+        before = [np.concatenate([c[:1] if last is None else [last[k]], c[:-1]]) for k, c in enumerate(rows)]
+        same = (one == before[0]) & (rows[1] == before[1])
         if last is None:
             same[0] = False
-        repeated = same & ((ids != before[2]) | (place != before[3]))  # an equal row is the same place
+        repeated = same & ((rows[2] != before[2]) | (rows[3] != before[3]))  # an equal row is the same place
         heads = np.flatnonzero(~same)
-        out = [(ids[repeated], place[repeated], np.full(int(repeated.sum()), WHOLE, np.int8))]
-        h, i, p = half[heads], ids[heads], place[heads]
-        given = np.zeros(len(h), bool)
+        out = [[c[repeated] for c in rows[2:]] + [np.full(int(repeated.sum()), WHOLE, np.int64)]]
+        firsts = [c[heads] for c in rows]
+        given = np.zeros(len(heads), bool)
         if held:
-            h, i, p, given = (np.concatenate([[a], b]) for a, b in zip(held, (h, i, p, given)))
-        if len(h):
-            shared = h == first_half
-            shared[1:] |= h[1:] == h[:-1]
-            shared[:-1] |= h[:-1] == h[1:]
+            firsts = [np.concatenate([[x], c]) for x, c in zip(held[0], firsts)]
+            given = np.concatenate([[held[1]], given])
+        if len(given):
+            run = firsts[0]
+            shared = run == first_run
+            shared[1:] |= run[1:] == run[:-1]
+            shared[:-1] |= run[:-1] == run[1:]
             now = shared & ~given
-            out.append((i[now], p[now], np.full(int(now.sum()), TEST, np.int8)))
-            held = h[-1], i[-1], p[-1], bool(shared[-1] or given[-1])
-        last = half[-1], around[-1], ids[-1], place[-1]
-        yield _columns(out, _FOUND)
-    if held and not held[3]:
-        yield pa.RecordBatch.from_arrays([pa.array([int(held[1])]), pa.array([int(held[2])]), pa.array([TEST], pa.int8())], schema=_FOUND)
+            out.append([c[now] for c in firsts[2:]] + [np.full(int(now.sum()), TEST, np.int64)])
+            held = [c[-1] for c in firsts], bool(shared[-1] or given[-1])
+        last = [c[-1] for c in rows]
+        yield _found(out)
+    if held and not held[1]:
+        yield _found([[np.array([x]) for x in held[0][2:]] + [np.array([TEST])]])
 
 
-def _strings_around(half: int):
-    """(first rank, second rank, document, place) of every whole string that holds one of the places' halves."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                for i, t, text, at in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
-                    data = np.frombuffer(text.encode(), np.uint8)
-                    sums = FIRST.sums(data)
-                    starts = np.unique((np.array(at, np.int64) & _OFFSET)[:, None] - np.arange(half + 1))
-                    starts = starts[(starts >= 0) & (starts + 2 * half <= len(data))]
-                    first, second = (FIRST.names(sums, starts + k, starts + k + half) for k in (0, half))
-                    held.append((first.view(np.int64), second.view(np.int64), np.full(len(starts), i, np.int64), starts + (t << OFFSET_BITS)))
-                    size += len(starts)
-                if size >= FLUSH_PLACES:
-                    yield _columns(held, _PLACES)
-                    held, size = [], 0
-        if held:
-            yield _columns(held, _PLACES)
-
-    return run
+def _found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+    names = ["_id", "place", "starts"][:len(columns) - 1] + ["kind"]
+    return pa.RecordBatch.from_arrays([c.cast(pa.int8()) if n == "kind" else c for n, c in zip(names, columns)], names=names)
 
 
-def covered(n: int, spans: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
-    """Which of n bytes lie in [place - before, place + after) of some place."""
+def covered(n: int, spans: list[int]) -> np.ndarray:
+    """Which of n bytes lie in one of the spans (offset, then length)."""
     edge = np.zeros(n + 1, np.int64)
-    for at, before, after in spans:
-        np.add.at(edge, np.maximum(at - before, 0), 1)
-        np.add.at(edge, np.minimum(at + after, n), -1)
+    spans = np.array(spans, np.int64)
+    np.add.at(edge, spans >> SPAN_BITS, 1)
+    np.add.at(edge, np.minimum((spans >> SPAN_BITS) + (spans & _SPAN), n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary): every byte that a string of ``threshold`` bytes
-    covers which also starts earlier, by document and offset, is removed.
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary): every byte that a string of ``threshold`` bytes covers which
+    also starts earlier, by document and offset, is removed.
 
-    ``threshold`` is even. A null text is empty. A null id comes first; rows that share an id follow by the hash of
-    their text; equal rows are one document, none of which is earlier than the other.
+    ``threshold`` is even, from 10 to 32,000. A null text is empty. A null id comes first; rows that share an id follow
+    by the hash of their text; equal rows are one document, none of which is earlier than the other.
     """
-    if threshold % 2 or threshold < 4:
-        raise ValueError("the threshold is an even number of bytes, four or more")
-    half = threshold // 2
+    if threshold % 2 or not 10 <= threshold <= 32_000:
+        raise ValueError("the threshold is an even number of bytes from 10 to 32,000")
+    ladder = Ladder(threshold)
     source = keyed(docs, id_column, text_column)
-    first = _sampled_places(source, half).orderBy("half", "around", "_id", "place")
-    found = staged(first.mapInArrow(ranked, "_id long, place long, kind byte"))
-    keys = "_id", F.shiftright("place", OFFSET_BITS).alias("_tie")
-    tests = found.filter(F.col("kind") == TEST).groupBy(*keys).agg(F.collect_list("place").alias("at"))
-    strings = source.join(tests, ["_id", "_tie"]).select("_id", "_tie", "_text", "at")
-    pairs = staged(strings.mapInArrow(_strings_around(half), "half long, around long, _id long, place long"))
-    earliest = pairs.groupBy("half", "around").agg(F.min(F.struct("_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = (pairs.join(earliest.select("half", "around", "first"), ["half", "around"])
-             .filter(F.struct("_id", "place") != F.col("first")))
-    whole = found.filter(F.col("kind") == WHOLE).groupBy(*keys).agg(F.collect_list("place").alias("whole"))
-    singles = again.groupBy(*keys).agg(F.collect_list("place").alias("singles"))
-    marks = whole.join(singles, ["_id", "_tie"], "full")
+    order = "one", "two", "_id", "place"
+    offset = F.col("place").bitwiseAND(F.lit(_OFFSET))
+    span = lambda start, size: F.shiftleft(start, SPAN_BITS).bitwiseOR(size.cast("long"))
+
+    def by_document(rows: DataFrame, value) -> DataFrame:
+        return rows.groupBy("_id", F.shiftright("place", OFFSET_BITS).alias("_tie")).agg(F.collect_list(value).alias("at"))
+
+    seeds = staged(source.mapInArrow(ranks_of(ladder, "places"), _RANKS).orderBy(*order).mapInArrow(ranked, "_id long, place long, kind byte"))
+    # From here on it is one plan, in which the texts are dealt out once and meet what is asked of them three times.
+    near = source.join(by_document(seeds.filter(F.col("kind") == TEST), offset), ["_id", "_tie"])
+    groups = (near.select("_id", "_tie", "_text", "at").mapInArrow(ranks_of(ladder, "groups"), _RANKS + ", starts long")
+              .orderBy(*order).mapInArrow(ranked, "_id long, place long, starts long, kind byte"))
+    tests = by_document(groups.filter(F.col("kind") == TEST), span(offset, F.col("starts")))
+    strings = source.join(tests, ["_id", "_tie"]).select("_id", "_tie", "_text", "at").mapInArrow(ranks_of(ladder, "strings"), _RANKS)
+    earliest = strings.groupBy("one", "two").agg(F.min(F.struct("_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = strings.join(earliest.select("one", "two", "first"), ["one", "two"]).filter(F.struct("_id", "place") != F.col("first"))
+
+    start = F.greatest(offset - ladder.reach, F.lit(0))
+    spans = (seeds.filter(F.col("kind") == WHOLE).select("_id", "place", span(start, offset + ladder.length - start).alias("span"))
+             .unionByName(groups.filter(F.col("kind") == WHOLE).select("_id", "place", span(offset, F.col("starts") + ladder.length - 1).alias("span")))
+             .unionByName(again.select("_id", "place", span(offset, F.lit(ladder.length)).alias("span"))))
+    marks = by_document(spans, F.col("span"))
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for i, text, places_whole, places_single in rows:
+        for i, text, at in rows:
             raw = text.encode()
-            gone = covered(len(raw), [(np.array(places_whole or [], np.int64) & _OFFSET, half, 2 * half),
-                                      (np.array(places_single or [], np.int64) & _OFFSET, 0, 2 * half)])
+            if not at:
+                yield i, len(raw), 0, 0, raw
+                continue
+            gone = covered(len(raw), at)
             runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if runs else raw
-            yield i, len(raw), int(gone.sum()), runs, kept
+            yield i, len(raw), int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
-    joined = source.join(marks, ["_id", "_tie"], "left").select("_id", "_text", "whole", "singles")
+    joined = source.join(marks, ["_id", "_tie"], "left").select("_id", "_text", "at")
     return map_rows(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary",
                     cut).withColumn("doc_id", id_back("doc_id"))
