@@ -35,7 +35,7 @@ DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Code points of a segment: the unit that tasks encode in parallel. The result doesn't depend on it.
 SEGMENT = 1 << 15
 #: Bytes of text that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 #: Tokens on either side of a join in the first window.
 FIRST_WINDOW = 16
 # White space of the pre-tokenising pattern (Unicode White_Space), and the control characters
@@ -107,7 +107,9 @@ class Codec:
         which = chunks.indices.to_numpy()
         lengths = sizes[which]
         ends = np.cumsum(lengths)
-        out = pool[np.repeat(firsts[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        at = np.arange(ends[-1], dtype=np.int32)
+        at += np.repeat((firsts[which] - (ends - lengths)).astype(np.int32), lengths)
+        out = pool[at]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         if not odd.any():
             return out, bounds
@@ -239,8 +241,9 @@ def encoded_rows(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple
 
 
 def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None,
-                     segment: int = SEGMENT) -> DataFrame:
-    """(doc_id, ids array<int>) of every row's whole text.
+                     segment: int = SEGMENT, decode: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of every row's whole text; with ``decode`` also ``decoded``, the text of the ids, read
+    back in the same pass.
 
     A null text is empty and has no ids; equal rows come out as often as they stand in. A text above ``segment`` code
     points is encoded in segments by different tasks, whose encodings a tree joins two by two; each level halves their
@@ -249,11 +252,16 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
     path = path or public_tokenizers.path(DEFAULT_VOCABULARY)
     source = keyed(docs, id_column, text_column)
     short, long_texts = source.filter(F.length("_text") <= segment), source.filter(F.length("_text") > segment)
-    ids = map_rows(short, "doc_id long, ids array<int>", lambda rows: ((i, x.view(np.int32)) for i, _, x in rows),
-                   lambda batches: encoded_rows(batches, path))
-    joined = map_rows(joined_segments(long_texts, path, segment), "doc_id long, ids array<int>",
-                      lambda rows: ((i, np.frombuffer(x, np.int32)) for i, _, x in rows))
-    return ids.unionByName(joined).withColumn("doc_id", id_back("doc_id"))
+    out = "doc_id long, ids array<int>" + ", decoded string" * decode
+
+    def finished(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for i, _, x in rows:
+            ids = np.frombuffer(x, np.int32)
+            yield (i, ids, codec(path).decode(ids.tolist())) if decode else (i, ids)
+
+    return (map_rows(short, out, finished, lambda batches: encoded_rows(batches, path))
+            .unionByName(map_rows(joined_segments(long_texts, path, segment), out, finished))
+            .withColumn("doc_id", id_back("doc_id")))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, ids_column: str = "ids") -> DataFrame:

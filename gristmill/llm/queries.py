@@ -61,7 +61,7 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    rows = bpe.decode_documents(bpe.encode_documents(table(spark, folder, "documents")))
+    rows = bpe.encode_documents(table(spark, folder, "documents"), decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -19,9 +19,9 @@ ARROW = {
     "array<double>": pa.list_(pa.float64()),
 }
 #: Rows taken out of an Arrow batch at a time, and rows put into one.
-SLICE, FLUSH = 128, 2048
+SLICE, FLUSH = 128, 1024
 #: Arrow batches end after so many bytes of output.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 TIE_BITS = 23
 
@@ -50,7 +50,7 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
     size = 0
     for row in rows:
         held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
+        size += sum(4 * len(v) if hasattr(v, "dtype") else len(v) for v in row if hasattr(v, "__len__"))
         if len(held) >= FLUSH or size >= FLUSH_BYTES:
             yield _batch(held, schema)
             held, size = [], 0
@@ -76,6 +76,7 @@ def map_rows(df: DataFrame, out: str, function: Callable[[Iterator[tuple]], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches_of(function(read(batches)), schema)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 
