@@ -226,23 +226,28 @@ def _meta_title(html: Column) -> Column:
     return F.coalesce(_meta(html, "property", "og:title"), _meta(html, "name", "twitter:title"))
 
 
+def _markup(html: Column) -> Column:
+    """The page without comments and without what stands inside scripts and styles."""
+    return F.regexp_replace(F.regexp_replace(html, _COMMENT, " "), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+
+
 def page_title(html: Column) -> Column:
     """Og:title, twitter:title, then <title>; '' when none."""
-    return F.coalesce(_some(clean_text(_meta_title(html))), _element(html, "title"))
+    return _let(_markup(html), lambda h: F.coalesce(_some(clean_text(_meta_title(h))), _element(h, "title")))
 
 
 def iframe_source(html: Column) -> Column:
     """First iframe or frame in document order whose source starts with http, else NULL."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<i?frame\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(_markup(html), F.lit(r"(?is)<i?frame\b[^>]*>"), F.lit(0))
     sources = F.transform(tags, lambda t: unescape_common(F.regexp_extract(
         t, r"""(?is)\ssrc\s*=\s*["']?([^"'\s>]*)""", 1)))
     return F.try_element_at(F.filter(sources, lambda s: F.startswith(s, F.lit("http"))), F.lit(1))
 
 
 def json_ld_blocks(html: Column) -> Column:
-    """Raw text of the ld+json scripts in document order."""
+    """Raw text of the ld+json scripts in document order, comments left out."""
     return F.regexp_extract_all(
-        html,
+        F.regexp_replace(html, _COMMENT, " "),
         F.lit(r"""(?s)<(?i:script)\b[^>]*(?i:\stype)\s*=\s*["']?application/ld\+json(?:["'\s][^>]*)?>(.*?)</(?i:script)"""),
         F.lit(1),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill import fixed_values as fv
-from gristmill.functions.text import first_truthy
+from gristmill.functions.text import first_truthy, strip_blank
 
 _URL = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -88,3 +88,13 @@ def embedded_board_url(html: Column) -> Column:
         match = F.regexp_extract(html, pattern, 0)
         found.append(F.transform(F.array(match), canonical(pattern, template))[0])
     return F.coalesce(*found)
+
+
+def url_key(url: Column) -> Column:
+    """What equal urls have in common: the url without blanks around it; '' for none."""
+    return strip_blank(F.coalesce(url, F.lit("")))
+
+
+def two_part_order(ord: Column, pos: Column) -> Column:
+    """Order of a payload, then of an entry in it, as one decimal number that no payload number overflows."""
+    return ord.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + pos.cast("decimal(10,0)")

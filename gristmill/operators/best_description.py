@@ -71,7 +71,7 @@ def _board_lookups(pages: DataFrame, details: DataFrame, boards: DataFrame) -> D
     links = pages.select("url", F.posexplode(F.array(
         F.col("url"), embedded_board_url(F.col("html")), embedded_board_url(F.col("rendered_html")))).alias("slot", "link")) \
         .filter(F.col("link").isNotNull())
-    found = D.board_postings(links, details, boards, url="link").select(F.col("url").alias("link"), "posting")
+    found = D.board_postings(links, details, boards, pages.select("url", "html"), url="link").select(F.col("url").alias("link"), "posting")
     own = links.join(found, "link").withColumn("posting", F.col("posting").withField("url", F.col("url")))
     return own.groupBy("url").agg(_picked(0).alias("_api"), _picked(1).alias("_embedded"), _picked(2).alias("_rendered_api"))
 

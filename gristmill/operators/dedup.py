@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.functions.text import strip_blank
+from gristmill.functions.urls import url_key
 
 
 def first_per_key(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -25,7 +25,7 @@ def dedup_by_url(postings: DataFrame, url: str = "url", source_rank: str = "sour
                  ord: str = "ord") -> DataFrame:
     """First row per trimmed url; rows without a url all stay. (source_rank, ord) is the arrival
     order and identifies a row; rows without a url use it as their key, which also spreads them."""
-    key = strip_blank(F.coalesce(F.col(url), F.lit("")))
+    key = url_key(F.col(url))
     alone = key == ""
     return first_per_key(
         postings,

@@ -13,14 +13,6 @@ def role_key(role: Column) -> Column:
     return F.replace(F.replace(strip_blank(F.lower(role)), F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_"))
 
 
-def expand_role(role: str | None, synonyms: Mapping[str, Sequence[str]] = fv.ROLE_SYNONYMS) -> list[str]:
-    """D1 for the one role of a run: a plain parameter, no table needed."""
-    if not role:
-        return []
-    key = role.lower().strip().replace(" ", "_").replace("/", "_")
-    return [t.lower() for t in synonyms[key]] if key in synonyms else [role.lower()]
-
-
 def role_terms(synonyms: DataFrame) -> DataFrame:
     """One row per role key with its terms in order. Input: role_key, ord, term."""
     pairs = F.array_sort(F.collect_list(F.struct("ord", F.lower("term").alias("term"))))
@@ -38,6 +30,12 @@ def expand_roles(rows: DataFrame, role: str, synonyms: DataFrame) -> DataFrame:
     return keyed.join(terms, "role_key", "left").withColumn("terms", F.coalesce("terms", fallback)).drop("role_key")
 
 
+def terms_of(spark: SparkSession, role: str | None, synonyms: Mapping[str, Sequence[str]] = fv.ROLE_SYNONYMS) -> list[str]:
+    """D1 for the one role of a run: `expand_roles` over a table of one row."""
+    row = spark.createDataFrame([(role,)], "role STRING")
+    return expand_roles(row, "role", synonyms_table(spark, synonyms)).first().terms
+
+
 def synonyms_table(spark: SparkSession, synonyms: Mapping[str, Sequence[str]] = fv.ROLE_SYNONYMS) -> DataFrame:
     """The synonym dimension, a handful of rows by construction."""
     rows = [(key, i, term) for key, terms in synonyms.items() for i, term in enumerate(terms)]

@@ -40,12 +40,12 @@ def candidates_to_apply(postings: DataFrame, log: DataFrame, scraped: DataFrame,
     return scored(drop_senior(fresh, verdicts), score_responses)
 
 
-def log_updates(accepted: DataFrame, application_responses: DataFrame, cap: int = fv.RUN_CAP, key: str = "url") -> DataFrame:
-    """Pending log records of the first `cap` postings with a usable response, with `present`
+def log_updates(accepted: DataFrame, application_responses: DataFrame, cap: int | None = None, key: str = "url") -> DataFrame:
+    """Pending log records of the postings with a usable response, with `cap` of the first of them, with `present`
     naming all their fields. The result is the input of the log upsert."""
     answers = application_responses.select(F.col(key).alias("_a_key"), application_result(F.col("text")).alias("result"))
     usable = accepted.join(answers, F.col(key) == F.col("_a_key")).filter(F.col("result.error").isNull())
-    done = first_rows(usable, cap, "source_rank", "ord")
+    done = usable if cap is None else first_rows(usable, cap, "source_rank", "ord")
     names = ["title", "company", "score", "cover_letter", "fit_reason", "url", "status"]
     return done.select("title", "company", "score", "result.cover_letter", "result.fit_reason", "url",
                        F.lit("pending").alias("status"), F.array(*[F.lit(n) for n in names]).alias("present"),

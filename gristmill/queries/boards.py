@@ -14,8 +14,7 @@ from gristmill.sources import files as FL
 
 TERMS = ["anvil", "bolt", "ring"]
 TERMS_SQL = "anvil|bolt|ring"
-BOARD_SENIOR = "senior|lead|staff|manager|director"
-REMOTE_SENIOR = "senior|lead|staff|principal|manager|director|head of"
+BOARD_SENIOR, REMOTE_SENIOR = "|".join(fv.BOARD_SENIOR_WORDS), "|".join(fv.REMOTE_SENIOR_WORDS)
 
 # One payload per part: a job array of one or two jobs, the second one senior or role-less.
 TITLE = "CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 4 = 0 THEN 'Lead ' || p_name ELSE upper(p_name) END"
@@ -32,7 +31,7 @@ def _board_body(second, wrapper):
 
 
 def _picked(df):
-    return df.select("title", "company", "url", "description", "location", "source", "ord")
+    return df.select("title", "company", "url", "description", "location", "source", F.col("ord").cast("bigint").alias("ord"))
 
 
 def _board_sql(url, description, location, source):
@@ -127,7 +126,7 @@ def himalayas_browse(spark, folder):
        .replace("title <> ''", "p_partkey % 11 <> 0"))
 def weworkremotely_feed(spark, folder):
     """Feed items; the title splits at the first ': '."""
-    items = table(spark, folder, "part").filter("p_partkey % 11 <> 0").selectExpr(
+    items = table(spark, folder, "part").selectExpr(
         f"CASE p_partkey % 3 WHEN 0 THEN '  ' || p_brand || ': ' || {TITLE} WHEN 1 THEN 'Co: x: ' || {TITLE} ELSE {TITLE} END AS title",
         "CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'http://w/' || p_partkey END AS link", "'g' || p_partkey AS guid",
         f"'{DESCRIPTION}' AS description", "CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS region", "p_partkey AS ord")
@@ -206,7 +205,7 @@ def remote_union(spark, folder):
     """Five remote boards, first row per url."""
     synonyms = {"tools": TERMS}
     payloads, items = _remote_inputs(spark, folder)
-    terms = R.expand_role("Tools", synonyms)
+    terms = R.terms_of(spark, "Tools", synonyms)
     def of(source):
         return payloads.filter(F.col("source") == source)
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gristmill import fixed_values as fv
 from gristmill.functions import predicates as P
 from gristmill.operators import limits as L
 from gristmill.operators import log as LG
@@ -249,7 +250,7 @@ def application_updates(spark, folder):
     """Log records of the first 50 gated postings with a usable response."""
     postings, log, verdicts, scores, results = _gate_inputs(spark, folder)
     accepted = A.candidates_to_apply(postings, log, postings.limit(0), verdicts, scores)
-    return A.log_updates(accepted, results).select("url", "score", "cover_letter", "fit_reason", "status")
+    return A.log_updates(accepted, results, cap=fv.RUN_CAP).select("url", "score", "cover_letter", "fit_reason", "status")
 
 
 @query(f"""WITH l AS (SELECT * FROM {LOG_SQL}),

@@ -11,8 +11,7 @@ from gristmill.operators import limits as L
 from gristmill.operators import roles as R
 from gristmill.queries import query, table
 
-BOARD_SENIOR = "senior|lead|staff|manager|director"
-REMOTE_SENIOR = "senior|lead|staff|principal|manager|director|head of"
+BOARD_SENIOR, REMOTE_SENIOR = "|".join(fv.BOARD_SENIOR_WORDS), "|".join(fv.REMOTE_SENIOR_WORDS)
 
 # Titles composed from part columns, the same way on both sides.
 TITLE = """CASE p_partkey % 9 WHEN 0 THEN 'Senior ' || p_name WHEN 1 THEN 'Leading ' || p_name WHEN 2 THEN 'Principal ' || p_name

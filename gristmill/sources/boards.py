@@ -23,15 +23,20 @@ def _entries(payloads: DataFrame, *paths: str, whole: bool = True) -> DataFrame:
     """One row per array entry: the payload columns, job (VARIANT) and ord over all payloads."""
     parsed = payloads.withColumn("payload", F.try_parse_json("body")).drop("body")
     return parsed.select("*", F.posexplode(V.items(F.col("payload"), *paths, whole=whole)).alias("pos", "job")).withColumn(
-        "ord", F.shiftleft(F.col("ord"), 32) + F.col("pos")).filter(V.is_object(F.col("job"), "$"))
+        "ord", U.two_part_order(F.col("ord"), F.col("pos"))).filter(V.is_object(F.col("job"), "$"))
 
 
 def _text(path: str) -> Column:
     return V.get(F.col("job"), path)
 
 
-def _ordered(rows: DataFrame, source_rank: int) -> DataFrame:
-    return rows.withColumn("source_rank", F.lit(source_rank)).select(*schemas.ORDERED_POSTING.fieldNames())
+def _rank(source_rank: int | Column) -> Column:
+    """The rank of a source, or a payload column that has it."""
+    return F.lit(source_rank).cast("int").alias("source_rank")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.select(*schemas.ORDERED_POSTING.fieldNames())
 
 
 def _board_titles(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -49,7 +54,7 @@ def _remote_titles(rows: DataFrame, title: Column, terms: Sequence[str], skip_te
     return titled.filter(truthy(F.col("title")) & ~P.senior_remote_title(F.col("title")) & role)
 
 
-def greenhouse(payloads: DataFrame, details: DataFrame, terms: Sequence[str] = (), source_rank: int = 0) -> DataFrame:
+def greenhouse(payloads: DataFrame, details: DataFrame, terms: Sequence[str] = (), source_rank: int | Column = 0) -> DataFrame:
     """List rows with the raw content of their detail record, '' where there is none. Title
     filters run before the join."""
     listed = _board_titles(_entries(payloads, "$.jobs", whole=False), terms).withColumn("job_id", _text("$.id"))
@@ -63,10 +68,10 @@ def greenhouse(payloads: DataFrame, details: DataFrame, terms: Sequence[str] = (
         U.listing_url(_text("$.jobUrl"), "https://boards.greenhouse.io/", F.col("slug"), "/jobs/", F.col("job_id")).alias("url"),
         F.coalesce("content", F.lit("")).alias("description"),
         F.coalesce(V.get(location, "$.location.name"), F.lit("Unknown")).alias("location"),
-        F.lit("greenhouse").alias("source"), "ord"), source_rank)
+        F.lit("greenhouse").alias("source"), "ord", _rank(source_rank)))
 
 
-def lever(payloads: DataFrame, terms: Sequence[str] = (), source_rank: int = 0) -> DataFrame:
+def lever(payloads: DataFrame, terms: Sequence[str] = (), source_rank: int | Column = 0) -> DataFrame:
     """S4."""
     rows = _board_titles(_entries(payloads, "$.jobs"), terms)
     return _ordered(rows.select(
@@ -74,10 +79,10 @@ def lever(payloads: DataFrame, terms: Sequence[str] = (), source_rank: int = 0)
         U.listing_url(_text("$.hostedUrl"), "https://jobs.lever.co/", F.col("slug"), "/", _text("$.id")).alias("url"),
         F.coalesce(_text("$.description"), F.lit("")).alias("description"),
         F.coalesce(_text("$.categories.location"), F.lit("Unknown")).alias("location"),
-        F.lit("lever").alias("source"), "ord"), source_rank)
+        F.lit("lever").alias("source"), "ord", _rank(source_rank)))
 
 
-def ashby(payloads: DataFrame, terms: Sequence[str] = (), source_rank: int = 0) -> DataFrame:
+def ashby(payloads: DataFrame, terms: Sequence[str] = (), source_rank: int | Column = 0) -> DataFrame:
     """Only a string counts as a location."""
     rows = _board_titles(_entries(payloads, "$.jobs"), terms)
     return _ordered(rows.select(
@@ -85,26 +90,26 @@ def ashby(payloads: DataFrame, terms: Sequence[str] = (), source_rank: int = 0)
         U.listing_url(_text("$.jobUrl"), "https://boards.ashbyhq.com/", F.col("slug"), "/", _text("$.id")).alias("url"),
         first_truthy(_text("$.descriptionPlain"), _text("$.description"), default="").alias("description"),
         F.coalesce(V.text_if_string(F.col("job"), "$.location"), F.lit("Unknown")).alias("location"),
-        F.lit("ashby").alias("source"), "ord"), source_rank)
+        F.lit("ashby").alias("source"), "ord", _rank(source_rank)))
 
 
 def himalayas(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool = False, searched: bool = True,
-              max_pages: int = fv.PAGE_CAP, source_rank: int = 0) -> DataFrame:
-    """The search pages if they give any row, else the browse pages. Pages after the one that
-    ends a search (empty, or reaching the total) do not count. Only browse rows are tested for a
-    worldwide location, before the default is filled in."""
-    parsed = payloads.filter(F.col("page_no") <= max_pages)
+              max_pages: int | None = None, source_rank: int | Column = 0) -> DataFrame:
+    """Of each fetch, the search pages if they give any row, else the browse pages. `slug` tells the
+    fetches of a payload table apart. Pages after the one that ends a fetch's branch (empty, or reaching the
+    total) do not count; a malformed body loses its own page only. Only browse rows are tested for a worldwide
+    location, before the default is filled in. With `max_pages` later pages do not count (L5)."""
+    parsed = payloads if max_pages is None else payloads.filter(F.col("page_no") <= max_pages)
     body = F.try_parse_json("body")
     size = F.coalesce(F.size(V.get(body, "$.jobs", "array<variant>")), F.lit(0))
     total = F.coalesce(V.get(body, "$.totalCount", "bigint"), F.lit(0))
     search = F.col("branch") == "search"
     ends = F.when(search, (size <= 0) | ((total > 0) & (F.col("page_no") * fv.PAGE_SIZE >= total))).otherwise(
         ~truthy(V.get(body, "$.nextCursor")))
-    last = parsed.filter(F.col("branch").isin("search", "browse") & (ends | body.isNull())).groupBy(
-        F.col("branch").alias("last_branch")).agg(F.min("page_no").alias("last_page"))
-    # Two rows at most, so sending them to every task is safe; a shuffle would have two keys.
-    used = parsed.join(F.broadcast(last), F.col("branch") == F.col("last_branch"), "left").filter(
-        F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))).drop("last_branch", "last_page")
+    last = parsed.filter(F.col("branch").isin("search", "browse") & body.isNotNull() & ends).groupBy(
+        F.col("slug").alias("last_slug"), F.col("branch").alias("last_branch")).agg(F.min("page_no").alias("last_page"))
+    used = parsed.join(last, F.col("slug").eqNullSafe(F.col("last_slug")) & (F.col("branch") == F.col("last_branch")), "left").filter(
+        F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))).drop("last_slug", "last_branch", "last_page")
     rows = _remote_titles(_entries(used, "$.jobs", whole=False), F.lower(F.coalesce(_text("$.title"), F.lit(""))), terms)
     place = F.coalesce(V.join_list_or_text(F.col("job"), "$.locationRestrictions"), F.lit(""))
     rows = rows.withColumn("place", place)
@@ -112,14 +117,13 @@ def himalayas(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bo
     browse = rows.filter(F.col("branch") == "browse")
     if worldwide_only:
         browse = browse.filter(P.worldwide(F.col("place")))
-    # One row at most, so sending it to every task is safe.
-    any_found = F.broadcast(found.select(F.replace("branch", F.lit("search"), F.lit("browse")).alias("branch")).limit(1))
-    chosen = found.unionByName(browse.join(any_found, "branch", "left_anti"))
+    fetches = found.select(F.col("slug").alias("found_slug")).distinct()
+    chosen = found.unionByName(browse.join(fetches, F.col("slug").eqNullSafe(F.col("found_slug")), "left_anti"))
     return _ordered(with_text(chosen, "description", _text("$.description")).select(
         "title", first_truthy(_text("$.companyName"), _text("$.companySlug"), default="Unknown").alias("company"),
         first_truthy(_text("$.applicationLink"), _text("$.guid"), default="").alias("url"), "description",
         first_truthy(F.col("place"), default="Remote").alias("location"),
-        F.lit("himalayas").alias("source"), "ord"), source_rank)
+        F.lit("himalayas").alias("source"), "ord", _rank(source_rank)))
 
 
 def read_rss(spark, path: str) -> DataFrame:
@@ -128,7 +132,7 @@ def read_rss(spark, path: str) -> DataFrame:
     return items.withColumn("ord", F.monotonically_increasing_id())
 
 
-def weworkremotely(items: DataFrame, terms: Sequence[str] = (), source_rank: int = 0) -> DataFrame:
+def weworkremotely(items: DataFrame, terms: Sequence[str] = (), source_rank: int | Column = 0) -> DataFrame:
     """S7, P12: 'Company: Title' items; the title keeps its case and no worldwide test applies."""
     parts = split_feed_title(strip_blank(F.coalesce("title", F.lit(""))))
     rows = items.withColumn("parts", parts).withColumn("company", F.col("parts.company"))
@@ -136,11 +140,11 @@ def weworkremotely(items: DataFrame, terms: Sequence[str] = (), source_rank: int
     return _ordered(with_text(kept, "description", F.col("description")).select(
         "title", "company", first_truthy(F.col("link"), F.col("guid"), default="").alias("url"), "description",
         first_truthy(F.col("region"), default="Remote").alias("location"),
-        F.lit("weworkremotely").alias("source"), "ord"), source_rank)
+        F.lit("weworkremotely").alias("source"), "ord", _rank(source_rank)))
 
 
 def remotive(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool = False, search: str | None = None,
-             source_rank: int = 0) -> DataFrame:
+             source_rank: int | Column = 0) -> DataFrame:
     """Only object payloads. A search (given, or exactly one term) already matched title and text
     at the board, so the title terms are not tested again."""
     searched = bool(search) or len(terms) == 1
@@ -152,10 +156,10 @@ def remotive(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: boo
     return _ordered(with_text(rows, "description", _text("$.description")).select(
         "title", first_truthy(_text("$.company_name"), default="Unknown").alias("company"),
         F.coalesce(_text("$.url"), F.lit("")).alias("url"), "description",
-        "location", F.lit("remotive").alias("source"), "ord"), source_rank)
+        "location", F.lit("remotive").alias("source"), "ord", _rank(source_rank)))
 
 
-def remoteok(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool = False, source_rank: int = 0) -> DataFrame:
+def remoteok(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool = False, source_rank: int | Column = 0) -> DataFrame:
     """Only array payloads; entries without a position (the legal notice) are dropped."""
     rows = _remote_titles(_entries(payloads), strip_blank(F.coalesce(_text("$.position"), F.lit(""))), terms)
     rows = rows.withColumn("location", first_truthy(_text("$.location"), default="Remote"))
@@ -165,10 +169,10 @@ def remoteok(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: boo
     return _ordered(with_text(rows, "description", _text("$.description")).select(
         "title", first_truthy(_text("$.company"), default="Unknown").alias("company"),
         U.remoteok_url(link, _text("$.slug")).alias("url"), "description",
-        "location", F.lit("remoteok").alias("source"), "ord"), source_rank)
+        "location", F.lit("remoteok").alias("source"), "ord", _rank(source_rank)))
 
 
-def jobicy(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool = False, source_rank: int = 0) -> DataFrame:
+def jobicy(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool = False, source_rank: int | Column = 0) -> DataFrame:
     """Array payload, or `jobs` or `data` of an object; several names per field."""
     title = strip_blank(first_truthy(_text("$.jobTitle"), _text("$.title"), default=""))
     rows = _remote_titles(_entries(payloads, "$.jobs", "$.data"), title, terms)
@@ -183,4 +187,4 @@ def jobicy(payloads: DataFrame, terms: Sequence[str] = (), worldwide_only: bool
     return _ordered(with_text(rows, "description", about).select(
         "title", first_truthy(_text("$.companyName"), _text("$.company"), default="Unknown").alias("company"),
         first_truthy(_text("$.jobLink"), _text("$.url"), _text("$.link"), default="").alias("url"), "description",
-        "location", F.lit("jobicy").alias("source"), "ord"), source_rank)
+        "location", F.lit("jobicy").alias("source"), "ord", _rank(source_rank)))

@@ -20,7 +20,8 @@ def requested(urls: DataFrame, url: str = "url") -> DataFrame:
 def _matched(urls: DataFrame, details: DataFrame, board: str) -> DataFrame:
     wanted = urls.filter((F.col("key.board") == board) & F.col("key.job_id").isNotNull())
     records = details.filter(F.col("board") == board).select(
-        F.col("slug").alias("d_slug"), F.col("job_id").alias("d_job"), F.try_parse_json("body").alias("data"))
+        F.col("slug").alias("d_slug"), F.col("job_id").alias("d_job"), F.try_parse_json("body").alias("data"),
+        F.col("body").alias("raw"))
     return wanted.join(records, (F.col("key.slug") == F.col("d_slug")) & (F.col("key.job_id") == F.col("d_job")))
 
 
@@ -68,7 +69,7 @@ def ashby(urls: DataFrame, boards: DataFrame) -> DataFrame:
     lengths = wanted.groupBy("slug").agg(F.collect_set(F.length("job_id")).alias("lengths"))
     rows = boards.withColumn("data", F.try_parse_json("body")).select(
         "slug", "ord", F.posexplode(V.items(F.col("data"), "$.jobs")).alias("pos", "job")).withColumn(
-        "ord", F.shiftleft(F.col("ord"), 32) + F.col("pos")).drop("pos")
+        "ord", U.two_part_order(F.col("ord"), F.col("pos"))).drop("pos")
     # A job id is a path part, so it lies within one part of the link.
     listed = rows.join(lengths, "slug").select(
         "slug", "ord", "job", "lengths",
@@ -85,13 +86,15 @@ def ashby(urls: DataFrame, boards: DataFrame) -> DataFrame:
 
 
 def smartrecruiters(urls: DataFrame, details: DataFrame) -> DataFrame:
-    """Section texts in order; sections may be an object or an array."""
+    """Section texts in the record's order; sections may be an object or an array. The order of an object's keys
+    is read from the text, as a VARIANT sorts them."""
     rows = _matched(urls, details, "smartrecruiters")
     data = F.col("data")
     path = "$.jobAd.sections"
-    as_object = F.transform(F.map_entries(V.get(data, path, "map<string,variant>")), lambda e: e["value"])
+    names = F.json_object_keys(F.get_json_object("raw", path))
+    as_object = F.transform(names, lambda name: V.get(data, path, "map<string,variant>")[name])
     sections = F.when(V.is_array(data, path), V.get(data, path, "array<variant>")).otherwise(as_object)
-    texts = with_text(rows.select("url", "key", "data", F.posexplode(sections).alias("pos", "section")), "text",
+    texts = with_text(rows.select("url", "key", "data", "raw", F.posexplode(sections).alias("pos", "section")), "text",
                       V.text_if_string(F.col("section"), "$.text"))
     # One record's sections: a few rows per url.
     joined = texts.groupBy("url").agg(

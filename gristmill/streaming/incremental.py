@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gristmill.functions.urls import url_key
 from gristmill.operators import log as L
 from gristmill.operators.dedup import dedup_by_url
 
@@ -74,8 +75,8 @@ def stream_new_postings(postings: DataFrame, log_store: str, out: str, checkpoin
         fs, root = _paths(spark, out)
         if fs.exists(root):
             earlier = spark.read.schema("url STRING, batch BIGINT").parquet(out).filter(F.col("batch") < batch_id)
-            known = earlier.filter(F.coalesce("url", F.lit("")) != "").select(F.trim("url").alias("known")).distinct()
-            fresh = fresh.join(known, F.trim("url") == F.col("known"), "left_anti")
+            known = earlier.select(url_key(F.col("url")).alias("known")).filter("known <> ''").distinct()
+            fresh = fresh.join(known, url_key(F.col("url")) == F.col("known"), "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return postings.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint) \

@@ -138,3 +138,43 @@ def test_manual(rows):
     assert [(r.title, r.source, r.description[:2]) for r in found] == [("S", "generic", "xx"), ("t", "manual", "d"), ("x", "manual", "d")]
     bulk = FL.bulk_manual_postings(entries.withColumn("description", F.lit("y" * 2000)))
     assert {len(r.description) for r in bulk.collect()} == {1500} and "source" not in bulk.columns
+
+
+def test_himalayas_fetches_are_apart(rows):
+    """Each slug is a fetch: a short search, a broken page and a hit of one change nothing for another."""
+    def job(n):
+        return json.dumps({"jobs": [{"title": f"dev {n}", "guid": f"g{n}"}], "totalCount": 200})
+
+    data = rows(PAYLOAD, *[("himalayas", slug, branch, page, body, page) for slug, branch, page, body in [
+        ("q1", "search", 1, job(1)), ("q1", "search", 2, "broken"), ("q1", "search", 3, job(3)),
+        ("q2", "search", 1, job(11)), ("q2", "search", 2, job(12)), ("q2", "search", 3, '{"jobs": []}'), ("q2", "search", 4, job(14)),
+        ("q3", "search", 1, '{"jobs": []}'), ("q3", "browse", 1, job(21)), ("q1", "browse", 1, job(22)),
+        (None, "search", 1, job(31)), *[("q4", "search", p, job(40 + p)) for p in range(1, 8)]]])
+    found = sorted(int(r.url[1:]) for r in B.himalayas(data).collect())
+    assert found == [1, 3, 11, 12, 21, 31, *range(41, 48)]
+    assert sorted(int(r.url[1:]) for r in B.himalayas(data, max_pages=5).collect()) == [1, 3, 11, 12, 21, 31, *range(41, 46)]
+
+
+def test_large_payload_numbers_keep_rows(rows):
+    data = rows(PAYLOAD, *[("jobicy", "s", None, 1, '[{"title": "a"}, {"title": "b"}]', n) for n in (0, 2**31, 2**33, 2**62)])
+    found = B.jobicy(data)
+    assert found.select("ord").distinct().count() == 8 and FT.dedup_by_url(found).count() == 8
+    assert [r.title for r in found.orderBy("ord").collect()] == ["a", "b"] * 4
+
+
+def test_board_order(rows):
+    data = rows(PAYLOAD, ("lever", "a", None, 1, '[{"title": "a2"}]', 9), ("lever", "a", None, 1, '[{"title": "a0"}, {"title": "a1"}]', 3),
+                ("ashby", "b", None, 1, '[{"title": "b0"}]', 1))
+    roster = rows("slug STRING, ord INT", ("b", 5), ("a", 2))
+    detected = rows("slug STRING, ats STRING", ("a", "lever"), ("b", "ashby"))
+    nothing = rows(DETAIL, ("x", "x", "x", "{}"))
+    found = FT.fetch_boards(data, nothing, roster, detected).orderBy("source_rank", "ord")
+    assert [(r.source_rank, r.title) for r in found.collect()] == [(2, "a0"), (2, "a1"), (2, "a2"), (5, "b0")]
+    assert [r.title for r in FT.fetch_boards(data, nothing, roster, detected, max_jobs=2).collect()] == ["a0", "a1"]
+
+
+def test_sections_keep_their_order(rows):
+    urls = D.requested(rows("url STRING", ("https://jobs.smartrecruiters.com/acme/12",)))
+    details = rows(DETAIL, ("smartrecruiters", "acme", "12", json.dumps(
+        {"name": "N", "jobAd": {"sections": {"jobDescription": {"text": "first"}, "companyDescription": {"text": "second"}}}})))
+    assert D.smartrecruiters(urls, details).first().posting.description == "first second"

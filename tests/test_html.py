@@ -112,3 +112,11 @@ def test_ladder(rows):
         "http://text": ("generic", "F", 106), "http://frame": ("generic", "f", 120), "http://rendered-board": ("generic", "w", 300),
         "http://asked": ("llm", "f", 13)}
     assert best["http://text"].title == "First"
+
+
+def test_comments_and_script_strings_are_not_markup(column):
+    assert column(H.iframe_source, '<!-- <iframe src="http://old"> --><script>x = "<iframe src=\'http://js\'>"</script><iframe src="http://new">') == ["http://new"]
+    assert column(H.page_title, "<!-- <title>Old</title> --><script>'<title>js</title>'</script><title>New</title>") == ["New"]
+    assert column(H.page_title, '<!-- <meta property="og:title" content="Old"> --><title>New</title>') == ["New"]
+    block = '<script type="application/ld+json">{"a": "%s"}</script>'
+    assert column(H.json_ld_blocks, "<!-- " + block % "old" + " -->" + block % "new") == [['{"a": "new"}']]

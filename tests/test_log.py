@@ -151,8 +151,8 @@ def test_gates(rows):
 
 
 def test_roles(spark, rows):
-    assert R.expand_role(" AI Engineer ")[0] == "ai engineer" and R.expand_role("Data/Engineer") == ["data engineer", "data scientist", "data analyst"]
-    assert R.expand_role("Chef ") == ["chef "] and R.expand_role("") == [] and R.expand_role(None) == []
+    assert R.terms_of(spark, " AI Engineer ")[0] == "ai engineer" and R.terms_of(spark, "Data/Engineer") == ["data engineer", "data scientist", "data analyst"]
+    assert R.terms_of(spark, "Chef ") == ["chef "] and R.terms_of(spark, "") == [] and R.terms_of(spark, None) == []
     df = rows("role STRING", ("Data Engineer",), ("Chef ",), ("",), (None,))
     got = {r.role: r.terms for r in R.expand_roles(df, "role", R.synonyms_table(spark)).collect()}
     assert got == {"Data Engineer": ["data engineer", "data scientist", "data analyst"], "Chef ": ["chef "], "": [], None: []}
@@ -165,7 +165,7 @@ def test_roles(spark, rows):
 def test_synonym_file(spark, tmp_path):
     path = tmp_path / "s.json"
     path.write_text('{"x": ["Y", "z"]}')
-    assert R.expand_role("X", FL.read_synonyms(spark, str(path))) == ["y", "z"]
+    assert R.terms_of(spark, "X", FL.read_synonyms(spark, str(path))) == ["y", "z"]
     assert FL.read_synonyms(spark, str(tmp_path / "none.json")) == {}
 
 

@@ -43,5 +43,5 @@ def test_stream_new_postings(spark, rows, tmp_path):
 
     write_lines(landed, "1.json", [posting("a", 2), posting("a", 1), posting("done", 3), posting("", 4), posting("", 5)])
     assert run() == [("", 4), ("", 5), ("a", 1)]
-    write_lines(landed, "2.json", [posting(" a ", 6), posting("b", 7), posting("", 8)])
+    write_lines(landed, "2.json", [posting(" a\t", 6), posting("b", 7), posting("", 8)])
     assert run() == [("", 4), ("", 5), ("", 8), ("a", 1), ("b", 7)]
