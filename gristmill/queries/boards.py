@@ -102,13 +102,28 @@ HIMALAYAS_PLACE = "CASE p_size % 4 WHEN 1 THEN p_type || ', Worldwide' WHEN 3 TH
 
 @query(_remote_sql(f"lower({TITLE})", HIMALAYAS_COMPANY, HIMALAYAS_URL, HIMALAYAS_PLACE, "himalayas"))
 def himalayas_search(spark, folder):
-    """Search pages, whose worldwide test is the board's; they match, so browse pages do not count."""
+    """One fetch's search pages, whose worldwide test is the board's; they match, so browse pages do not count."""
     part = table(spark, folder, "part")
-    search = _payloads(part, "himalayas", HIMALAYAS_BODY)
-    browse = _payloads(part, "himalayas", """'{"jobs": [{"title": "' || p_name || '"}], "nextCursor": "c"}'""").withColumn("branch", F.lit("browse"))
+    search = _payloads(part, "himalayas", HIMALAYAS_BODY).withColumn("slug", F.lit("one fetch"))
+    browse = _payloads(part, "himalayas", """'{"jobs": [{"title": "' || p_name || '"}], "nextCursor": "c"}'""").withColumns(
+        {"branch": F.lit("browse"), "slug": F.lit("one fetch")})
     return _picked(B.himalayas(search.unionByName(browse), TERMS, worldwide_only=True))
 
 
+@query(f"""WITH pages AS (SELECT *, p_partkey % 7 + 1 AS page_no, p_partkey % 13 = 0 AS broken, p_partkey % 29 = 0 AS nothing FROM part),
+ends AS (SELECT p_brand, min(page_no) AS last_page FROM pages WHERE nothing AND NOT broken GROUP BY p_brand)
+SELECT p_brand AS company, CAST(p_partkey AS VARCHAR) AS url, lower(p_name) AS title FROM pages LEFT JOIN ends USING (p_brand)
+WHERE NOT broken AND NOT nothing AND page_no <= {fv.PAGE_CAP} AND page_no <= coalesce(last_page, page_no)
+  AND NOT regexp_matches(lower(p_name), '{REMOTE_SENIOR}')""")
+def himalayas_pages(spark, folder):
+    """A fetch per brand with pages 1 to 7, of which five count; broken pages, and empty ones that end their own fetch."""
+    pages = table(spark, folder, "part").selectExpr(
+        "'himalayas' AS source", "p_brand AS slug", "'search' AS branch", "CAST(p_partkey % 7 + 1 AS INT) AS page_no",
+        """CASE WHEN p_partkey % 13 = 0 THEN 'broken' WHEN p_partkey % 29 = 0 THEN '{"jobs": []}' ELSE '{"jobs": [{"title": "' || p_name ||
+        '", "companyName": "' || p_brand || '", "guid": "' || p_partkey || '"}]}' END AS body""", "p_partkey AS ord")
+    return B.himalayas(pages, max_pages=fv.PAGE_CAP).select("company", "url", "title")
+
+
 @query(_remote_sql(f"lower({TITLE})", HIMALAYAS_COMPANY, HIMALAYAS_URL, HIMALAYAS_PLACE, "himalayas",
                    "NOT (p_size % 4 = 3)"))
 def himalayas_browse(spark, folder):
