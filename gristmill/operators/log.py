@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill import fixed_values as fv
 from gristmill import schemas
 from gristmill.functions import variants as V
 from gristmill.functions.text import first_truthy
+from gristmill.operators.dedup import first_per_key
 
 
 def applied_urls(log: DataFrame) -> DataFrame:
@@ -87,9 +89,10 @@ def upsert(base: DataFrame, updates: DataFrame, columns: Sequence[str] | None =
 def fill_from_scraped(postings: DataFrame, scraped: DataFrame, columns: Sequence[str] = (
         "title", "company", "description", "location", "source")) -> DataFrame:
     """Rows with a short description take each scraped value that is neither empty nor
-    Unknown. `scraped` has one row per url."""
-    found = scraped.select(F.col("url").alias("scraped_url"), *[F.col(c).alias(f"scraped_{c}") for c in columns])
-    needs = F.length(F.coalesce("description", F.lit(""))) < 100
+    Unknown. A url scraped more than once gives its first row: by `ord` if there is one, else by value."""
+    order = [F.col(c) for c in (["ord"] if "ord" in scraped.columns else []) + list(columns)]
+    found = first_per_key(scraped, [F.col("url")], order).select(F.col("url").alias("scraped_url"), *[F.col(c).alias(f"scraped_{c}") for c in columns])
+    needs = F.length(F.coalesce("description", F.lit(""))) < fv.MIN_DESCRIPTION
     joined = postings.join(found, needs & (F.col("url") == F.col("scraped_url")), "left")
 
     def taken(name: str) -> Column:

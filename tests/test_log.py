@@ -79,6 +79,8 @@ def test_fill_from_scraped(rows):
                    ("a", "Unknown", "", "long", None, "generic"), ("b", "no", "no", "no", "no", "no"))
     got = {r.url: r for r in L.fill_from_scraped(posts, scraped).collect()}
     assert tuple(got["a"]) == ("a", "t", "c", "long", "l", "generic") and got["b"].title == "t"
+    twice = scraped.selectExpr("*", "2 AS ord").unionByName(scraped.selectExpr("* EXCEPT (title)", "'first' AS title", "1 AS ord"))
+    assert sorted(r.title for r in L.fill_from_scraped(posts, twice).collect()) == ["first", "t"]
 
 
 SCORES = [6] * 2 + [7] * 11 + [8] * 5 + [9] * 17
