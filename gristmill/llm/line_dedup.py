@@ -19,6 +19,9 @@ from gristmill.llm.rows import id_back, keyed, map_rows
 
 #: A key has at least so many code points, and stands in at least so many documents.
 LEAST_LENGTH, LEAST_DOCUMENTS = 20, 3
+#: So many of the most frequent shared keys are spread over so many tasks where they meet their rows. A key beyond them
+#: has less than one part in MOST_FREQUENT of all rows.
+MOST_FREQUENT, PARTS = 1000, 256
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -59,8 +62,14 @@ def drop_shared_lines(docs: DataFrame, id_column: str = "doc_id", text_column: s
     extra = (held.join(repeated, "_id", "left_semi").groupBy("key", "_id").agg((F.count("*") - 1).alias("more"))
              .groupBy("key").agg(F.sum("more").alias("more")))
     shared = (shared.join(extra, "key", "left").filter(F.col("n") - F.coalesce("more", F.lit(0)) >= least_documents)
-              .select("key", "largest"))
-    gone = (held.join(shared, "key").filter(F.col("_id") != F.col("largest"))
+              .select("key", "largest", "n"))
+    # The table of frequent keys has at most MOST_FREQUENT rows, so it may be broadcast at any size of the input.
+    frequent = F.broadcast(shared.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key", F.lit(True).alias("often")))
+    spread = (held.join(frequent, "key", "left")
+              .withColumn("part", F.when(F.col("often"), F.pmod(F.xxhash64("_id"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))))
+    copies = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    met = shared.join(frequent, "key", "left").select("key", "largest", F.explode(copies).alias("part"))
+    gone = (spread.join(met, ["key", "part"]).filter(F.col("_id") != F.col("largest"))
             .groupBy("_id", "_tie").agg(F.flatten(F.collect_list("positions")).alias("gone")))
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:

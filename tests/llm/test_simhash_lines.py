@@ -129,7 +129,7 @@ def plain_lines(rows, length=20, documents=3):
     return sorted(out, key=repr)
 
 
-def test_lines(spark):
+def test_lines(spark, monkeypatch):
     r = random.Random(8)
     lines = ["Twenty code points ok", "twenty CODE points OK", "  twenty code points ok\t", "nineteen is too few", "ééééééééééééééééééééé", "\xa0twenty code points ok",
              "", " ", "x", "this one stands in just two of them", "a line of plain text that many texts share"]
@@ -139,6 +139,8 @@ def test_lines(spark):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id BIGINT, text STRING, key STRING, n INT")
     assert sorted((tuple(x) for x in line_dedup.without_shared_lines(docs).collect()), key=repr) == plain_lines(rows)
     assert line_dedup.without_shared_lines(docs.limit(0)).count() == 0
+    monkeypatch.setattr(line_dedup, "MOST_FREQUENT", 2)
+    assert sorted((tuple(x) for x in line_dedup.without_shared_lines(docs).collect()), key=repr) == plain_lines(rows)
 
 
 def test_registered_lines(spark):
