@@ -20,10 +20,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.rows import id_back, id_key, keyed, map_rows, staged
+from gristmill.llm.rows import hashed_sample, id_back, id_key, keyed, map_rows, staged
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Longest piece in letters, besides a blank; longer runs of letters than LONGEST are scored in parts of that length.
@@ -170,9 +170,7 @@ def train(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column
     which the vocabulary bounds."""
     path = path or public_tokenizers.path(DEFAULT_VOCABULARY)
     rows = docs.select(id_key(id_column).alias("_id"), F.col(language_column).cast("string").alias("_lang"), learn.alias("_learn"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (rows.filter(F.col("_learn") & F.col("_lang").isNotNull()).select("_id", "_lang").distinct()
-              .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample).select("_id", "_lang"))
+    chosen = hashed_sample(rows.filter(F.col("_learn") & F.col("_lang").isNotNull()).select("_id", "_lang").distinct(), "_lang", sample)
     texts = keyed(docs, id_column, text_column).join(F.broadcast(chosen), "_id").select("_lang", "_text")
 
     def words(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.rows import id_back, id_key, keyed, map_rows
+from gristmill.llm.rows import hashed_sample, id_back, id_key, keyed, map_rows
 
 # Symbols, blanks, and limits of the base rules.
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -153,9 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """A field from ``sample`` documents of each label, 0 and 1, with one to ``lines`` lines, taken by the hash of their
     ids; None if a label has none. Null ids and labels are left out."""
     rows = labels.select(id_key(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label"), F.col(id_column).isNotNull().alias("_known"))
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (rows.filter("_known AND _label IN (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
-              .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample).select("_id", "_label"))
+    known = rows.filter("_known AND _label IN (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
+    chosen = hashed_sample(known, "_label", sample)
     texts = keyed(docs, id_column, text_column).join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
 
     def features(rows: Iterator[tuple]) -> Iterator[tuple]:

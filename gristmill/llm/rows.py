@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARROW = {
@@ -22,6 +22,8 @@ ARROW = {
 SLICE, FLUSH = 128, 1024
 #: Arrow batches end after so many bytes of output.
 FLUSH_BYTES = 8 << 20
+#: A group is ranked in so many parts before it is ranked as a whole.
+RANKED_PARTS = 256
 NULL_ID = -(1 << 63)
 TIE_BITS = 23
 
@@ -101,6 +103,17 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """The ``size`` rows of each group with the smallest hashes of ``_id``, which is unique within a group. Parts of a group
+    are ranked first, so no task ends up with more than RANKED_PARTS * ``size`` rows of a group, however large it is."""
+    order = [F.xxhash64("_id"), F.col("_id")]
+    part = F.pmod(F.hash("_id"), F.lit(RANKED_PARTS))
+    first = (rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+             .filter(F.col("_rank") <= size).drop("_part", "_rank"))
+    return (first.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+            .filter(F.col("_rank") <= size).drop("_rank"))
+
+
 def spread(docs: DataFrame, column: str) -> DataFrame:
     """Rows dealt evenly over the session's shuffle partitions when the caller asks for it: a table in few
     files leaves cores idle in row-by-row work."""

@@ -4,13 +4,14 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import langid, license_scan, quality_rules, queries
+from gristmill.llm import langid, license_scan, quality_rules, queries, rows
 
 FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 BLANK = " \t\n\x0b\x0c\r"
@@ -78,7 +79,8 @@ def plain_counts(text):
             word += c
     lines = (text or "").split("\n")
     windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
-    covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+    times = Counter(windows)
+    covered = {k + j for k, w in enumerate(windows) if times[w] > 1 for j in range(3)}
     duplicates = sum(x in lines[:k] and any(c not in BLANK for c in x) for k, x in enumerate(lines))
     n = len(words)
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), duplicates, len(covered), n < 50 or 100 * len(covered) > 50 * n
@@ -169,3 +171,10 @@ def test_registered_scan(spark):
     out = queries.op7_license_scan(spark, FOLDER).collect()
     assert sorted(map(repr, (tuple(x[:6]) for x in out))) == sorted(repr((i, *plain_scan(t))) for i, t in rows)
     assert pa.array([x.n_base for x in out]).sum().as_py() > 0
+
+
+def test_hashed_sample(spark):
+    numbers = spark.range(5000).selectExpr("id AS _id", "CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS g")
+    order = [(r.g, r._id) for r in numbers.orderBy(F.xxhash64("_id")).collect()]
+    want = [x for x in order if x[0] == "a"][:40] + [x for x in order if x[0] == "b"][:40]
+    assert sorted((r.g, r._id) for r in rows.hashed_sample(numbers, "g", 40).collect()) == sorted(want)
