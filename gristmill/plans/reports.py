@@ -19,8 +19,10 @@ def _one(df: DataFrame, name: str) -> DataFrame:
 
 
 def _gathered(df: DataFrame, name: str) -> DataFrame:
-    """A small table as one array of structs."""
-    return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    """A small table as one array of structs, sorted by its columns; those named with `_` are left out."""
+    shown = [c for c in df.columns if not c.startswith("_")]
+    rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
+    return df.agg(F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in shown])).alias(name))
 
 
 def _unique_postings(log: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def statistics_report(log: DataFrame) -> DataFrame:
     sections = [
         _one(ST.dataset_summary(log), "dataset"),
         _gathered(ST.status_counts(log), "statuses"),
-        _gathered(ST.top_companies(log).select((-F.col("n")).alias("order"), "first_ord", "company", "n"), "top_companies"),
+        _gathered(ST.top_companies(log).select((-F.col("n")).alias("_order"), F.col("first_ord").alias("_ord"), "company", "n"), "top_companies"),
         _one(rounded, "scores"),
         _gathered(ST.distribution(log, "score"), "distribution"),
         _gathered(ST.score_by_status(log).select("group", "n", F.round("mean", 2).alias("mean"), "median"), "score_vs_status"),

@@ -10,7 +10,7 @@ from gristmill.operators import stats as ST
 from gristmill.plans import application as A
 from gristmill.plans import reports as RP
 from gristmill.queries import query, table
-from gristmill.queries.text import YEARS_SQL, YEARS_TEXT
+from gristmill.queries.text import YEARS_TEXT, years_sql
 
 # Orders as an application log.
 LOG_COLUMNS = [
@@ -214,6 +214,11 @@ RESULT_TEXT = """CASE WHEN p_partkey % 6 = 0 THEN 'no json' WHEN p_partkey % 6 =
   ELSE 'ok {"cover_letter": "' || p_name || '", "fit_reason": "' || p_type || '"}' END"""
 
 
+# Every third posting was scraped: even ones without a usable description, odd ones with a text of their own.
+SCRAPED_TEXT = "CASE WHEN p_partkey % 2 = 0 THEN 'Unknown' ELSE 'at least ' || (p_size % 4) || ' years, ' || p_name END"
+GATE_TEXT = f"CASE WHEN p_partkey % 6 = 3 AND length({YEARS_TEXT}) < 100 THEN {SCRAPED_TEXT} ELSE {YEARS_TEXT} END"
+
+
 def _gate_inputs(spark, folder):
     part = table(spark, folder, "part")
     postings = part.selectExpr(
@@ -226,10 +231,13 @@ def _gate_inputs(spark, folder):
         "'p/' || doc_id AS url", "CASE WHEN quality = 0 THEN '  Yes ' ELSE 'no' END AS text"))
     scores = part.selectExpr("'p/' || p_partkey AS url", f"{SCORE_TEXT} AS text")
     results = part.selectExpr("'p/' || p_partkey AS url", f"{RESULT_TEXT} AS text")
-    return postings, log, verdicts, scores, results
+    scraped = part.filter("p_partkey % 3 = 0").selectExpr(
+        "'p/' || p_partkey AS url", "'' AS title", f"{SCRAPED_TEXT} AS description", "'' AS location", "'' AS source",
+        "p_brand AS company", "p_partkey AS ord")
+    return postings, log, scraped, verdicts, scores, results
 
 
-GATES_SQL = f"""WITH y AS ({YEARS_SQL}), s AS (SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_size % 11 END AS INTEGER) AS score FROM part),
+GATES_SQL = f"""WITH y AS ({years_sql(GATE_TEXT)}), s AS (SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_size % 11 END AS INTEGER) AS score FROM part),
 kept AS (SELECT 'p/' || p_partkey AS url, p_partkey AS ord, p_name, p_type, score FROM part JOIN y USING (p_partkey) JOIN s USING (p_partkey)
   WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = p_partkey AND o_orderstatus = 'F')
   AND (years BETWEEN 1 AND 2 OR (years = 0 AND NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = p_partkey AND quality = 0)))
@@ -239,17 +247,16 @@ kept AS (SELECT 'p/' || p_partkey AS url, p_partkey AS ord, p_name, p_type, scor
 @query(GATES_SQL + " SELECT url, score, ord FROM kept")
 def posting_gates(spark, folder):
     """Applied, description, seniority and score gates in order."""
-    postings, log, verdicts, scores, _ = _gate_inputs(spark, folder)
-    nothing = postings.limit(0)
-    return A.candidates_to_apply(postings, log, nothing, verdicts, scores).select("url", "score", "ord")
+    postings, log, scraped, verdicts, scores, _ = _gate_inputs(spark, folder)
+    return A.candidates_to_apply(postings, log, scraped, verdicts, scores).select("url", "score", "ord")
 
 
 @query(GATES_SQL + """ SELECT url, score, p_name AS cover_letter, p_type AS fit_reason, 'pending' AS status FROM kept WHERE ord % 6 > 1
   ORDER BY ord LIMIT 50""")
 def application_updates(spark, folder):
     """Log records of the first 50 gated postings with a usable response."""
-    postings, log, verdicts, scores, results = _gate_inputs(spark, folder)
-    accepted = A.candidates_to_apply(postings, log, postings.limit(0), verdicts, scores)
+    postings, log, scraped, verdicts, scores, results = _gate_inputs(spark, folder)
+    accepted = A.candidates_to_apply(postings, log, scraped, verdicts, scores)
     return A.log_updates(accepted, results, cap=fv.RUN_CAP).select("url", "score", "cover_letter", "fit_reason", "status")
 
 
@@ -257,10 +264,19 @@ def application_updates(spark, folder):
 u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY lower(title), lower(company) ORDER BY ord) = 1)
 SELECT count(*) AS n_jobs, (SELECT count(*) FROM u) AS n_unique_postings, CAST((SELECT count(DISTINCT title) FROM l) AS BIGINT) AS n_distinct_titles,
   round(avg(score), 2) AS mean, (SELECT count(*) FROM u WHERE coalesce(cover_letter, '') <> '') AS n_cover,
-  round((SELECT avg(length(fit_reason)) FROM u WHERE coalesce(fit_reason, '') <> ''), 6) AS reason_len, count(*) * 4 AS total_calls FROM l""")
+  round((SELECT avg(length(fit_reason)) FROM u WHERE coalesce(fit_reason, '') <> ''), 6) AS reason_len, count(*) * 4 AS total_calls,
+  (SELECT string_agg(CAST(score AS VARCHAR) || ':' || n, ',' ORDER BY score) FROM (SELECT score, count(*) AS n FROM l WHERE score IS NOT NULL GROUP BY 1)) AS distribution,
+  (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM (SELECT coalesce(status, 'unknown') AS status, count(*) AS n FROM l GROUP BY 1)) AS statuses,
+  (SELECT string_agg(company || ':' || n, ',' ORDER BY n DESC, first_ord) FROM (SELECT coalesce(company, '') AS company, count(*) AS n, min(ord) AS first_ord FROM l
+     GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 10)) AS companies FROM l""")
 def statistics_report(spark, folder):
-    """K2: the nested report, read back at some of its fields."""
+    """K2: the nested report, read back at fields of its sections."""
+    def listed(rows, key):
+        return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x[key].cast("string"), x["n"].cast("string"))), ",")
+
     return RP.statistics_report(_log(spark, folder)).select(
         "dataset.n_jobs", "unique.n_unique_postings", "dataset.n_distinct_titles", "scores.mean",
         F.col("cover_letter_length.n").alias("n_cover"),
-        F.round("fit_reason_length.mean_len_chars", 6).alias("reason_len"), "cost_model.total_calls")
+        F.round("fit_reason_length.mean_len_chars", 6).alias("reason_len"), "cost_model.total_calls",
+        listed(F.col("distribution"), "value").alias("distribution"), listed(F.col("statuses"), "status").alias("statuses"),
+        listed(F.col("top_companies"), "company").alias("companies"))

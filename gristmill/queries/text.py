@@ -87,10 +87,17 @@ YEARS_TEXT = """CASE p_partkey % 7
   WHEN 5 THEN '0-2 years ' || p_name
   ELSE p_name || ' ' || p_size || ' years' END"""
 RANGE_SQL, SINGLE_SQL = (p.removeprefix("(?U)") for p in (fv.YEARS_RANGE_PATTERN, fv.YEARS_SINGLE_PATTERN))
-YEARS_SQL = f"""SELECT p_partkey, TRY_CAST(coalesce(nullif(regexp_extract(t, '{RANGE_SQL}', 1), ''),
+
+
+def years_sql(text):
+    """Years of experience in a text composed from columns of part."""
+    return f"""SELECT p_partkey, TRY_CAST(coalesce(nullif(regexp_extract(t, '{RANGE_SQL}', 1), ''),
   nullif(regexp_extract(t, '{SINGLE_SQL}', 1), ''), nullif(regexp_extract(t, '{SINGLE_SQL}', 2), ''),
   nullif(regexp_extract(t, '{SINGLE_SQL}', 3), ''), '0') AS INTEGER) AS years
-  FROM (SELECT p_partkey, lower({YEARS_TEXT}) AS t FROM part)"""
+  FROM (SELECT p_partkey, lower({text}) AS t FROM part)"""
+
+
+YEARS_SQL = years_sql(YEARS_TEXT)
 
 
 @query(f"SELECT p_partkey, years, CASE WHEN years >= 3 THEN true WHEN years > 0 THEN false END AS senior FROM ({YEARS_SQL})")
