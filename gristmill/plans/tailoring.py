@@ -8,16 +8,17 @@ from gristmill.operators import matching as M
 from gristmill.operators.keywords import keyword_lists
 
 
-def posting_keywords(postings: DataFrame, posting_id: str, text: str) -> DataFrame:
-    return keyword_lists(postings, posting_id, text).select(F.col(posting_id).alias("posting_id"), "keywords")
+def posting_keywords(pairs: DataFrame, postings: DataFrame, posting_id: str, text: str) -> DataFrame:
+    """(posting_id, keywords) of the postings in the work list; other texts are not read for words."""
+    wanted = postings.join(pairs.select(F.col("posting_id").alias(posting_id)).distinct(), posting_id, "left_semi")
+    return keyword_lists(wanted, posting_id, text).select(F.col(posting_id).alias("posting_id"), "keywords")
 
 
 def tailored(pairs: DataFrame, candidates: DataFrame, postings: DataFrame, posting_id: str, text: str,
              reorder_responses: DataFrame | None = None) -> DataFrame:
     """One nested context per (candidate_id, posting_id) of the work list. Only
     postings in the work list get keywords. Bullets are cut last, after reordering."""
-    wanted = postings.join(pairs.select(F.col("posting_id").alias(posting_id)).distinct(), posting_id, "left_semi")
-    contexts = M.tailored_context(M.work_rows(pairs, candidates, posting_keywords(wanted, posting_id, text)))
+    contexts = M.tailored_context(M.work_rows(pairs, candidates, posting_keywords(pairs, postings, posting_id, text)))
     if reorder_responses is not None:
         for section in ("experiences", "projects"):
             contexts = reordered(contexts, section, reorder_responses)

@@ -45,7 +45,7 @@ def _candidates(spark, folder):
 def _work(spark, folder):
     candidates = _candidates(spark, folder)
     pairs = candidates.select("candidate_id", "posting_id")
-    return M.work_rows(pairs, candidates.drop("posting_id"), TL.posting_keywords(table(spark, folder, "documents"), "doc_id", "text"))
+    return M.work_rows(pairs, candidates.drop("posting_id"), TL.posting_keywords(pairs, table(spark, folder, "documents"), "doc_id", "text"))
 
 
 # Items of the candidates in long form, with tag counts against all keywords (s30) and the first ten (s10).
@@ -56,6 +56,15 @@ scored AS (SELECT cid, pid, i, line, list_filter(string_split(line, ' '), lambda
   kws[1:10] AS k10, kws FROM item_lines JOIN lists ON doc_id = pid),
 items AS (SELECT cid, pid, i, ws, priority, len(list_filter(ws, lambda w: list_contains(kws, lower(w)))) AS s30,
   len(list_filter(ws, lambda w: list_contains(k10, lower(w)))) AS s10, kws FROM scored)"""
+# Experiences in their order, and the chosen projects with their place.
+EXPERIENCES_SQL = """e AS (SELECT *, count_if(priority = 'high') OVER (PARTITION BY cid) AS n_high,
+  row_number() OVER (PARTITION BY cid, priority = 'high' ORDER BY CASE WHEN priority = 'high' THEN 0 ELSE -s10 END, i) AS rn FROM items WHERE i % 2 = 0)"""
+PROJECTS_SQL = """p AS (SELECT *, 'p' || (i % 8) AS name, count(*) OVER (PARTITION BY cid) AS n_all,
+  row_number() OVER (PARTITION BY cid ORDER BY s10 + CASE priority WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 0 END DESC, i) AS rn FROM items WHERE i % 2 = 1),
+top AS (SELECT * FROM p WHERE rn <= 2),
+rest AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY s10 DESC, i) AS rr FROM p
+  WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.cid = p.cid AND t.name = p.name)),
+chosen AS (SELECT cid, pid, rn AS place, name, ws FROM top UNION ALL SELECT cid, pid, 2 + rr, name, ws FROM rest WHERE rr <= least(3, n_all) - 2)"""
 
 
 @query(ITEMS_SQL + """ SELECT cid AS candidate_id, pid AS posting_id, CASE WHEN i % 2 = 0 THEN 'experience' ELSE 'project' END AS kind,
@@ -74,8 +83,7 @@ def tag_scores(spark, folder):
     return experiences.unionByName(projects)
 
 
-@query(ITEMS_SQL + """, e AS (SELECT *, count_if(priority = 'high') OVER (PARTITION BY cid) AS n_high,
-  row_number() OVER (PARTITION BY cid, priority = 'high' ORDER BY CASE WHEN priority = 'high' THEN 0 ELSE -s10 END, i) AS rn FROM items WHERE i % 2 = 0)
+@query(f"{ITEMS_SQL}, {EXPERIENCES_SQL}" + """
 SELECT cid AS candidate_id, pid AS posting_id, CAST(CASE WHEN priority = 'high' THEN rn ELSE n_high + rn END AS INTEGER) AS place, 'c' || i AS company,
   array_to_string(list_transform(CASE WHEN priority = 'high' THEN ws WHEN s10 > 0 THEN ws[1:3] ELSE ws[1:2] END, lambda w: 'did ' || w), '|') AS bullets
 FROM e WHERE priority = 'high' OR rn <= 3 - n_high""")
@@ -86,12 +94,7 @@ def select_experiences(spark, folder):
     return rows.select("candidate_id", "posting_id", (F.col("pos") + 1).alias("place"), "x.company", F.array_join("x.bullets", "|").alias("bullets"))
 
 
-@query(ITEMS_SQL + """, p AS (SELECT *, 'p' || (i % 8) AS name, count(*) OVER (PARTITION BY cid) AS n_all,
-  row_number() OVER (PARTITION BY cid ORDER BY s10 + CASE priority WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 0 END DESC, i) AS rn FROM items WHERE i % 2 = 1),
-top AS (SELECT * FROM p WHERE rn <= 2),
-rest AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY s10 DESC, i) AS rr FROM p
-  WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.cid = p.cid AND t.name = p.name)),
-chosen AS (SELECT cid, pid, rn AS place, name, ws FROM top UNION ALL SELECT cid, pid, 2 + rr, name, ws FROM rest WHERE rr <= least(3, n_all) - 2)
+@query(f"{ITEMS_SQL}, {PROJECTS_SQL}" + """
 SELECT cid AS candidate_id, pid AS posting_id, CAST(place AS INTEGER) AS place, name, array_to_string(list_transform(ws, lambda w: 'did ' || w), '|') AS bullets FROM chosen""")
 def select_projects(spark, folder):
     """W5, W7, U5."""
@@ -139,15 +142,26 @@ def candidate_text(spark, folder):
     return M.candidate_text(nested)
 
 
+@query(f"""{ITEMS_SQL}, {EXPERIENCES_SQL}, {PROJECTS_SQL},
+chosen_experiences AS (SELECT cid, string_agg('c' || i || '=' || array_to_string(list_transform(CASE WHEN priority = 'high' THEN ws
+  WHEN s10 > 0 THEN ws[1:3] ELSE ws[1:2] END, lambda w: 'did ' || w), '|'), ';' ORDER BY CASE WHEN priority = 'high' THEN rn ELSE n_high + rn END) AS experiences
+  FROM e WHERE priority = 'high' OR rn <= 3 - n_high GROUP BY 1),
+chosen_projects AS (SELECT cid, string_agg(name || '=' || array_to_string(list_transform(ws, lambda w: 'did ' || w), '|'), ';' ORDER BY place) AS projects
+  FROM chosen GROUP BY 1)
+SELECT cid AS candidate_id, pid AS posting_id, coalesce(experiences, '') AS experiences, coalesce(projects, '') AS projects,
+  'Languages=;Frameworks & Libraries=a;Tools & Platforms=;Concepts=' AS skills
+FROM turns LEFT JOIN chosen_experiences USING (cid) LEFT JOIN chosen_projects USING (cid)""")
 def tailored_context(spark, folder):
-    """The nested context per pair as JSON (rows only: nested result)."""
+    """W4, W5, W7, P32 as one context per pair, its sections as text."""
     candidates = _candidates(spark, folder)
     pairs = candidates.select("candidate_id", "posting_id")
     full = candidates.drop("posting_id").withColumns({
         "skills": F.expr("array(named_struct('category', 'Backend', 'skills', array('a')))"),
         "education": F.expr("CAST(array() AS ARRAY<STRUCT<degree: STRING, school: STRING>>)")})
     contexts = TL.tailored(pairs, full, table(spark, folder, "documents"), "doc_id", "text")
-    return contexts.select("candidate_id", "posting_id", F.to_json(F.struct("experiences", "projects", "skills")).alias("context"))
 
+    def text(section, name, values):
+        return F.array_join(F.transform(section, lambda x: F.concat(x[name], F.lit("="), F.array_join(x[values], "|"))), ";").alias(section)
 
-query()(tailored_context)
+    return contexts.select("candidate_id", "posting_id", text("experiences", "company", "bullets"),
+                           text("projects", "name", "bullets"), text("skills", "category", "skills"))
