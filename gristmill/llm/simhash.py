@@ -124,7 +124,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS,
                     radius: int = RADIUS) -> DataFrame:
-    """(_id, _tie, fp, component): component is the least id that links of fingerprints reach.
+    """(_id, _tie, fp, component, root): component is the least id that links of fingerprints reach, root the component's
+    own key, its least fingerprint, which tells components of the same or no id apart.
 
     Every row is a document; texts without words have fingerprint zero and are linked like any other. A null id counts
     as smaller than any other and doesn't name a component that has another id. Equal rows have equal results.
@@ -135,5 +136,5 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = (least.join(found, F.col("fp") == F.col("node"), "left")
              .select("fp", "least", F.coalesce("component", "fp").alias("component")))
     names = named.groupBy("component").agg(F.min("least").alias("name"))
-    by_print = named.join(names, "component").select("fp", F.col("name").alias("component"))
-    return marked.join(by_print, "fp").select("_id", "_tie", "fp", "component")
+    by_print = named.join(names, "component").select("fp", F.col("name").alias("component"), F.col("component").alias("root"))
+    return marked.join(by_print, "fp").select("_id", "_tie", "fp", "component", "root")
