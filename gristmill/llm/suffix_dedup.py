@@ -31,9 +31,6 @@ from gristmill.llm.rows import id_back, keyed, map_rows, staged
 THRESHOLD = 100
 #: Neighbouring starts that are ranked together in the second round.
 GROUP = 8
-#: A place is a document's tie bits above so many bits of byte offset.
-OFFSET_BITS = 40
-_OFFSET = (1 << OFFSET_BITS) - 1
 FLUSH_PLACES = 1 << 18
 
 
@@ -144,8 +141,8 @@ class Ladder:
 #: Bits below an offset that hold a number of starts or bytes.
 SPAN_BITS = 16
 _SPAN = (1 << SPAN_BITS) - 1
-_RANKS = "one long, two long, _id long, place long"
-_SCHEMA = {n: pa.schema([(c, pa.int64()) for c in ("one", "two", "_id", "place", "starts")[:n]]) for n in (4, 5)}
+_RANKS = "one long, two long, _id long, _tie long, place long"
+_SCHEMA = {n: pa.schema([(c, pa.int64()) for c in ("one", "two", "_id", "_tie", "place", "starts")[:n]]) for n in (5, 6)}
 
 
 def _columns(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -163,7 +160,8 @@ def ranks_of(ladder: Ladder, kind: str):
                     if len(data) < ladder.length:
                         continue
                     one, two, offsets, *more = getattr(ladder, kind)(data, *(np.unique(np.array(x, np.int64)) for x in at))
-                    held.append((one.view(np.int64), two.view(np.int64), np.full(len(offsets), i, np.int64), offsets + (t << OFFSET_BITS), *more))
+                    document = (np.full(len(offsets), x, np.int64) for x in (i, t))
+                    held.append((one.view(np.int64), two.view(np.int64), *document, offsets, *more))
                     size += len(offsets)
                 if size >= FLUSH_PLACES:
                     yield _columns(held, _SCHEMA[len(held[0])])
@@ -195,7 +193,7 @@ def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = (one == before[0]) & (rows[1] == before[1])
         if last is None:
             same[0] = False
-        repeated = same & ((rows[2] != before[2]) | (rows[3] != before[3]))  # an equal row is the same place
+        repeated = same & np.logical_or.reduce([rows[k] != before[k] for k in (2, 3, 4)])  # an equal row is the same place
         heads = np.flatnonzero(~same)
         out = [[c[repeated] for c in rows[2:]] + [np.full(int(repeated.sum()), WHOLE, np.int64)]]
         firsts = [c[heads] for c in rows]
@@ -219,7 +217,7 @@ def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
-    names = ["_id", "place", "starts"][:len(columns) - 1] + ["kind"]
+    names = ["_id", "_tie", "place", "starts"][:len(columns) - 1] + ["kind"]
     return pa.RecordBatch.from_arrays([c.cast(pa.int8()) if n == "kind" else c for n, c in zip(names, columns)], names=names)
 
 
@@ -243,27 +241,28 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         raise ValueError("the threshold is an even number of bytes from 10 to 32,000")
     ladder = Ladder(threshold)
     source = keyed(docs, id_column, text_column)
-    order = "one", "two", "_id", "place"
-    offset = F.col("place").bitwiseAND(F.lit(_OFFSET))
+    where = "_id", "_tie", "place"
+    order = "one", "two", *where
+    offset = F.col("place")
     span = lambda start, size: F.shiftleft(start, SPAN_BITS).bitwiseOR(size.cast("long"))
 
     def by_document(rows: DataFrame, value) -> DataFrame:
-        return rows.groupBy("_id", F.shiftright("place", OFFSET_BITS).alias("_tie")).agg(F.collect_list(value).alias("at"))
+        return rows.groupBy("_id", "_tie").agg(F.collect_list(value).alias("at"))
 
-    seeds = staged(source.mapInArrow(ranks_of(ladder, "places"), _RANKS).orderBy(*order).mapInArrow(ranked, "_id long, place long, kind byte"))
+    seeds = staged(source.mapInArrow(ranks_of(ladder, "places"), _RANKS).orderBy(*order).mapInArrow(ranked, "_id long, _tie long, place long, kind byte"))
     # From here on it is one plan, in which the texts are dealt out once and meet what is asked of them three times.
     near = source.join(by_document(seeds.filter(F.col("kind") == TEST), offset), ["_id", "_tie"])
     groups = (near.select("_id", "_tie", "_text", "at").mapInArrow(ranks_of(ladder, "groups"), _RANKS + ", starts long")
-              .orderBy(*order).mapInArrow(ranked, "_id long, place long, starts long, kind byte"))
+              .orderBy(*order).mapInArrow(ranked, "_id long, _tie long, place long, starts long, kind byte"))
     tests = by_document(groups.filter(F.col("kind") == TEST), span(offset, F.col("starts")))
     strings = source.join(tests, ["_id", "_tie"]).select("_id", "_tie", "_text", "at").mapInArrow(ranks_of(ladder, "strings"), _RANKS)
-    earliest = strings.groupBy("one", "two").agg(F.min(F.struct("_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = strings.join(earliest.select("one", "two", "first"), ["one", "two"]).filter(F.struct("_id", "place") != F.col("first"))
+    earliest = strings.groupBy("one", "two").agg(F.min(F.struct(*where)).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = strings.join(earliest.select("one", "two", "first"), ["one", "two"]).filter(F.struct(*where) != F.col("first"))
 
     start = F.greatest(offset - ladder.reach, F.lit(0))
-    spans = (seeds.filter(F.col("kind") == WHOLE).select("_id", "place", span(start, offset + ladder.length - start).alias("span"))
-             .unionByName(groups.filter(F.col("kind") == WHOLE).select("_id", "place", span(offset, F.col("starts") + ladder.length - 1).alias("span")))
-             .unionByName(again.select("_id", "place", span(offset, F.lit(ladder.length)).alias("span"))))
+    spans = (seeds.filter(F.col("kind") == WHOLE).select(*where, span(start, offset + ladder.length - start).alias("span"))
+             .unionByName(groups.filter(F.col("kind") == WHOLE).select(*where, span(offset, F.col("starts") + ladder.length - 1).alias("span")))
+             .unionByName(again.select(*where, span(offset, F.lit(ladder.length)).alias("span"))))
     marks = by_document(spans, F.col("span"))
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
