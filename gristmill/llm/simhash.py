@@ -24,20 +24,26 @@ WORDS, SEED, RADIUS, TILE = 3, 42, 2, 2048
 _BLOCK = 256
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64 bits, each set if it is set in over half the hashes of the shingles; 0 without a word. Bytes serve: they
+def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
+    """Hashes of the shingles in order; a text of fewer words is one, and none is without a word. Bytes serve: they
     lower and split exactly at A-Z and the ASCII blanks."""
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return []
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
-    else:
-        joined = b" ".join(found)
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = [0, *(ends[:-words] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1:].tolist())]
+        return [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = [0, *(ends[:-words] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1:].tolist())]
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64 bits, each set if it is set in over half the hashes of the shingles; 0 without a word."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     held = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
     for start in range(0, len(held), 4096):
