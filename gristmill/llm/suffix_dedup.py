@@ -1,6 +1,7 @@
-"""Repeated byte strings (operator 9): distributed prefix doubling to a threshold length.
+"""Repeated byte strings (operator 9): matching of sampled fingerprints up to a threshold length.
 
-Ranks grow from a seed of two fifths of the threshold to all of it, and only what shares a rank goes on:
+Named strings grow from a seed of two fifths of the threshold to all of it, and only what shares a name goes on. Names
+are taken from the text in every round, none from the names of the round before:
 
 1. *Seeds.* Every string of the threshold's length holds a sampled place (a minimum of the rolling hash among the seeds
    inside it), so only sampled places are ranked first: about 3 % of all bytes. Spark sorts (name of the seed, name of
