@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, fingerprints, langid, license_scan, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
+from gristmill.llm import bpe, chat_format, fingerprints, langid, license_scan, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
 from gristmill.llm.rows import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,31 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
+CHATS = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, k, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)),
+seen AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM turns),
+marked AS (SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user'
+                          WHEN before = 'user' THEN role = 'assistant' ELSE role = 'user' END AS in_order FROM seen)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || role || ': </turn>' || chr(10)) + CASE WHEN in_order THEN 0 ELSE length(' (out of turn)') END
+                + length(replace(replace(replace(text, '\\', '\\\\'), '### ', '\\0'), '</turn>', '\\1'))) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id"""
+
+
+@query(CHATS)
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"),
+                                    F.lit("\\### Assistant: </turn> ok").alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    rows = chat_format.format_conversations(turns).select("conv_id", chat_format.formatted().alias("formatted"), chat_format.loss_text().alias("loss"))
+    rows = rows.withColumn("turns", chat_format.turns_back(F.col("formatted")))
+    listed = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
