@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, chat_format, fingerprints, langid, license_scan, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
+from gristmill.llm import bpe, chat_format, fingerprints, langid, lexical_search, license_scan, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
 from gristmill.llm.rows import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,26 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
 
 
+_LOWERED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+SEARCH = rf"""
+WITH held AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{lexical_search.TERM}') AS terms FROM documents),
+items AS (SELECT item_id, unnest(list_distinct(regexp_extract_all({_LOWERED}, '{lexical_search.TERM}'))) AS term FROM benchmark),
+total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_all FROM held WHERE len(terms) > 0),
+found AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM held)
+          WHERE term IN (SELECT term FROM items) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM found, total GROUP BY term, n_docs),
+lengths AS (SELECT doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_all AS m FROM held, total),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+           FROM items JOIN weights USING (term) JOIN found USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+@query(SEARCH)
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 CHATS = """
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                UNION ALL SELECT -7, k, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)),
