@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, chat_format, fingerprints, langid, lexical_search, license_scan, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
+from gristmill.llm import bpe, chat_format, divergence, fingerprints, langid, lexical_search, license_scan, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_files
 from gristmill.llm.rows import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,33 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LOWERED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+DIVERGENCE = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+places AS (SELECT row, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM places GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM places JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS p FROM dense WINDOW w AS (PARTITION BY lang, source)),
+whole AS (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term),
+wide AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS q FROM whole WINDOW w AS (PARTITION BY lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares JOIN wide USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query(DIVERGENCE)
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 SEARCH = rf"""
 WITH held AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{lexical_search.TERM}') AS terms FROM documents),
 items AS (SELECT item_id, unnest(list_distinct(regexp_extract_all({_LOWERED}, '{lexical_search.TERM}'))) AS term FROM benchmark),
