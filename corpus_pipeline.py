@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, langid, line_dedup, mixing, near_copies
+from gristmill.llm import bpe, langid, line_dedup, mixing, simhash
 from gristmill.llm.rows import NULL_ID, id_key, staged, tie_key
 
 #: A text whose likeliest language is less probable than this is rejected, as is one without a letter.
@@ -36,10 +36,10 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles have a similarity of 0.8 or more: the one with the
-    least id, a null id last. Where rows share that id, or it is null, the one with the smallest hash of its text; of
-    equal rows one stays."""
-    groups = near_copies.near_copies(docs)
+    """One document of each group of near copies, texts whose SimHash fingerprints reach each other by steps of 2 or fewer bits:
+    the one with the least id, a null id last. Where rows share that id, or it is null, the one with the smallest hash of its
+    text; of equal rows one stays. Texts without words are near copies of each other."""
+    groups = simhash.near_duplicates(docs)
     heads = (groups.groupBy("root").agg(F.min(F.struct((F.col("_id") == NULL_ID).alias("unnamed"), "_id", "_tie")).alias("head"))
              .select("head._id", "head._tie"))
     row = docs.select(F.struct(*docs.columns).alias("_row"), id_key("doc_id").alias("_id"), tie_key("text").alias("_tie"))
@@ -60,8 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language id", language_id), ("line dedup", shared_lines), ("near duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
-#: Drawing by hash, learned languages and token ids have no SQL. Of the stages, only the near-duplicate one is tested against
-#: a plain version; run() has no test.
+#: Drawing by hash, learned languages and token ids have no SQL; the tests hold each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
