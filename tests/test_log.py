@@ -45,6 +45,22 @@ def test_upsert_with_a_hot_url(rows):
     assert {r.url: r.title for r in got.filter("url LIKE 'new%'").collect()} == {f"new{i}": str(15 + i) for i in range(5)}
 
 
+def test_upsert_reads_once_and_spreads_keys(spark, tmp_path):
+    base = spark.range(4000).selectExpr("IF(id % 3 = 0, 'hot', 'u' || id) AS url", "'t' || id AS title", "id AS ord")
+    base.write.parquet(str(tmp_path / "base"))
+    spark.range(500).selectExpr("'{\"url\": \"' || IF(id % 2 = 0, 'hot', 'u' || id) || '\", \"title\": \"n' || id || '\"}' AS body", "10000 + id AS ord").write.parquet(str(tmp_path / "new"))
+    got = L.upsert(spark.read.parquet(str(tmp_path / "base")), L.parse_updates(spark.read.parquet(str(tmp_path / "new"))))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 4
+    # Rows of one key meet patches and their like in many places, not by the key alone.
+    assert "hashpartitioning(_key" in plan and not [x for x in plan.splitlines() if "hashpartitioning(_key" in x and "_slot" not in x]
+    by = {r.ord: r.title for r in got.collect()}
+    assert len(by) == 4000 + sum(k % 2 == 1 and k % 3 == 0 for k in range(500))
+    assert by[0] == "n498" and by[1] == "n1" and by[3] == "t3" and by[10003] == "n3"
+    first = L.mark_first(base)
+    assert sorted(r.ord for r in first.filter("is_first AND url = 'hot'").collect()) == [0] and first.filter("is_first").count() == base.select("url").distinct().count()
+
+
 def test_applied(rows):
     log = rows(BASE, log_row("a", 1, "applied", company="first"), log_row("a", 2, "applied", company="second"), log_row("b", 3),
                log_row(None, 4, "applied"))
