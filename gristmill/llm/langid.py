@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm.rows import hashed_sample, id_back, id_key, keyed, map_rows, staged
 
@@ -257,6 +258,29 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
                     lambda rows: ((i, t, *found) for i, t, found in rows), read)
 
 
+def annotate(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """(_row, lang_pred, score): every row whole, as a struct, with the prediction for its text (see predict). The rows pass
+    through the tasks that score them, so nothing is shuffled or joined."""
+    at = docs.columns.index(text_column)
+    schema = T.StructType([T.StructField("_row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOGETHER, side="right")))
+                part = batch.slice(start, end - start)
+                named, scores = zip(*score_texts(texts.slice(start, end - start), model))
+                whole = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([whole, pa.array(named, pa.string()), pa.array(scores, pa.float64())], ["_row", "lang_pred", "score"])
+                start = end
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 1 by 3; a null id isn't held out."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -265,8 +289,13 @@ def held_out(id_column: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", **settings) -> DataFrame:
     """(_id, _tie, lang_pred, score): learned from the documents that aren't held out, predicted for all. Rows with a
     null id aren't learned from."""
+    return predict(docs, learned(docs, id_column, text_column, language_column, **settings), id_column, text_column)
+
+
+def learned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", **settings) -> Model:
+    """The model of the documents that have an id and aren't held out."""
     learn = ~held_out(id_column) & F.col(id_column).isNotNull()
-    return predict(docs, train(docs, learn, id_column, text_column, language_column, **settings), id_column, text_column)
+    return train(docs, learn, id_column, text_column, language_column, **settings)
 
 
 def report(docs: DataFrame, **settings) -> DataFrame:
