@@ -22,8 +22,8 @@ def _matched(docs: DataFrame, decisions: DataFrame, *columns: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose language is likely enough. A null text goes. Nothing else changes."""
-    found = _matched(docs, langid.identify(docs), "lang_pred", "score")
-    return found.filter((F.col("_of_lang_pred") != langid.UNKNOWN) & (F.col("_of_score") >= LEAST_SCORE)).select("_row.*")
+    found = langid.annotate(docs, langid.learned(docs))
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
