@@ -51,17 +51,17 @@ def brute_cosines(texts):
 def check_similarity(rows, texts, block):
     df = rows("i INT, t STRING", *enumerate(texts))
     sims = brute_cosines(texts)
-    got = S.pairwise_cosine_stats(df, "t", block_texts=block).first()
     n = len(sims)
     mean = sum(sims) / n if n else 0.0
     sd = math.sqrt(sum((s - mean) ** 2 for s in sims) / (n - 1)) if n > 1 else 0.0
-    assert got.n_pairs == n
-    assert [got.cosine_mean, got.cosine_stdev, got.cosine_min, got.cosine_max] == pytest.approx(
-        [mean, sd, min(sims, default=0.0), max(sims, default=0.0)], abs=1e-9)
-    moments = S.cosine_moments(df, "t").first()
-    assert (moments.n_texts, moments.n_pairs) == (len(texts), n)
-    # The closed form subtracts sums, so a deviation of 0 comes out as the root of their rounding.
-    assert [moments.cosine_mean, moments.cosine_stdev] == pytest.approx([mean, sd], abs=1e-6)
+    for side in (S.TEXTS, S.TOKENS):
+        got = S.pairwise_cosine_stats(df, "t", side, block_texts=block).first()
+        assert got.n_pairs == n
+        assert [got.cosine_mean, got.cosine_min, got.cosine_max] == pytest.approx([mean, min(sims, default=0.0), max(sims, default=0.0)], abs=1e-9)
+        moments = S.cosine_moments(df, "t", side, block).first()
+        assert (moments.n_texts, moments.n_pairs) == (len(texts), n)
+        # Sums are subtracted, so a deviation of 0 comes out as the root of their rounding.
+        assert [moments.cosine_mean, moments.cosine_stdev, got.cosine_stdev] == pytest.approx([mean, sd, sd], abs=1e-6)
     linear = S.mean_pairwise_cosine(df, "i", "t").first()
     assert (linear.n_texts, linear.n_pairs) == (len(texts), n) and linear.cosine_mean == pytest.approx(mean, abs=1e-9)
 
@@ -82,10 +82,46 @@ def test_similarity_against_brute_force_with_copies_and_blocks(rows):
     check_similarity(rows, texts, 1024)
 
 
-def test_dense_and_joined_products_agree(rows, monkeypatch):
-    monkeypatch.setattr(S, "DENSE_SHARE", 1e9)
-    monkeypatch.setattr(S, "COLUMN_CHUNK", 3)
-    check_similarity(rows, [" ".join(f"tok{(i * j) % 11}" for j in range(12)) for i in range(20)], 5)
+def test_long_texts_in_pieces_and_batches(rows, spark, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        check_similarity(rows, [" ".join(f"tok{(i * j) % 11}" for j in range(12)) for i in range(20)] + [" ".join(f"w{k}x tok{k}" for k in range(300))], 5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_extremes_without_copies_or_zeros(rows):
+    """No two texts are equal; every two share a token, so no pair of similarity 0 can be proven."""
+    rnd = random.Random(11)
+    texts = [" ".join(["common"] + rnd.sample([f"tok{k}" for k in range(60)], rnd.randint(1, 12))) + f" own{i}" for i in range(70)]
+    df = rows("i INT, t STRING", *enumerate(texts))
+    assert not S.zero_pair_proven(df, "t").first().proven
+    sims = brute_cosines(texts)
+    got = S.pairwise_cosine_stats(df, "t", S.TOKENS, 16).first()
+    assert min(sims) > 0 and [got.cosine_min, got.cosine_max] == pytest.approx([min(sims), max(sims)], abs=1e-12)
+    bins = S.similarity_histogram(df, "t", block_texts=16).orderBy("bin").collect()
+    width = (max(sims) - min(sims)) / 20
+    want = Counter(min(19, int((x - min(sims)) / width)) for x in sims)
+    assert [b.n for b in bins] == [want[k] for k in range(20)]
+
+
+@pytest.mark.parametrize("texts, proven", [
+    (["alpha beta", "beta gamma", "gamma delta"], True), (["alpha beta", "the", "alpha"], True), (["alpha beta", "alpha", "beta alpha"], False),
+    (["alpha"], False), (["the"], False), ([], False), (["alpha", "alpha"], False), (["the", "the"], True),
+])
+def test_proof_of_a_zero_pair(rows, texts, proven):
+    df = rows("i INT, t STRING", *enumerate(texts))
+    assert S.zero_pair_proven(df, "t").first().proven == proven
+    assert (min(brute_cosines(texts), default=1.0) == 0) == proven
+
+
+def test_tokens_route_meets_all_texts_only_without_a_proof(spark, rows):
+    df = rows("i INT, t STRING", *enumerate(["alpha beta", "beta gamma", "gamma delta"]))
+    got = S.pairwise_cosine_stats(df, "t", S.TOKENS)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_histogram_counts_every_pair(rows):
