@@ -1,8 +1,10 @@
 """The best description per url.
 
 Pages have one row per url: url, html, iframe_html, rendered_html, rendered_iframe_html,
-rendered_text (NULL where not fetched), and an optional response text of a batch extraction. Board and
-careers lookups are joins; the rest of the ladder is decided within the row.
+rendered_text (NULL where not fetched), and an optional response text of a batch extraction. The ladder is
+climbed rung by rung: urls that one rung settles leave, by an anti join on the url, before the documents of the
+next are read, so no parser meets a page whose posting is known. What a rung finds is a small table of postings,
+cut off in the checkpoint folder; documents are read where they lie.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from gristmill.functions.postings import json_ld_company, json_ld_items, json_ld
 from gristmill.functions.responses import extracted_posting
 from gristmill.functions.text import first_truthy, strip_blank
 from gristmill.functions.urls import embedded_board_url
+from gristmill.session import cut_lineage
 from gristmill.sources import details as D
 
 
@@ -61,10 +64,6 @@ def _length(p: Column) -> Column:
     return F.coalesce(F.length(p["description"]), F.lit(-1))
 
 
-def _picked(slot: int) -> Column:
-    return F.any_value(F.when(F.col("slot") == slot, F.col("posting")), True)
-
-
 def _board_lookups(pages: DataFrame, details: DataFrame, boards: DataFrame) -> DataFrame:
     """Per url the board posting of the url itself, of the board link in its page and of the
     one in its rendered page, each under the page's own url. All links are looked up together."""
@@ -73,16 +72,23 @@ def _board_lookups(pages: DataFrame, details: DataFrame, boards: DataFrame) -> D
         .filter(F.col("link").isNotNull())
     found = D.board_postings(links, details, boards, pages.select("url", "html"), url="link").select(F.col("url").alias("link"), "posting")
     own = links.join(found, "link").withColumn("posting", F.col("posting").withField("url", F.col("url")))
-    return own.groupBy("url").agg(_picked(0).alias("_api"), _picked(1).alias("_embedded"), _picked(2).alias("_rendered_api"))
 
+    def picked(slot: int) -> Column:
+        return F.any_value(F.when(F.col("slot") == slot, F.col("posting")), True)
+
+    return own.groupBy("url").agg(picked(0).alias("_api"), picked(1).alias("_embedded"), picked(2).alias("_rendered_api"))
+
+
+def documents_of(pages: DataFrame, page: str, frame: str) -> DataFrame:
+    """(url, slot, html): the page (slot 0) and its frame (slot 1) as rows, where they were fetched."""
+    slots = F.posexplode(F.array(page, frame)).alias("slot", "html")
+    return pages.select("url", slots).filter(F.col("html").isNotNull())
 
-def _page_postings(pages: DataFrame) -> DataFrame:
-    """Per url what the page and the rendered page give: JSON-LD, then the iframe's JSON-LD, the iframe's
-    generic text, and the page's generic text. The four documents of a url are four rows, each read
-    once for both kinds; whole documents are never shuffled, only postings are."""
-    slots = pages.select("url", F.posexplode(F.array("html", "iframe_html", "rendered_html", "rendered_iframe_html"))
-                         .alias("slot", "html")).filter(F.col("html").isNotNull())
-    read = with_generic_posting(slots.withColumn("_items", json_ld_items(F.col("html"))), "html", "_generic")
+
+def page_postings(documents: DataFrame) -> DataFrame:
+    """(url, posting) of pages: JSON-LD, then the frame's JSON-LD, the frame's generic text, and the page's generic text. Each
+    document is read once for both kinds; documents are never shuffled, only postings are."""
+    read = with_generic_posting(documents.withColumn("_items", json_ld_items(F.col("html"))), "html", "_generic")
     items = read.select("url", "slot", "_generic", F.posexplode_outer("_items").alias("pos", "item"))
     found = _with_json_ld(items, "_ld").select("url", "slot", "_generic", "pos", "_ld")
 
@@ -92,10 +98,19 @@ def _page_postings(pages: DataFrame) -> DataFrame:
     def generic(slot: int) -> Column:
         return F.any_value(F.when(F.col("slot") == slot, F.col("_generic")), True)
 
-    def ladder(page: int, frame: int) -> Column:
-        return F.coalesce(structured(page), structured(frame), generic(frame), generic(page))
+    posting_of = F.coalesce(structured(0), structured(1), generic(1), generic(0))
+    return found.groupBy("url").agg(posting_of.alias("posting")).filter(F.col("posting").isNotNull())
+
+
+def without(pages: DataFrame, *settled: DataFrame) -> DataFrame:
+    """Pages whose url is in none of the tables."""
+    for known in settled:
+        pages = pages.join(known.select("url"), "url", "left_anti")
+    return pages
+
 
-    return found.groupBy("url").agg(ladder(0, 1).alias("_page"), ladder(2, 3).alias("_rendered"))
+def is_full(p: Column) -> Column:
+    return _length(p) >= fv.FULL_DESCRIPTION
 
 
 def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, responses: DataFrame | None = None) -> DataFrame:
@@ -103,19 +118,25 @@ def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, r
 
     Order: board record, careers record, embedded board (own url kept), page text if full, the longer
     of page and rendered page and rendered text, extraction response, whatever remains.
-    `responses` has url, text. Land a rung's document only for urls the earlier rungs left open, as a
-    fetcher would; NULL documents cost nothing here.
+    `responses` has url, text. A url's documents are parsed only if the rungs before left it open; links of
+    all pages are looked up at once.
     """
-    keyed = pages.select("url", "rendered_text", F.col("rendered_html").isNotNull().alias("_is_rendered"))
-    rows = keyed.join(_board_lookups(pages, details, boards), "url", "left") \
-        .join(D.careers(D.requested(pages), details).withColumnRenamed("posting", "_careers"), "url", "left") \
-        .join(_page_postings(pages), "url", "left")
-    page, api = F.col("_page"), F.col("_rendered_api")
-    settled = F.coalesce("_api", "_careers", "_embedded", F.when(_length(page) >= fv.FULL_DESCRIPTION, page))
-    short = F.col("_rendered").isNotNull() & (_length(F.col("_rendered")) < fv.FULL_DESCRIPTION)
-    rows = rows.withColumns({
-        "_settled": settled, "_rendered": F.coalesce(F.when(short, api), F.col("_rendered")),
-        "_text": text_posting(F.col("rendered_text"), F.col("url"))})
+    careers = D.careers(D.requested(pages), details).withColumnRenamed("posting", "_careers")
+    looked_up = cut_lineage(_board_lookups(pages, details, boards).join(careers, "url", "full_outer"))
+    by_board = looked_up.select("url", F.coalesce("_api", "_careers", "_embedded").alias("posting")).filter(F.col("posting").isNotNull())
+
+    by_page = cut_lineage(page_postings(documents_of(without(pages.select("url", "html", "iframe_html"), by_board), "html", "iframe_html")))
+    full = by_page.filter(is_full(F.col("posting")))
+
+    rendered = without(pages.select("url", "rendered_html", "rendered_iframe_html", "rendered_text"), by_board, full)
+    by_rendered = page_postings(documents_of(rendered, "rendered_html", "rendered_iframe_html")).withColumnRenamed("posting", "_rendered")
+    rows = rendered.select("url", F.col("rendered_html").isNotNull().alias("_is_rendered"), text_posting(F.col("rendered_text"), F.col("url")).alias("_text"),
+                           F.coalesce(F.col("rendered_text") != "", F.lit(False)).alias("_asked"))
+    rows = rows.join(by_page.withColumnRenamed("posting", "_page"), "url", "left").join(by_rendered, "url", "left").join(
+        looked_up.select("url", "_rendered_api"), "url", "left")
+    page = F.col("_page")
+    short = F.col("_rendered").isNotNull() & ~is_full(F.col("_rendered"))
+    rows = rows.withColumn("_rendered", F.coalesce(F.when(short, F.col("_rendered_api")), F.col("_rendered")))
     rows = rows.withColumn("_longer", better(page, F.col("_rendered")))
     rows = rows.withColumn("_chosen", F.when(F.col("_is_rendered"), better(F.col("_longer"), F.col("_text"))).otherwise(page))
     if responses is not None:
@@ -124,6 +145,6 @@ def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, r
     else:
         rows = rows.withColumn("_extracted", F.lit(None).cast(rows.schema["_chosen"].dataType))
     enough = _length(F.col("_chosen")) >= fv.MIN_DESCRIPTION
-    asked = F.coalesce(F.col("rendered_text") != "", F.lit(False))
-    best = F.coalesce("_settled", F.when(enough, F.col("_chosen")), F.when(asked, F.col("_extracted")), "_chosen")
-    return rows.select(best.alias("p")).filter("p is not null").select("p.*")
+    rest = rows.select(F.coalesce(F.when(enough, F.col("_chosen")), F.when(F.col("_asked"), F.col("_extracted")), "_chosen").alias("posting"))
+    every = by_board.select("posting").unionByName(full.select("posting")).unionByName(rest)
+    return every.filter(F.col("posting").isNotNull()).select("posting.*")

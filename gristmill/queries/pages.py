@@ -137,30 +137,59 @@ def text_postings(spark, folder):
     return rows.select("doc_id", "p.title", F.md5("p.description").alias("digest"))
 
 
-LADDER_URL = "CASE WHEN page_id % 6 = 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || page_id ELSE 'http://p/' || page_id END"
-LADDER_HTML = "CASE page_id % 6 WHEN 1 THEN html || '//boards.greenhouse.io/acme/jobs/' || page_id WHEN 3 THEN NULL ELSE html END"
-
-
-@query(f"""WITH p AS (SELECT page_id, {LADDER_URL} AS url, 'doc ' || page_id AS doc_title, {title_sql('html', 'h1')} AS h1, {body_sql('html')} AS body FROM pages),
-d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, text AS raw,
-  list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1] AS first_line FROM documents),
-c AS (SELECT url, page_id, doc_title, coalesce(nullif(h1, ''), 'Unknown') AS h1, left(body, 5000) AS body, length(body) >= 100 AS has_body,
-  left(d.text, 5000) AS text, coalesce(length(raw) >= 100, false) AS has_text, first_line FROM p LEFT JOIN d ON doc_id = page_id),
-picked AS (SELECT *, CASE WHEN page_id % 6 <= 1 THEN 'api' WHEN page_id % 6 = 3 THEN CASE WHEN has_text THEN 'text' END
-  WHEN has_body AND (length(body) >= 800 OR NOT has_text OR length(text) <= length(body)) THEN 'page' WHEN has_text THEN 'text' END AS pick FROM c)
-SELECT url, CASE pick WHEN 'api' THEN doc_title WHEN 'page' THEN h1 ELSE left(first_line, 120) END AS title,
-  CASE pick WHEN 'api' THEN 'greenhouse' ELSE 'generic' END AS source,
-  md5(CASE pick WHEN 'api' THEN 'Board text ' || page_id WHEN 'page' THEN body ELSE text END) AS digest FROM picked WHERE pick IS NOT NULL""")
+# Every rung of the ladder, by page_id: the url's own board record (four boards) or careers record, a board linked in the page, JSON-LD and generic
+# text of the page and of its frame, the same of the rendered page, a board linked there, the rendered text, a response, and what remains.
+RUNGS = 16
+_LD = """'<script type="application/ld+json">{"@type": "JobPosting", "title": "ld ' || page_id || '", "description": "' || repeat('structured' || page_id || ' ', %d) || '"}</script>'"""
+_TEXT = """'<html><head><title>%s ' || page_id || '</title></head><body><p>' || repeat('%s' || page_id || ' ', %d) || '</p></body></html>'"""
+LADDER = {
+    "url": """CASE page_id % 16 WHEN 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || page_id WHEN 1 THEN 'https://jobs.lever.co/acme/L' || page_id
+      WHEN 2 THEN 'https://jobs.smartrecruiters.com/acme/' || page_id || '-x' WHEN 3 THEN 'https://jobs.ashbyhq.com/acme/A' || page_id || 'z'
+      WHEN 4 THEN 'https://careers.celonis.com/job-detail?jobId=' || page_id ELSE 'http://p/' || page_id END""",
+    "html": f"""CASE page_id % 16 WHEN 1 THEN {_TEXT % ("page title", "unused", 300)} WHEN 5 THEN html || '//boards.greenhouse.io/acme/jobs/' || page_id
+      WHEN 6 THEN {_LD % 90} WHEN 7 THEN {_TEXT % ("page", "page", 9)} WHEN 8 THEN {_TEXT % ("page", "page", 9)} WHEN 9 THEN html
+      WHEN 10 THEN {_TEXT % ("page", "page", 30)} WHEN 11 THEN NULL WHEN 12 THEN NULL WHEN 13 THEN {_TEXT % ("page", "page", 30)} WHEN 14 THEN 'nothing' WHEN 15 THEN NULL
+      ELSE html END""",
+    "iframe_html": f"CASE page_id % 16 WHEN 7 THEN {_LD % 90} WHEN 8 THEN {_TEXT % ('frame', 'frame', 200)} END",
+    "rendered_html": f"""CASE page_id % 16 WHEN 10 THEN {_TEXT % ("rendered", "rendered", 60)} WHEN 11 THEN {_TEXT % ("rendered", "rendered", 20)}
+      WHEN 12 THEN {_TEXT % ("short", "short", 20)} || '//boards.greenhouse.io/acme/jobs/' || page_id WHEN 13 THEN {_TEXT % ("rendered", "rendered", 11)} WHEN 14 THEN 'nothing'
+      WHEN 15 THEN {_TEXT % ("short", "short", 20)} || '//boards.greenhouse.io/acme/jobs/' || page_id ELSE {_TEXT % ("late", "late", 900)} END""",
+    "rendered_iframe_html": f"CASE page_id % 16 WHEN 11 THEN {_LD % 40} END",
+    "rendered_text": """CASE page_id % 16 WHEN 13 THEN 'Heading ' || page_id || chr(10) || repeat('text ', 300) WHEN 14 THEN 'asked' WHEN 10 THEN '' WHEN 15 THEN '' ELSE 'brief' END""",
+}
+#: Board record of a page: long where the ladder ends with it, short where it is what remains.
+_RECORD = """CASE page_id % 16 WHEN 12 THEN repeat('Linked' || page_id || ' ', 60) WHEN 15 THEN 'Rest ' || page_id ELSE 'Record  ' || page_id END"""
+_EXPECTED = {
+    "title": """CASE WHEN k IN (0, 2, 3, 4, 5, 12, 15) THEN 'rec ' || page_id WHEN k = 1 THEN 'page title ' || page_id WHEN k IN (6, 7, 11) THEN 'ld ' || page_id
+      WHEN k = 8 THEN 'frame ' || page_id WHEN k = 9 THEN coalesce(nullif(h1, ''), 'Unknown') WHEN k = 10 THEN 'rendered ' || page_id WHEN k = 13 THEN 'Heading ' || page_id ELSE 'asked' END""",
+    "source": """CASE WHEN k IN (0, 5, 12, 15) THEN 'greenhouse' WHEN k = 1 THEN 'lever' WHEN k = 2 THEN 'smartrecruiters' WHEN k = 3 THEN 'ashby' WHEN k = 4 THEN 'careers-api'
+      WHEN k IN (6, 7, 11) THEN 'json-ld' WHEN k = 14 THEN 'llm' ELSE 'generic' END""",
+    "description": """CASE WHEN k IN (0, 1, 2, 4, 5) THEN 'Record ' || page_id WHEN k = 3 THEN 'Record ' || page_id WHEN k = 12 THEN trim(repeat('Linked' || page_id || ' ', 60)) WHEN k = 15 THEN 'Rest ' || page_id
+      WHEN k IN (6, 7) THEN trim(repeat('structured' || page_id || ' ', 90)) WHEN k = 11 THEN trim(repeat('structured' || page_id || ' ', 40)) WHEN k = 8 THEN trim(repeat('frame' || page_id || ' ', 200))
+      WHEN k = 9 THEN CASE WHEN length(body) >= 800 THEN body ELSE late END WHEN k = 10 THEN trim(repeat('rendered' || page_id || ' ', 60))
+      WHEN k = 13 THEN 'Heading ' || page_id || ' ' || trim(repeat('text ', 300)) ELSE 'response ' || page_id END""",
+}
+
+
+@query(f"""WITH p AS (SELECT page_id, page_id % 16 AS k, {LADDER["url"]} AS url, {title_sql('html', 'h1')} AS h1, left({body_sql('html')}, 5000) AS body,
+  left(trim(repeat('late' || page_id || ' ', 900)), 5000) AS late FROM pages)
+SELECT url, CASE WHEN k = 9 AND length(body) < 800 THEN 'late ' || page_id ELSE {_EXPECTED["title"]} END AS title, {_EXPECTED["source"]} AS source,
+  md5({_EXPECTED["description"]}) AS digest FROM p""")
 def best_description(spark, folder):
-    """Board record, embedded board, page, rendered text."""
-    rows = table(spark, folder, "pages").join(
-        table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), "text"), "page_id", "left")
-    pages = rows.select(
-        F.expr(LADDER_URL).alias("url"), F.expr(LADDER_HTML).alias("html"), F.lit(None).cast("string").alias("iframe_html"),
-        F.lit("<html><body></body></html>").alias("rendered_html"), F.lit(None).cast("string").alias("rendered_iframe_html"),
-        F.coalesce("text", F.lit("")).alias("rendered_text"))
-    details = rows.select(
-        F.lit("greenhouse").alias("board"), F.lit("acme").alias("slug"), F.col("page_id").cast("string").alias("job_id"),
-        F.expr("""'{"title": "doc ' || page_id || '", "content": "Board  text ' || page_id || '"}'""").alias("body"))
-    nothing = details.limit(0).select("slug", "body", F.lit(0).cast("bigint").alias("ord"))
-    return BD.best_descriptions(pages, details, nothing).select("url", "title", "source", F.md5("description").alias("digest"))
+    """Pages for every rung of the ladder, with documents of later rungs
+    that must not win."""
+    rows = table(spark, folder, "pages")
+    pages = rows.select(*[F.expr(sql).cast("string").alias(name) for name, sql in LADDER.items()])
+    body = f"""CASE page_id % 16 WHEN 1 THEN '{{"descriptionBodyPlain": "' || {_RECORD} || '"}}'
+      WHEN 2 THEN '{{"name": "rec ' || page_id || '", "jobAd": {{"sections": {{"z": {{"text": "Record"}}, "a": {{"text": "' || page_id || '"}}}}}}}}'
+      WHEN 4 THEN '{{"title": "rec ' || page_id || '", "description": "' || {_RECORD} || '"}}' ELSE '{{"title": "rec ' || page_id || '", "content": "' || {_RECORD} || '"}}' END"""
+    # No record for rung 3, which is in the board's list, nor for pages without a board.
+    details = rows.filter("page_id % 16 IN (0, 1, 2, 4, 5, 12, 15)").select(
+        F.expr("CASE page_id % 16 WHEN 1 THEN 'lever' WHEN 2 THEN 'smartrecruiters' WHEN 4 THEN 'careers' ELSE 'greenhouse' END").alias("board"),
+        F.expr("CASE page_id % 16 WHEN 4 THEN 'Celonis' ELSE 'acme' END").alias("slug"),
+        F.expr("CASE page_id % 16 WHEN 1 THEN 'L' ELSE '' END || page_id").alias("job_id"), F.expr(body).alias("body"))
+    boards = rows.filter("page_id % 16 = 3").select(F.lit("acme").alias("slug"), F.expr(
+        """'{"jobs": [{"title": "rec ' || page_id || '", "jobUrl": "https://jobs.ashbyhq.com/acme/A' || page_id || 'z", "descriptionPlain": "Record  ' || page_id || '"}]}'""").alias("body"),
+        F.col("page_id").alias("ord"))
+    responses = rows.select(F.expr(LADDER["url"]).alias("url"), F.expr("""'So: {"title": "asked", "description": "response ' || page_id || '"}'""").alias("text"))
+    return BD.best_descriptions(pages, details, boards, responses).select("url", "title", "source", F.md5("description").alias("digest"))

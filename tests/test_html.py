@@ -114,6 +114,30 @@ def test_ladder(rows):
     assert best["http://text"].title == "First"
 
 
+def test_ladder_reads_only_what_is_open(spark, rows, monkeypatch):
+    """Rows that enter the parser, page and rendered page apart."""
+    entered = []
+    inner = BD.page_postings
+
+    def counted(documents):
+        entered.append(sorted((r.url, r.slot) for r in documents.collect()))
+        return inner(documents)
+
+    monkeypatch.setattr(BD, "page_postings", counted)
+    details = rows("board STRING, slug STRING, job_id STRING, body STRING", ("greenhouse", "a", "1", '{"title":"api","content":"board"}'),
+                   ("greenhouse", "a", "2", '{"title":"emb","content":"embedded"}'), ("careers", "Celonis", "9", '{"title":"car","description":"careers"}'))
+    pages = rows(PAGE, ("https://boards.greenhouse.io/a/jobs/1", body(900), body(900), body(900), None, "x"),
+                 ("https://careers.celonis.com/job-detail?jobId=9", body(900), None, body(900), None, "x"),
+                 ("http://embedded", body(900) + "//boards.greenhouse.io/a/jobs/2", None, body(900), None, "x"),
+                 ("http://full", body(800), None, body(900), body(900), "x"), ("http://open", body(799), body(10), body(900), body(20), "x"))
+    best = BD.best_descriptions(pages, details, rows("slug STRING, body STRING, ord BIGINT"))
+    assert entered == [[("http://full", 0), ("http://open", 0), ("http://open", 1)], [("http://open", 0), ("http://open", 1)]]
+    assert {r.url: len(r.description) for r in best.collect()} == {
+        "https://boards.greenhouse.io/a/jobs/1": 5, "https://careers.celonis.com/job-detail?jobId=9": 7, "http://embedded": 8, "http://full": 800, "http://open": 900}
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "NestedLoop" not in plan
+
+
 def test_comments_and_script_strings_are_not_markup(column):
     assert column(H.iframe_source, '<!-- <iframe src="http://old"> --><script>x = "<iframe src=\'http://js\'>"</script><iframe src="http://new">') == ["http://new"]
     assert column(H.page_title, "<!-- <title>Old</title> --><script>'<title>js</title>'</script><title>New</title>") == ["New"]
