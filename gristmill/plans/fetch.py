@@ -20,17 +20,9 @@ def remote_postings(payloads: DataFrame, rss_items: DataFrame, role: str | None
     terms = terms_of(payloads.sparkSession, role)
     query = bool(role and role.strip())
 
-    def of(source: str) -> DataFrame:
-        return payloads.filter(F.col("source") == source)
-
-    return dedup_by_url(union_sources(
-        B.himalayas(of("himalayas"), terms, worldwide_only, searched=bool(query or worldwide_only or terms),
-                    max_pages=max_pages, source_rank=0),
-        B.weworkremotely(rss_items, terms, source_rank=1),
-        B.remotive(of("remotive"), terms, worldwide_only, source_rank=2),
-        B.remoteok(of("remoteok"), terms, worldwide_only, source_rank=3),
-        B.jobicy(of("jobicy"), terms, worldwide_only, source_rank=4),
-    ))
+    ranks = {"himalayas": 0, "remotive": 2, "remoteok": 3, "jobicy": 4}
+    listed = B.remote(payloads, ranks, terms, worldwide_only, bool(query or worldwide_only or terms), max_pages)
+    return dedup_by_url(union_sources(listed, B.weworkremotely(rss_items, terms, source_rank=1)))
 
 
 def fetch_remote(payloads: DataFrame, rss_items: DataFrame, role: str | None = None, worldwide_only: bool = True,

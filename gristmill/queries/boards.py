@@ -198,8 +198,9 @@ def jobicy_list(spark, folder):
 
 def _remote_inputs(spark, folder):
     part = table(spark, folder, "part")
-    payloads = _payloads(part, "himalayas", HIMALAYAS_BODY).unionByName(_payloads(part, "remotive", REMOTIVE_BODY)) \
-        .unionByName(_payloads(part, "remoteok", REMOTEOK_BODY)).unionByName(_payloads(part, "jobicy", JOBICY_BODY))
+    bodies = {"himalayas": HIMALAYAS_BODY, "remotive": REMOTIVE_BODY, "remoteok": REMOTEOK_BODY, "jobicy": JOBICY_BODY}
+    landed = F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.expr(sql).alias("body")) for s, sql in bodies.items()]))
+    payloads = part.select(landed, F.col("p_brand").alias("slug"), F.lit("search").alias("branch"), F.lit(1).alias("page_no"), F.col("p_partkey").alias("ord"))
     # Feed links repeat those of another board, so the union has urls in common.
     items = part.selectExpr("p_name AS title", "'http://r/' || p_partkey AS link", "NULL AS guid", f"'{DESCRIPTION}' AS description",
                             "'' AS region", "p_partkey AS ord")
@@ -221,12 +222,8 @@ def remote_union(spark, folder):
     synonyms = {"tools": TERMS}
     payloads, items = _remote_inputs(spark, folder)
     terms = R.terms_of(spark, "Tools", synonyms)
-    def of(source):
-        return payloads.filter(F.col("source") == source)
-
-    rows = union_sources(B.himalayas(of("himalayas"), terms, source_rank=0), B.weworkremotely(items, terms, 1),
-                         B.remotive(of("remotive"), terms, source_rank=2), B.remoteok(of("remoteok"), terms, source_rank=3),
-                         B.jobicy(of("jobicy"), terms, source_rank=4))
+    ranks = {"himalayas": 0, "remotive": 2, "remoteok": 3, "jobicy": 4}
+    rows = union_sources(B.remote(payloads, ranks, terms), B.weworkremotely(items, terms, 1))
     return dedup_by_url(rows).select("source", "title", "company", "url", "location")
 
 

@@ -10,6 +10,7 @@ from gristmill.functions.html import page_title, with_text
 from gristmill.functions.postings import posting
 from gristmill.functions.text import clean_text, first_truthy, strip_blank, truthy
 from gristmill.operators.limits import union_sources
+from gristmill.sources.boards import one_record
 
 
 def requested(urls: DataFrame, url: str = "url") -> DataFrame:
@@ -19,7 +20,7 @@ def requested(urls: DataFrame, url: str = "url") -> DataFrame:
 
 def _matched(urls: DataFrame, details: DataFrame, board: str) -> DataFrame:
     wanted = urls.filter((F.col("key.board") == board) & F.col("key.job_id").isNotNull())
-    records = details.filter(F.col("board") == board).select(
+    records = one_record(details.filter(F.col("board") == board)).select(
         F.col("slug").alias("d_slug"), F.col("job_id").alias("d_job"), F.try_parse_json("body").alias("data"),
         F.col("body").alias("raw"))
     return wanted.join(records, (F.col("key.slug") == F.col("d_slug")) & (F.col("key.job_id") == F.col("d_job")))
@@ -115,7 +116,7 @@ def careers(urls: DataFrame, details: DataFrame, sites=fv.CAREERS_SITES) -> Data
         company = company.when(U.host(F.col("url")).rlike(pattern), F.lit(name))
     wanted = urls.select("url", company.alias("company"), U.job_id(F.col("url")).alias("job_id")).filter(
         F.col("company").isNotNull() & F.col("job_id").isNotNull())
-    records = details.filter(F.col("board") == "careers").select(
+    records = one_record(details.filter(F.col("board") == "careers")).select(
         F.col("slug").alias("d_slug"), F.col("job_id").alias("d_job"), F.try_parse_json("body").alias("data"))
     rows = wanted.join(records, (F.col("company") == F.col("d_slug")) & (F.col("job_id") == F.col("d_job"))).filter(
         truthy(_text("$.description")))
