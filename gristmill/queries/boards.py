@@ -8,6 +8,7 @@ from gristmill.operators.dedup import dedup_by_url
 from gristmill.operators.limits import union_sources
 from gristmill.plans import fetch as FT
 from gristmill.queries import query, table
+from gristmill.session import spread
 from gristmill.sources import boards as B
 from gristmill.sources import details as D
 from gristmill.sources import files as FL
@@ -197,7 +198,7 @@ def jobicy_list(spark, folder):
 
 
 def _remote_inputs(spark, folder):
-    part = table(spark, folder, "part")
+    part = spread(table(spark, folder, "part"), "p_partkey")
     bodies = {"himalayas": HIMALAYAS_BODY, "remotive": REMOTIVE_BODY, "remoteok": REMOTEOK_BODY, "jobicy": JOBICY_BODY}
     landed = F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.expr(sql).alias("body")) for s, sql in bodies.items()]))
     payloads = part.select(landed, F.col("p_brand").alias("slug"), F.lit("search").alias("branch"), F.lit(1).alias("page_no"), F.col("p_partkey").alias("ord"))

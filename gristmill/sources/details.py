@@ -61,8 +61,8 @@ def ashby(urls: DataFrame, boards: DataFrame) -> DataFrame:
 
     `boards` holds board payloads (slug, body, ord). Containment becomes an equi-join: each row is
     indexed by the substrings of its jobUrl that are as long as some id asked of its company (for the
-    usual fixed-length ids that is one per path part), and only the first row per substring is kept.
-    No pairs of ids and rows of a company are formed.
+    usual fixed-length ids that is one per path part), and only the place of the first row per substring is kept.
+    No pairs of ids and rows of a company are formed, and no job is shuffled with the substrings of its link.
     """
     wanted = urls.filter((F.col("key.board") == "ashby") & F.col("key.job_id").isNotNull()).select(
         "url", F.col("key.slug").alias("slug"), F.col("key.job_id").alias("job_id"))
@@ -71,16 +71,15 @@ def ashby(urls: DataFrame, boards: DataFrame) -> DataFrame:
     rows = boards.withColumn("data", F.try_parse_json("body")).select(
         "slug", "ord", F.posexplode(V.items(F.col("data"), "$.jobs")).alias("pos", "job")).withColumn(
         "ord", U.two_part_order(F.col("ord"), F.col("pos"))).drop("pos")
-    # A job id is a path part, so it lies within one part of the link.
-    listed = rows.join(lengths, "slug").select(
-        "slug", "ord", "job", "lengths",
-        F.explode(F.split(F.coalesce(V.get(F.col("job"), "$.jobUrl"), F.lit("")), "[/?#]")).alias("part"))
-    sized = listed.select("slug", "ord", "job", "part", F.explode("lengths").alias("n")).filter(F.length("part") >= F.col("n"))
-    indexed = sized.select("slug", "ord", "job", F.explode(F.transform(
+    # A job id is a path part, so it lies within one part of the link. The index holds places alone; jobs are fetched by them.
+    link = F.coalesce(V.get(F.col("job"), "$.jobUrl"), F.lit(""))
+    listed = rows.select("slug", "ord", F.explode(F.split(link, "[/?#]")).alias("part")).join(lengths, "slug")
+    sized = listed.select("slug", "ord", "part", F.explode("lengths").alias("n")).filter(F.length("part") >= F.col("n"))
+    indexed = sized.select("slug", "ord", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("part") - F.col("n") + 1),
         lambda i: F.substring(F.col("part"), i, F.col("n")))).alias("job_id"))
-    first = indexed.groupBy("slug", "job_id").agg(F.min_by(F.to_json("job"), "ord").alias("body"))
-    data = wanted.join(first, ["slug", "job_id"]).withColumn("data", F.try_parse_json("body"))
+    first = indexed.groupBy("slug", "job_id").agg(F.min("ord").alias("ord"))
+    data = wanted.join(first, ["slug", "job_id"]).join(rows.withColumnRenamed("job", "data"), ["slug", "ord"])
     return data.select("url", posting(
         _text("$.title"), F.col("slug"), F.col("url"), F.coalesce(_text("$.descriptionPlain"), F.lit("")), "ashby",
         F.coalesce(V.text_if_string(F.col("data"), "$.location"), F.lit("Unknown"))).alias("posting"))
