@@ -4,6 +4,10 @@ A rolling hash of the last seven bytes decides where a chunk ends: at block size
 zero, so the ends at one size are among those of the size below. A chunk gives one of 64 characters. A fingerprint is
 "k:signature at k:signature at k + 1", where k is the largest that gives 32 chunks or more. Signatures are compared at
 equal block sizes by the edit distance of insertions and deletions.
+
+Text with a short period ends a chunk at every place of its period or at none. Where a size gives more than ``MOST_CHUNKS``
+ends, evenly chosen ones of them count, between 64 and 128, so a signature never has more than 129 characters, chunks still
+cover the whole text, and a comparison takes the same time for a text of any length.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.rows import id_back, keyed, map_rows, staged
 
-WINDOW, LEAST_CHUNKS, COMMON = 7, 32, 7
+WINDOW, LEAST_CHUNKS, MOST_CHUNKS, COMMON = 7, 32, 128, 7
 ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 _WEIGHTS = np.array([pow(0x01000193, k, 1 << 32) for k in range(WINDOW)], np.uint32)
 _MIX = np.uint32(0x9E3779B1)
@@ -55,6 +59,9 @@ def fingerprint(text: str) -> str:
 
 def signature(raw: bytes, ends: np.ndarray) -> str:
     """A character for each chunk; what follows the last end is a chunk too."""
+    if len(ends) > MOST_CHUNKS:
+        step = -(-len(ends) // MOST_CHUNKS)
+        ends = ends[step - 1::step]
     start, crc, out = 0, zlib.crc32, []
     for end in (ends + 1).tolist():
         out.append(ALPHABET[(crc(raw[start:end]) * 0x9E3779B1 & 0xFFFFFFFF) >> 26])
@@ -77,10 +84,8 @@ def common_length(a: str, b: str) -> int:
 
 
 def signature_likeness(a: str, b: str) -> float:
-    """1 for equal signatures; else 0 unless they share seven characters in a row, else one less the edit
-    distance as a share of both lengths."""
-    if a == b:
-        return 1.0
+    """0 unless they share seven characters in a row, else one less the edit distance as a share of both lengths: 1 for equal
+    ones. Shorter signatures say too little to be alike; texts that are equal have equal fingerprints."""
     short, long = sorted((a, b), key=len)
     if not any(short[k:k + COMMON] in long for k in range(len(short) - COMMON + 1)):
         return 0.0

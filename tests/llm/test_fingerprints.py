@@ -65,6 +65,26 @@ def test_near_texts_are_like():
     assert fingerprints.likeness(a, fingerprints.fingerprint(" ".join(words[:2200]))) > 0.4
 
 
+def test_periodic_texts_of_any_length():
+    """Ten megabytes of a short period: signatures are bounded, and half of another text makes them half alike."""
+    for period in ("a", "ab", "0123456789", "é", "\x00", "abcdefghijklmnopqrstuvwxyz "):
+        size = 10_000_000 // len(period.encode())
+        text = period * size
+        own, changed = fingerprints.fingerprint(text), fingerprints.fingerprint(fingerprints.edited(text, "Q" * size))
+        _, first, second = own.split(":")
+        assert 32 <= len(first) <= 129 and len(second) <= 129
+        assert fingerprints.likeness(own, own) == 1 and fingerprints.likeness(own, changed) < 0.8
+        assert all(len(x) <= 129 for x in changed.split(":"))
+
+
+def test_short_signatures_are_not_alike():
+    assert fingerprints.signature_likeness("A", "A") == 0 and fingerprints.signature_likeness("ABCDEF", "ABCDEF") == 0
+    assert fingerprints.signature_likeness("ABCDEFG", "ABCDEFG") == 1
+    assert fingerprints.likeness(fingerprints.fingerprint("abc"), fingerprints.fingerprint("abc")) == 1
+    assert fingerprints.likeness(fingerprints.fingerprint("abc"), fingerprints.fingerprint("abd")) == 0
+    assert fingerprints.likeness(fingerprints.fingerprint(""), fingerprints.fingerprint("")) == 1
+
+
 def test_registered_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in queries.op10_fingerprints(spark, FOLDER).collect()), key=repr) == brute(rows)
