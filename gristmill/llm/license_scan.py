@@ -3,6 +3,7 @@
 An Aho-Corasick automaton runs once over a text's words and finds notice phrases and the tag that stands before a
 licence expression. An expression is read by a shunting-yard parser: WITH binds before AND, AND before OR. Each
 licence has a permissiveness; AND takes the least, OR the greatest, and an exception raises what it is added to.
+The expression ends at the first token that can't continue it, so prose and comment ends after it are no licences.
 """
 
 from __future__ import annotations
@@ -32,9 +33,16 @@ LEAVES = {
     "lgpl": 0.5, "cc-by-nd": 0.3, "cc-by-nc": 0.3, "gpl": 0.3, "agpl": 0.2, "proprietary": 0.0,
 }
 UNKNOWN, EXCEPTION = 0.0, 0.2
+# Further licence identifiers; a family above also stands alone or with a version.
+IDENTIFIERS = {
+    "0bsd", "artistic-2.0", "bsl-1.0", "cddl-1.0", "eupl-1.2", "ms-pl", "ncsa", "odbl-1.0", "ofl-1.1", "openssl", "postgresql", "python-2.0",
+    "unlicense", "wtfpl", "x11", "zlib",
+}
+OWN = "licenseref-"
 _ORDER = {"or": 1, "and": 2, "with": 3}
 _TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
 _TOKEN = re.compile(r"[a-z0-9.+:-]+|[()]")
+_NEXT = re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+-]*)")
 #: Bytes of words are kept, A-Z lowered; all others become blanks.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -58,6 +66,39 @@ def family(identifier: str) -> str:
     return name
 
 
+def known(identifier: str) -> bool:
+    """Whether it names a licence: a family, with or without a version, one of the list, or a reference of the text's own."""
+    name = identifier.rstrip("+")
+    label = family(name)
+    return name in IDENTIFIERS or (name.startswith(OWN) and name != OWN) or label in LEAVES and (name == label or name[len(label) + 1:][:1].isdigit())
+
+
+def expression(line: str) -> list[str]:
+    """The tokens after a tag that make an expression: up to the first that can't continue it, such as a word of prose, two
+    licences side by side, the end of a comment, or a full stop. NONE and NOASSERTION name no licence."""
+    out: list[str] = []
+    at = depth = 0
+    operand = False
+    while found := _NEXT.match(line, at):
+        token, at = found[1].rstrip("."), found.end()
+        if token == "(" and not operand:
+            depth += 1
+        elif token == ")" and operand and depth:
+            depth -= 1
+        elif operand and token in ("and", "or") or token == "with" and out and out[-1] not in _ORDER and out[-1] not in "()":
+            operand = False
+        elif not operand and token and token not in _ORDER and token not in "()" and (known(token) or out[-1:] == ["with"]):
+            operand = True
+        else:
+            break
+        out.append(token)
+        if token != found[1]:
+            break
+    while out and (out[-1] in _ORDER or out[-1] == "("):
+        out.pop()
+    return out
+
+
 def postfix(tokens: list[str]) -> list[str]:
     """Shunting-yard. Operators without an operand and stray brackets are dropped, so any line has a reading; two
     licences side by side are read as AND."""
@@ -142,7 +183,7 @@ def scan(text: str) -> tuple:
         scores.append(LEAVES[label])
     if tagged:
         for line in _TAG.findall(raw.lower().decode()):
-            found, value = evaluate([t for t in _TOKEN.findall(line)])
+            found, value = evaluate(expression(line))
             if found:
                 labels |= found
                 scores.append(value)

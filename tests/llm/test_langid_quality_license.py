@@ -138,6 +138,26 @@ def test_expressions(expression, labels, score):
     assert got[0] == labels and got[1] == pytest.approx(score)
 
 
+@pytest.mark.parametrize("line, labels, score", [
+    ("MIT -->", "mit", 1.0), ("MIT. This file is part of the project", "mit", 1.0), ("MIT */", "mit", 1.0), ("(MIT OR Apache-2.0) */", "apache,mit", 1.0),
+    ("GPL-2.0-only WITH Classpath-exception-2.0.", "gpl", 0.5), ("BSD-3-Clause AND this file", "bsd", 1.0), ("MIT Apache-2.0", "mit", 1.0), ("NONE", "", 0.0),
+    ("NOASSERTION", "", 0.0), ("LicenseRef-Own-1", "licenseref-own-1", 0.0), ("LicenseRef-", "", 0.0), ("Zlib OR MIT", "mit,zlib", 1.0), ("see the file", "", 0.0),
+    ("", "", 0.0), ("(MIT AND (GPL-3.0+ OR", "gpl,mit", 0.3), ("MIT)", "mit", 1.0), ("cc-by-sa-4.0, all of it", "cc-by,cc-by-sa", 0.6), ("mit-like", "", 0.0), ("with MIT", "", 0.0),
+    ("and", "", 0.0), ("MIT AND AND MIT", "mit", 1.0), ("MIT WITH", "mit", 1.0), ("()", "", 0.0), ("MIT or later", "mit", 1.0), ("Apache-2.0 #", "apache", 1.0),
+])
+def test_expression_after_a_tag(line, labels, score):
+    for text in (f"<!-- SPDX-License-Identifier: {line}", f"// spdx-license-identifier:{line}\nmore text of the file"):
+        got = license_scan.scan(text)
+        assert got[5] == labels and got[6] == pytest.approx(score)
+
+
+def test_many_tags_and_long_lines():
+    got = license_scan.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0\nthe apache license")
+    assert got[5] == "apache,gpl,mit" and got[6] == pytest.approx(0.3)
+    assert license_scan.scan("SPDX-License-Identifier: " + "(" * 50_000 + "MIT")[5] == "mit"
+    assert license_scan.scan("SPDX-License-Identifier: " + "MIT OR " * 50_000)[5] == "mit"
+
+
 def plain_scan(text):
     words, word = [], ""
     for c in (text or "") + " ":
