@@ -75,10 +75,33 @@ def request_rows(spark, folder):
     return rows.select("request_id", "kind", F.length("text").alias("n_chars"))
 
 
-@query("""SELECT 'score:' || doc_id AS request_id, CASE WHEN contains(rated, left(text, 800)) THEN 1 ELSE 0 END AS has_text FROM (
-  SELECT doc_id, text, 'x' || left(text, 800) AS rated FROM documents)""")
+# The text of each kind of request, from a document; cuts are 800 characters but for those named.
+REQUEST_TEXT = {
+    "score": "'Rate from 1 to 10 how well the resume fits the posting. Answer as {\"score\": n}.' || nl || 'resume of ' || source || nl || block",
+    "application": "'Write a short letter and reason. Answer as {\"cover_letter\": ..., \"fit_reason\": ...}.' || nl || 'resume of ' || source || nl || block",
+    "advice": "'Say what to highlight, add, remove and rewrite, as JSON with those four lists.' || nl || 'resume of ' || source || nl || block",
+    "summary": "'Rewrite the summary for this posting.' || nl || 'A summary' || nl || left(text, 800)",
+    "seniority": "'Does this ask for 2.5 or more years? Answer yes or no.' || nl || left(text, 1500)",
+    "reorder": "'Order these lines by relevance, as a numbered list.' || nl || '1. first' || nl || '2. line ' || doc_id || nl || left(text, 600)",
+    "projects": "'Pick the best 3; answer with their numbers, comma separated.' || nl || '1. P' || doc_id || ': a b' || nl || '2. Q: ' || nl || left(text, 800)",
+    "competencies": "'Name 6 to 8 matching skills, comma separated.' || nl || lang || ', x, ' || source || nl || left(text, 800)",
+    "extraction": "'Extract title, company, location and description as JSON.' || nl || left(text, 6000)",
+}
+
+
+@query("WITH d AS (SELECT *, chr(10) AS nl, 'Title: ' || source || chr(10) || 'Company: ' || lang || chr(10) || 'Description: ' || left(text, 800) AS block FROM documents) "
+       + " UNION ALL ".join(f"SELECT '{kind}:' || doc_id AS request_id, '{kind}' AS kind, md5({sql}) AS digest FROM d" for kind, sql in REQUEST_TEXT.items()))
 def score_requests(spark, folder):
-    """One scoring request per document holds the first 800 characters."""
+    """All nine kinds of request per document, by the digest of their text."""
     docs = table(spark, folder, "documents")
-    rows = docs.select("text", RQ.score_request(F.col("doc_id"), F.lit("resume"), F.col("source"), F.col("lang"), F.col("text")).alias("r"))
-    return rows.select("r.request_id", F.endswith(F.col("r.text"), RQ.cut(F.col("text"), RQ.SCORE_CUT)).cast("int").alias("has_text"))
+    ident, text, title, company = (F.col(c) for c in ("doc_id", "text", "source", "lang"))
+    resume = F.concat(F.lit("resume of "), title)
+    bullets = F.array(F.lit("first"), F.concat(F.lit("line "), ident.cast("string")))
+    none = F.array().cast("array<string>")
+    projects = F.array(F.struct(F.concat(F.lit("P"), ident.cast("string")).alias("name"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("bullets")),
+                       F.struct(F.lit("Q").alias("name"), none.alias("bullets")))
+    skills = F.array(F.struct(F.array(company, F.lit("x")).alias("skills")), F.struct(F.array(title).alias("skills")))
+    asked = [make(ident, resume, title, company, text) for make in (RQ.score_request, RQ.application_request, RQ.advice_request)]
+    rows = RQ.request_rows(docs, *asked, RQ.summary_request(ident, F.lit("A summary"), text), RQ.seniority_request(ident, text), RQ.reorder_request(ident, bullets, text),
+                           RQ.projects_request(ident, projects, text), RQ.competencies_request(ident, skills, text), RQ.extraction_request(ident, text))
+    return rows.select("request_id", "kind", F.md5("text").alias("digest"))

@@ -45,6 +45,23 @@ def read_log(spark: SparkSession, path: str, strict: bool = False, lines: bool =
         F.json_object_keys(F.to_json(record)).alias("present"), F.col("ord").cast("long"))
 
 
+def rejected_records(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """S1, quarantine: what `read_log` leaves out, with its file and place (`ord`, as the log's rows have it): lines that are no JSON
+    object, or with `lines` off whole files that are no JSON array and entries of arrays that are no object. Blank lines are
+    no records. A missing path has none."""
+    schema = "file STRING, ord BIGINT, value STRING"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    text = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
+    is_object = F.json_object_keys("value").isNotNull()
+    if lines:
+        return text.filter((F.trim(F.regexp_replace("value", r"\s+", " ")) != "") & ~is_object)
+    entries = text.withColumn("entries", F.from_json("value", "array<variant>"))
+    broken = text.join(entries.filter("entries IS NOT NULL").select("file"), "file", "left_anti").withColumn("ord", F.lit(None).cast("long"))
+    inner = entries.select("file", F.posexplode("entries").alias("ord", "record")).select("file", F.col("ord").cast("long"), F.to_json("record").alias("value"))
+    return broken.unionByName(inner.filter(F.json_object_keys("value").isNull()))
+
+
 def read_candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid candidates with defaults filled in, rejected rows). One JSON object per line."""
     raw = spark.read.schema(schemas.CANDIDATE).json(path)
@@ -142,11 +159,12 @@ def bulk_manual_postings(entries: DataFrame) -> DataFrame:
 def manual_postings(entries: DataFrame, scraped: DataFrame) -> DataFrame:
     """S20, single form. An entry whose input is a link takes the scraped posting when its description
     has more than 100 characters; any other entry is the typed row with source 'manual'. Input:
-    input, title, company, description, url, ord; `scraped` has one row per url."""
+    input, title, company, description, url, ord; of several scraped rows of a url the longest description counts."""
     from gristmill.functions.text import strip_blank
 
-    found = scraped.filter(F.length("description") > fv.MIN_DESCRIPTION).select(
-        F.col("url").alias("found_url"), F.struct("title", "company", "url", "description", "location", "source").alias("found"))
+    posting = F.struct("title", "company", "url", "description", "location", "source")
+    found = scraped.filter(F.length("description") > fv.MIN_DESCRIPTION).groupBy(F.col("url").alias("found_url")).agg(
+        F.max_by(posting, F.struct(F.length("description"), posting)).alias("found"))
     link = strip_blank(F.coalesce("input", F.lit("")))
     typed = F.struct(
         *[strip_blank(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "company", "url", "description")],

@@ -135,6 +135,7 @@ def test_manual(rows):
     scraped = rows("title STRING, company STRING, url STRING, description STRING, location STRING, source STRING",
                    ("S", "C", "http://a", "x" * 101, "L", "generic"), ("S", "C", "http://short", "x" * 100, "L", "generic"))
     found = FL.manual_postings(entries, scraped).orderBy("ord").collect()
+    assert found == FL.manual_postings(entries, scraped.unionAll(scraped)).orderBy("ord").collect()
     assert [(r.title, r.source, r.description[:2]) for r in found] == [("S", "generic", "xx"), ("t", "manual", "d"), ("x", "manual", "d")]
     bulk = FL.bulk_manual_postings(entries.withColumn("description", F.lit("y" * 2000)))
     assert {len(r.description) for r in bulk.collect()} == {1500} and "source" not in bulk.columns

@@ -61,6 +61,24 @@ def test_upsert_reads_once_and_spreads_keys(spark, tmp_path):
     assert sorted(r.ord for r in first.filter("is_first AND url = 'hot'").collect()) == [0] and first.filter("is_first").count() == base.select("url").distinct().count()
 
 
+def test_rejected_records(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text('{"url": "a"}\nnot json\n\n[1]\n{"url": "b"}\n{"cut": ')
+    got = FL.rejected_records(spark, str(folder)).collect()
+    assert sorted(r.value for r in got) == ["[1]", "not json", '{"cut": '] and all(r.file.endswith("a.jsonl") for r in got)
+    kept = FL.read_log(spark, str(folder), lines=True)
+    assert not {r.ord for r in got if r.value != "[1]"} & {r.ord for r in kept.collect()}
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    (whole / "a.json").write_text('[{"url": "a"}, 3, "x", {"url": "b"}]')
+    (whole / "b.json").write_text('[{"url": ')
+    assert sorted((r.file[-6:], r.ord, r.value) for r in FL.rejected_records(spark, str(whole), lines=False).collect() if r.ord is not None) == [
+        ("a.json", 1, "3"), ("a.json", 2, '"x"')]
+    assert [(r.file[-6:], r.value) for r in FL.rejected_records(spark, str(whole), lines=False).filter("ord IS NULL").collect()] == [("b.json", '[{"url": ')]
+    assert FL.rejected_records(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_applied(rows):
     log = rows(BASE, log_row("a", 1, "applied", company="first"), log_row("a", 2, "applied", company="second"), log_row("b", 3),
                log_row(None, 4, "applied"))
