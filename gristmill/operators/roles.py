@@ -46,8 +46,12 @@ def roster_table(spark: SparkSession, india_only: bool = False, roster: Sequence
     """Company roster (name, slug, ord). A plain name is its own slug."""
     entries = roster if roster is not None else (fv.INDIA_COMPANIES if india_only else fv.COMPANIES)
     rows = [(e[0], e[1], i) if isinstance(e, (tuple, list)) else (e, None, i) for i, e in enumerate(entries)]
-    table = spark.createDataFrame(rows, "name STRING, slug STRING, ord INT")
-    return table.withColumn("slug", F.coalesce("slug", "name"))
+    return with_slugs(spark.createDataFrame(rows, "name STRING, slug STRING, ord INT"))
+
+
+def with_slugs(roster: DataFrame) -> DataFrame:
+    """A company without a slug has its name for one."""
+    return roster.withColumn("slug", F.coalesce("slug", "name"))
 
 
 def detect_ats(probes: DataFrame) -> DataFrame:

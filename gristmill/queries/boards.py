@@ -1,6 +1,7 @@
 """Board payloads and detail records, composed row by row from the driver tables."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill import fixed_values as fv
 from gristmill.operators import roles as R
@@ -228,23 +229,29 @@ def remote_union(spark, folder):
     return dedup_by_url(rows).select("source", "title", "company", "url", "location")
 
 
-@query(f"""WITH roster AS (SELECT 'Brand#' || s_suppkey AS slug, s_suppkey AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS ats
+@query(f"""WITH roster AS (SELECT 'Brand#' || s_suppkey AS slug, CAST(s_suppkey AS INTEGER) AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS ats
   FROM supplier),
-rows AS (SELECT ats AS source, slug AS company, lower({TITLE}) AS title, r.ord AS roster_ord, p_partkey FROM part JOIN roster r ON p_brand = slug
+rows AS (SELECT ats AS source, slug AS company, lower({TITLE}) AS title, r.ord AS roster_ord, p_partkey,
+  CASE WHEN ats = 'greenhouse' AND p_size % 2 = 0 THEN '<p>' || p_type || '</p>' WHEN ats = 'greenhouse' THEN '' END AS content FROM part JOIN roster r ON p_brand = slug
   WHERE p_partkey % 3 = CASE ats WHEN 'greenhouse' THEN 0 WHEN 'lever' THEN 1 ELSE 2 END)
-SELECT source, company, title, p_partkey FROM rows WHERE NOT regexp_matches(title, '{BOARD_SENIOR}')""")
+SELECT source, company, title, p_partkey, content, roster_ord, CAST(row_number() OVER (PARTITION BY roster_ord ORDER BY p_partkey) AS INTEGER) AS place
+  FROM rows WHERE NOT regexp_matches(title, '{BOARD_SENIOR}') AND contains(title, 'ring')""")
 def role_board_union(spark, folder):
-    """Company boards in roster order, each from the board detected for it."""
+    """Company boards in roster order, each from the board detected for it, for a role that is its own only term, with the detail
+    records of greenhouse; companies with and without a slug. `place` is the place within a company."""
     part, supplier = table(spark, folder, "part"), table(spark, folder, "supplier")
-    roster = supplier.selectExpr("'Brand#' || s_suppkey AS slug", "s_suppkey AS ord")
+    roster = R.with_slugs(supplier.selectExpr("'Brand#' || s_suppkey AS name", "CASE WHEN s_suppkey % 2 = 0 THEN 'Brand#' || s_suppkey END AS slug", "CAST(s_suppkey AS INT) AS ord"))
     detected = supplier.selectExpr(
         "'Brand#' || s_suppkey AS slug", "CASE s_suppkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS ats")
     payloads = _payloads(part, "greenhouse", GREENHOUSE_BODY, "p_partkey % 3 = 0").unionByName(
         _payloads(part, "lever", LEVER_BODY, "p_partkey % 3 = 1")).unionByName(_payloads(part, "ashby", ASHBY_BODY, "p_partkey % 3 = 2"))
-    nothing = part.limit(0).selectExpr("'greenhouse' AS board", "p_brand AS slug", "p_brand AS job_id", "p_brand AS body")
-    rows = FT.board_postings(payloads, nothing, roster, detected)
+    details = part.filter("p_size % 2 = 0").selectExpr(
+        "'greenhouse' AS board", "p_brand AS slug", "CAST(p_partkey AS STRING) AS job_id", """'{"content": "<p>' || p_type || '</p>"}' AS body""")
+    rows = FT.board_postings(payloads, details.unionByName(details), roster, detected, role="Ring")
     ident = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
-    return rows.select("source", "company", "title", ident.alias("p_partkey"))
+    place = F.row_number().over(Window.partitionBy("source_rank").orderBy("ord"))
+    return rows.select("source", "company", "title", ident.alias("p_partkey"), F.when(F.col("source") == "greenhouse", F.col("description")).alias("content"),
+                       F.col("source_rank").alias("roster_ord"), place.alias("place"))
 
 
 # Detail records of orders; the posting url names the board, the company and the id.
