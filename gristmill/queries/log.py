@@ -10,6 +10,7 @@ from gristmill.operators import stats as ST
 from gristmill.plans import application as A
 from gristmill.plans import reports as RP
 from gristmill.queries import query, table
+from gristmill.queries.similarity import pairs_sql
 from gristmill.queries.text import YEARS_TEXT, years_sql
 
 # Orders as an application log.
@@ -260,9 +261,24 @@ def application_updates(spark, folder):
     return A.log_updates(accepted, results, cap=fv.RUN_CAP).select("url", "score", "cover_letter", "fit_reason", "status")
 
 
+def _similarity_sql(name: str, text: str) -> str:
+    """mean, deviation, least and largest similarity of a text of the unique postings."""
+    source = f"(SELECT ord, {text} AS text FROM u WHERE coalesce({text}, '') <> '')"
+    return ", ".join(f"(WITH {pairs_sql(source, 'ord')} SELECT round({sql}, 3) FROM pairs) AS {name}_{part}" for part, sql in (
+        ("mean", "avg(sim)"), ("stdev", "stddev_samp(sim)"), ("min", "min(sim)"), ("max", "max(sim)")))
+
+
+_APPLIED = "score IS NOT NULL AND coalesce(status, '') = 'applied'"
+_OTHERS = "score IS NOT NULL AND coalesce(status, '') <> 'applied'"
+
+
 @query(f"""WITH l AS (SELECT * FROM {LOG_SQL}),
 u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY lower(title), lower(company) ORDER BY ord) = 1)
-SELECT count(*) AS n_jobs, (SELECT count(*) FROM u) AS n_unique_postings, CAST((SELECT count(DISTINCT title) FROM l) AS BIGINT) AS n_distinct_titles,
+SELECT {_similarity_sql("cover", "cover_letter")}, {_similarity_sql("reason", "fit_reason")},
+  count(*) FILTER ({_APPLIED}) AS applied_n, round(avg(score) FILTER ({_APPLIED}), 2) AS applied_mean, median(score) FILTER ({_APPLIED}) AS applied_median,
+  count(*) FILTER ({_OTHERS}) AS others_n, round(avg(score) FILTER ({_OTHERS}), 2) AS others_mean, median(score) FILTER ({_OTHERS}) AS others_median,
+  median(score) AS median, round(stddev_samp(score), 2) AS stdev, min(score) AS min, max(score) AS max,
+  round((SELECT avg(length(cover_letter)) FROM u WHERE coalesce(cover_letter, '') <> ''), 6) AS cover_len, count(*) AS n_jobs, (SELECT count(*) FROM u) AS n_unique_postings, CAST((SELECT count(DISTINCT title) FROM l) AS BIGINT) AS n_distinct_titles,
   round(avg(score), 2) AS mean, (SELECT count(*) FROM u WHERE coalesce(cover_letter, '') <> '') AS n_cover,
   round((SELECT avg(length(fit_reason)) FROM u WHERE coalesce(fit_reason, '') <> ''), 6) AS reason_len, count(*) * 4 AS total_calls,
   (SELECT string_agg(CAST(score AS VARCHAR) || ':' || n, ',' ORDER BY score) FROM (SELECT score, count(*) AS n FROM l WHERE score IS NOT NULL GROUP BY 1)) AS distribution,
@@ -270,11 +286,18 @@ SELECT count(*) AS n_jobs, (SELECT count(*) FROM u) AS n_unique_postings, CAST((
   (SELECT string_agg(company || ':' || n, ',' ORDER BY n DESC, first_ord) FROM (SELECT coalesce(company, '') AS company, count(*) AS n, min(ord) AS first_ord FROM l
      GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 10)) AS companies FROM l""")
 def statistics_report(spark, folder):
-    """K2: the nested report, read back at fields of its sections."""
+    """The nested report, read back at fields of all its sections."""
     def listed(rows, key):
         return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x[key].cast("string"), x["n"].cast("string"))), ",")
 
+    def group(name):
+        return F.get(F.filter("score_vs_status", lambda x: x["group"] == name), F.lit(0))
+
+    similar = [F.col(f"{section}_similarity.cosine_{part}").alias(f"{name}_{part}") for name, section in (("cover", "cover_letter"), ("reason", "fit_reason"))
+               for part in ("mean", "stdev", "min", "max")]
+    by_status = [group(name)[field].alias(f"{label}_{field}") for label, name in (("applied", "applied"), ("others", "pending")) for field in ("n", "mean", "median")]
     return RP.statistics_report(_log(spark, folder)).select(
+        *similar, *by_status, "scores.median", "scores.stdev", "scores.min", "scores.max", F.round("cover_letter_length.mean_len_chars", 6).alias("cover_len"),
         "dataset.n_jobs", "unique.n_unique_postings", "dataset.n_distinct_titles", "scores.mean",
         F.col("cover_letter_length.n").alias("n_cover"),
         F.round("fit_reason_length.mean_len_chars", 6).alias("reason_len"), "cost_model.total_calls",
