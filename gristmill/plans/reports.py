@@ -59,11 +59,15 @@ def statistics_report(log: DataFrame) -> DataFrame:
 
 def recall_report(docs: DataFrame, skills: DataFrame, doc_id: str = "id", text: str = "description",
                   top_n: int = fv.KEYWORDS_PER_TEXT) -> DataFrame:
-    """K3: one row with corpus size, family counts, keyword statistics and recall, overall and by family."""
+    """K3: one row with corpus size, family counts, keyword statistics and recall, overall and by family, rounded as the report shows them."""
     placed = docs.select(doc_id, "role_family", text).repartition(doc_id)
     rows = R.recall_rows(placed, keyword_lists(placed, doc_id, text, top_n, placed=True), skills, doc_id)
-    summary = R.recall_summary(rows)
-    return one_row(_one(summary, "summary"), _gathered(R.recall_by_family(rows), "by_family"))
+    places = {"keywords_mean": 2, "bigram_share_mean": 3, "recall_mean": 3, "recall_min": 3, "recall_max": 3}
+
+    def rounded(df: DataFrame) -> DataFrame:
+        return df.select(*[F.round(c, places[c]).alias(c) if c in places else c for c in df.columns])
+
+    return one_row(_one(rounded(R.recall_summary(rows)), "summary"), _gathered(rounded(R.recall_by_family(rows)), "by_family"))
 
 
 def write_json(report: DataFrame, path: str) -> None:

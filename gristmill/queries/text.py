@@ -167,12 +167,13 @@ def recall_by_family(spark, folder):
     return R.recall_by_family(_recall_rows(spark, folder)).withColumn("recall_mean", F.round("recall_mean", 6))
 
 
-@query(f"""WITH {RECALL_SQL} SELECT count(*) AS n_docs, count(DISTINCT role_family) AS n_families, round(avg(recall), 6) AS recall_mean,
-  round(avg(bigram_share), 6) AS bigram_share_mean FROM recalls""")
+@query(f"""WITH {RECALL_SQL}, families AS (SELECT role_family, count(*) AS n, round(avg(recall), 3) AS recall_mean FROM recalls GROUP BY 1)
+SELECT count(*) AS n_docs, round(avg(n_keywords), 2) AS keywords_mean, CAST(min(n_keywords) AS INTEGER) AS keywords_min, CAST(max(n_keywords) AS INTEGER) AS keywords_max,
+  round(avg(bigram_share), 3) AS bigram_share_mean, round(avg(recall), 3) AS recall_mean, round(min(recall), 3) AS recall_min,
+  round(max(recall), 3) AS recall_max, count_if(recall = 1.0) AS perfect_docs,
+  (SELECT string_agg(role_family || ':' || n || ':' || recall_mean, ',' ORDER BY role_family) FROM families) AS families FROM recalls""")
 def recall_report(spark, folder):
-    """K3: the nested report, read back at some of its fields."""
+    """K3: the nested report, read back at all its fields."""
     docs, skills = _family_inputs(spark, folder)
-    report = RP.recall_report(docs, skills, "doc_id", "text")
-    return report.select("summary.n_docs", F.size("by_family").cast("bigint").alias("n_families"),
-                         F.round("summary.recall_mean", 6).alias("recall_mean"),
-                         F.round("summary.bigram_share_mean", 6).alias("bigram_share_mean"))
+    family = lambda x: F.concat_ws(":", x["role_family"], x["n"].cast("string"), x["recall_mean"].cast("string"))
+    return RP.recall_report(docs, skills, "doc_id", "text").select("summary.*", F.array_join(F.transform("by_family", family), ",").alias("families"))
