@@ -5,22 +5,24 @@ text. Every operator takes them as defaults and lets the caller override them.
 """
 
 # Stop words of the keyword extractor.
-KEYWORD_STOPWORDS = """
-the a an and or but in on at to for of with by from as is was are were be been
-being have has had do does did will would could should may might shall can need
-all each every both few more most other some such no nor not only own same so
-than too very just also about above after again against below between during
-before behind into through under up down out off over this that these those it
-its we our you your they their them he she his her who which what where when
-why how able get use using used work working new including
-""".split()
+KEYWORD_STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is",
+    "was", "are", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "shall", "can", "need", "all", "each", "every", "both", "few", "more",
+    "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just",
+    "also", "about", "above", "after", "again", "against", "below", "between", "during", "before", "behind", "into",
+    "through", "under", "up", "down", "out", "off", "over", "this", "that", "these", "those", "it", "its", "we",
+    "our", "you", "your", "they", "their", "them", "he", "she", "his", "her", "who", "which", "what", "where",
+    "when", "why", "how", "able", "get", "use", "using", "used", "work", "working", "new", "including",
+]
 
 # Stop words of the similarity tokeniser.
-TOKEN_STOPWORDS = """
-the and for with are you your that this will can have from into has our who
-what where when how why about been but was were not all any would could should
-they them their role roles team apply application job company
-""".split()
+TOKEN_STOPWORDS = [
+    "the", "and", "for", "with", "are", "you", "your", "that", "this", "will", "can", "have", "from", "into", "has",
+    "our", "who", "what", "where", "when", "how", "why", "about", "been", "but", "was", "were", "not", "all", "any",
+    "would", "could", "should", "they", "them", "their", "role", "roles", "team", "apply", "application", "job",
+    "company",
+]
 
 # Substrings that mark a senior title.
 BOARD_SENIOR_WORDS = ["senior", "lead", "staff", "manager", "director"]
@@ -179,7 +181,7 @@ FAMILY_SKILLS = {
     "Data Scientist": ["Python", "Pandas", "SQL", "Statistical Modeling", "A/B Testing"],
 }
 
-# Entities resolved with built-in functions, ampersand last so
+# Entities resolved with built-in functions (our choice), ampersand last so
 # that an escaped entity is resolved only one level. Others use the UDF.
 NATIVE_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
