@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from gristmill.llm.rows import hashed_sample, id_back, id_key, keyed, map_rows, staged
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Longest piece in letters, besides a blank; longer runs of letters than LONGEST are scored in parts of that length.
-PIECE, LONGEST = 8, 48
+#: Longer runs of letters are scored in parts of that length.
+LONGEST = 48
 #: Documents to learn from, for each language, and rounds of expectation maximisation.
 SAMPLE, ROUNDS = 400, 3
 #: Probability of a letter that is no piece, the count added to each piece, and a factor per letter against underflow.
@@ -42,6 +42,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class Pieces:
     hashes: np.ndarray  # ascending
     count: int
+    longest: int        # characters of the longest piece, its blank included
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each piece; ``count`` if it is none."""
@@ -50,12 +51,17 @@ class Pieces:
         return np.where(self.hashes[at] == hashes, at, self.count)
 
 
+def _longer(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one code point longer."""
+    out = (hashes + codes + np.uint64(1)) * _BASE
+    return out ^ (out >> np.uint64(29))
+
+
 def _hash(codes: np.ndarray) -> np.ndarray:
     """Hash of each row of code points."""
     out = np.zeros(codes.shape[0], np.uint64)
     for k in range(codes.shape[1]):
-        out = (out + codes[:, k] + np.uint64(1)) * _BASE
-        out ^= out >> np.uint64(29)
+        out = _longer(out, codes[:, k])
     return out
 
 
@@ -74,24 +80,30 @@ def pieces(path: str) -> Pieces:
             except UnicodeDecodeError:
                 continue
             letters = piece[1:] if piece[:1] == " " else piece
-            if letters.isalpha() and len(letters) <= PIECE:
+            if letters.isalpha():
                 found.add(piece)
     by_length: dict[int, list[str]] = {}
     for piece in sorted(found):
         by_length.setdefault(len(piece), []).append(piece)
     hashes = np.unique(np.concatenate([_hash(_codes(p)) for p in by_length.values()]))
-    return Pieces(hashes, len(hashes))
+    return Pieces(hashes, len(hashes), max(by_length))
 
 
 def _parts(words: list[str], vocabulary: Pieces) -> dict[tuple[int, int], np.ndarray]:
-    """Piece numbers of the substrings [j - k, j) of equally long words. A single letter that is no piece has the
-    number ``count + 1``."""
+    """Piece numbers of the substrings [j - k, j) of equally long words, as long as the longest piece at most. A single
+    letter that is no piece has the number ``count + 1``; longer substrings that are a piece in no word are left out."""
     codes = _codes(words)
+    n = codes.shape[1]
     out = {}
-    for j in range(1, codes.shape[1] + 1):
-        for k in range(1, min(PIECE + 1, j) + 1):
-            ids = vocabulary.find(_hash(codes[:, j - k:j]))
-            out[j, k] = np.where(ids == vocabulary.count, vocabulary.count + 1, ids) if k == 1 else ids
+    for start in range(n):
+        hashes = np.zeros(len(words), np.uint64)
+        for j in range(start + 1, min(n, start + vocabulary.longest) + 1):
+            hashes = _longer(hashes, codes[:, j - 1])
+            ids = vocabulary.find(hashes)
+            if j == start + 1:
+                out[j, 1] = np.where(ids == vocabulary.count, vocabulary.count + 1, ids)
+            elif (ids != vocabulary.count).any():
+                out[j, j - start] = ids
     return out
 
 
@@ -100,8 +112,9 @@ def _forward(parts: dict, n: int, size: int, table: np.ndarray) -> np.ndarray:
     alpha = np.zeros((n + 1, size, table.shape[1]))
     alpha[0] = 1
     for j in range(1, n + 1):
-        for k in range(1, min(PIECE + 1, j) + 1):
-            alpha[j] += table[parts[j, k]] * alpha[j - k] * SCALE ** k
+        for k in range(1, j + 1):
+            if (j, k) in parts:
+                alpha[j] += table[parts[j, k]] * alpha[j - k] * SCALE ** k
     return alpha
 
 
@@ -132,8 +145,9 @@ def expected_uses(words: list[str], counts: np.ndarray, table: np.ndarray, vocab
         beta = np.zeros_like(alpha)
         beta[n] = 1
         for j in range(n, 0, -1):
-            for k in range(1, min(PIECE + 1, j) + 1):
-                beta[j - k] += table[parts[j, k], 0] * beta[j] * SCALE ** k
+            for k in range(1, j + 1):
+                if (j, k) in parts:
+                    beta[j - k] += table[parts[j, k], 0] * beta[j] * SCALE ** k
         weight = counts[at] / alpha[n]
         for (j, k), ids in parts.items():
             uses += np.bincount(ids, alpha[j - k] * table[ids, 0] * SCALE ** k * beta[j] * weight, len(uses))
@@ -167,12 +181,14 @@ def _start(vocabulary: Pieces) -> np.ndarray:
 def train(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang",
           path: str | None = None, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
     """Learns from ``sample`` documents of each language among those that ``learn`` admits (all if there are fewer),
-    taken by the hash of their ids. Null languages aren't learned. The driver gets one number per piece and language,
-    which the vocabulary bounds."""
+    taken by the hash of their ids. Only rows that ``learn`` admits and that bear the language count, whatever other
+    rows share their ids. Null languages aren't learned. The driver gets one number per piece and language, which the
+    vocabulary bounds."""
     path = path or public_tokenizers.path(DEFAULT_VOCABULARY)
-    rows = docs.select(id_key(id_column).alias("_id"), F.col(language_column).cast("string").alias("_lang"), learn.alias("_learn"))
-    chosen = hashed_sample(rows.filter(F.col("_learn") & F.col("_lang").isNotNull()).select("_id", "_lang").distinct(), "_lang", sample)
-    texts = keyed(docs, id_column, text_column).join(F.broadcast(chosen), "_id").select("_lang", "_text")
+    admitted = docs.filter(learn & F.col(language_column).isNotNull())
+    language = F.col(language_column).cast("string").alias("_lang")
+    chosen = hashed_sample(admitted.select(id_key(id_column).alias("_id"), language).distinct(), "_lang", sample)
+    texts = keyed(admitted, id_column, text_column, language).join(F.broadcast(chosen), ["_id", "_lang"]).select("_lang", "_text")
 
     def words(rows: Iterator[tuple]) -> Iterator[tuple]:
         for language, text in rows:

@@ -1,5 +1,6 @@
 """Language, quality and licence scans: parts against plain versions, the rest by held-out accuracy."""
 
+import base64
 import itertools
 import math
 import random
@@ -18,10 +19,11 @@ BLANK = " \t\n\x0b\x0c\r"
 PATH = langid.public_tokenizers.path(langid.DEFAULT_VOCABULARY)
 
 
-def plain_probability(word, chance):
-    if not word:
-        return 1.0
-    return sum(chance(word[:k]) * plain_probability(word[k:], chance) for k in range(1, min(len(word), langid.PIECE + 1) + 1))
+def plain_probability(word, chance, known=None):
+    known = {"": 1.0} if known is None else known
+    if word not in known:
+        known[word] = sum(chance(word[:k]) * plain_probability(word[k:], chance, known) for k in range(1, len(word) + 1))
+    return known[word]
 
 
 def test_forward_sums_all_segmentations():
@@ -33,7 +35,7 @@ def test_forward_sums_all_segmentations():
         at = int(vocabulary.find(langid._hash(langid._codes([piece])))[0])
         return table[at, language] if at < vocabulary.count else 1e-7 * (len(piece) == 1)
 
-    words = [" the", " größe", " xq", " ééé", " a", " segment"]
+    words = [" the", " größe", " xq", " ééé", " a", " segment", " responsibilities", " internationalxx", " verantwortung"]
     got = langid.log_probabilities(words, table, vocabulary)
     for k, w in enumerate(words):
         for language in (0, 1):
@@ -47,6 +49,32 @@ def test_forward_sums_all_segmentations():
     assert uses[at] == pytest.approx(3 * slope, rel=1e-3)
 
 
+def test_no_piece_is_left_out():
+    vocabulary = langid.pieces(PATH)
+    found = set()
+    with open(PATH) as file:
+        for line in file:
+            try:
+                piece = base64.b64decode(line.split()[0]).decode().lower()
+            except UnicodeDecodeError:
+                continue
+            if piece.removeprefix(" ").isalpha():
+                found.add(piece)
+    assert vocabulary.count == len(found) and vocabulary.longest == max(map(len, found)) > 9
+    for piece in sorted(found, key=len)[-200:]:
+        assert vocabulary.find(langid._hash(langid._codes([piece])))[0] < vocabulary.count
+
+
+def test_rows_that_share_an_id_are_not_learned_from(spark):
+    rows = [(k, "the and of that with", "en") for k in range(20)] + [(k, "der die das und nicht", "de") for k in range(20, 40)]
+    foreign = [(k, "der die das und nicht " * 50, None) for k in range(20)] + [(k, "the and of that with " * 50, None) for k in range(20, 40)]
+    schema = "doc_id BIGINT, text STRING, lang STRING"
+    learn = F.col("doc_id").isNotNull()
+    plain = langid.train(spark.createDataFrame(rows, schema), learn)
+    mixed = langid.train(spark.createDataFrame(rows + foreign, schema), learn)
+    assert plain.languages == mixed.languages == ["de", "en"] and np.allclose(plain.table, mixed.table)
+
+
 def test_language_of_odd_rows(spark):
     rows = [(k, text, lang) for k, (text, lang) in enumerate([("the and of that with", "en"), ("der die das und nicht", "de")] * 30)]
     rows += [(100, None, "en"), (101, "", None), (102, "123 !?", "de"), (103, "THE AND OF", None), (104, "und-die_das", None), (None, "the of and", "en"),
