@@ -6,17 +6,19 @@ join a window is encoded again, and it grows until both sides agree exactly:
 * A cut before a blank or line end that follows a non-blank is a *strong* boundary: the pre-tokenising pattern
   never matches across it and never looks back, so a window between strong boundaries has the encoding it has
   in the whole text.
-* Inside an unsplit run of letters there is none. There a window may end between two tokens if the encoding of
-  the window agrees with the side's in the token at that end. A sequence of tokens is the encoding of its text
-  if and only if each pair of neighbours is the encoding of theirs; all pairs of the joined sequence are then
-  pairs of one of the three.
-* If neither is found, the window takes in the whole side.
+* Inside an unsplit run (of letters of any script, of digits, of symbols or of blanks) there is none. There a window may
+  end between two tokens if the encoding of the window agrees with the side's in the token at that end. A sequence of
+  tokens is the encoding of its text if and only if each pair of neighbours is the encoding of theirs; all pairs of the
+  joined sequence are then pairs of one of the three.
+* If a window of one size has neither, the next has twice as many tokens; it takes in a whole side only if that has
+  neither anywhere. A run of equal letters whose encoding shifts as a whole is such a case: all of it has to change.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -167,31 +169,35 @@ class Codec:
         """The encoding of the text of ``left`` followed by that of ``right``, each the encoding of its own."""
         if not len(left) or not len(right):
             return right if not len(left) else left
+        low, window, high = self.window(left, right)
+        return np.concatenate([left[:low], window, right[high:]])
+
+    def window(self, left: np.ndarray, right: np.ndarray) -> tuple[int, np.ndarray, int]:
+        """The smallest window tried on which both sides agree: its first token in ``left``, its encoding, and where it
+        ends in ``right``."""
         width = FIRST_WINDOW
         while True:
-            low, low_is_strong = self._low(left, width)
-            high, high_is_strong = self._high(right, width)
-            window = self.encode(self.decode(np.concatenate([left[low:], right[:high]]).tolist()))
-            if (low == 0 or low_is_strong or window[0] == left[low]) and (
-                    high == len(right) or high_is_strong or window[-1] == right[high - 1]):
-                return np.concatenate([left[:low], window, right[high:]])
+            low, low_is_sure = self._edge(left, len(left) - 1, max(0, len(left) - width), -1)
+            high, high_is_sure = self._edge(right, 1, min(len(right), width), 1)
+            if low is not None and high is not None:
+                window = self.encode(self.decode(np.concatenate([left[low:], right[:high]]).tolist()))
+                if (low_is_sure or window[0] == left[low]) and (high_is_sure or window[-1] == right[high - 1]):
+                    return low, window, high
             width *= 2
 
-    def _low(self, ids: np.ndarray, width: int) -> tuple[int, bool]:
-        """Where the window starts in the left side, and whether that is a strong boundary."""
-        tail = max(0, len(ids) - width)
-        for at in range(len(ids) - 1, tail, -1):
-            if self._strong(ids, at):
-                return at, True
-        return (tail, False) if tail and self._among_letters(ids, tail) else (0, False)
-
-    def _high(self, ids: np.ndarray, width: int) -> tuple[int, bool]:
-        """Where the window ends in the right side. Its first tokens can belong to a piece of the left side."""
-        end = min(len(ids), width)
-        for at in range(1, end):
+    def _edge(self, ids: np.ndarray, near: int, far: int, step: int) -> tuple[int | None, bool]:
+        """An edge of the window between the join (``near``) and ``far``, and whether it holds without agreement, as a strong
+        boundary and the end of a side do. The nearest strong boundary, else the end of the side if that is reached, else
+        the farthest place in the outer half that lies inside a run; None if there is none."""
+        for at in range(near, far, step):
             if self._strong(ids, at):
                 return at, True
-        return (end, False) if end < len(ids) and self._among_letters(ids, end) else (len(ids), False)
+        if far in (0, len(ids)):
+            return far, True
+        for at in range(far, (near + far) // 2, -step):
+            if self._inside_run(ids, at):
+                return at, False
+        return None, False
 
     def _strong(self, ids: np.ndarray, at: int) -> bool:
         if self.bytes_of[ids[at]][:1] not in (b" ", b"\n") or ids[at] in self.added.values() or ids[at - 1] in self.added.values():
@@ -199,11 +205,30 @@ class Codec:
         before = self.decode(ids[max(0, at - 4):at].tolist())
         return bool(before) and before[-1] not in ASCII_BLANKS and before[-1] not in OTHER_BLANKS
 
-    def _among_letters(self, ids: np.ndarray, at: int) -> bool:
-        """Whether the four bytes on either side are ASCII letters: then the boundary lies inside one run that no
-        contraction of the pattern has cut."""
-        before, after = (self.decode_bytes(x.tolist()) for x in (ids[max(0, at - 4):at], ids[at:at + 4]))
-        return before[-4:].isalpha() and after[:4].isalpha() and len(before) >= 4
+    def _inside_run(self, ids: np.ndarray, at: int) -> bool:
+        """Whether the boundary before token ``at`` lies between two characters of one class, so that the pattern reads what
+        follows alike with and without what precedes. Around an apostrophe it could take a contraction for the one and not
+        for the other, so two characters before and after are looked at."""
+        if ids[at] in self.added.values() or ids[at - 1] in self.added.values():
+            return False
+        before, after = (self.decode_bytes(x.tolist()) for x in (ids[max(0, at - 8):at], ids[at:at + 8]))
+        if after[0] & 0xC0 == 0x80:
+            return False
+        before, after = before.decode("utf-8", "ignore")[-2:], after.decode("utf-8", "ignore")[:2]
+        if len(before) < 2 or len(after) < 2 or "'" in (before[0], after[0]):
+            return False
+        return character_class(before[1]) == character_class(after[0]) != ""
+
+
+def character_class(c: str) -> str:
+    """What the pattern's runs tell apart: L(etter), N(umber), S(pace) or O(ther); empty where libraries may differ, as they
+    know different versions of Unicode."""
+    if c in ASCII_BLANKS or c in OTHER_BLANKS:
+        return "" if "\x1c" <= c <= "\x1f" else "S"
+    now, then = unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)
+    if now[0] in "LN":
+        return now[0] if then[0] == now[0] else ""
+    return "" if now == "Cn" or then[0] in "LN" else "O"
 
 
 @lru_cache(maxsize=2)

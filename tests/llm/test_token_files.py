@@ -39,7 +39,7 @@ def test_batch_encoding_matches_library():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.sampled_from(["abcdefghijklmnopqrstuvwxyz", "thean", "aé", "ab' st\n ", "01", " \n", ".'s", "中文a "]), st.integers(2, 300), st.integers(0, 10**6), st.integers(0, 10**6))
+@given(st.sampled_from(["abcdefghijklmnopqrstuvwxyz", "thean", "aé", "ab' st\n ", "01", " \n", ".'s", "中文a ", "中文字符的一是", "é'll", "!?'-", "0123456789", " \t", "ΩжאД", "a're've"]), st.integers(2, 300), st.integers(0, 10**6), st.integers(0, 10**6))
 def test_joins_agree_with_the_whole(alphabet, size, cut, seed):
     r = random.Random(seed)
     text = "".join(r.choice(alphabet) for _ in range(size))
@@ -48,6 +48,30 @@ def test_joins_agree_with_the_whole(alphabet, size, cut, seed):
     assert c.join(c.encode(text[:cut]), c.encode(text[cut:])).tolist() == encoded(text)
 
 
+UNBROKEN = {"letters": "abcdefghijklmnopqrstuvwxyz", "capitals": "ABCdef", "chinese": "".join(map(chr, range(0x4E00, 0x5200))), "cyrillic": "абвгдежзийклмн",
+            "digits": "0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "symbols": "!#$%&()*+-=", "blanks": " \t\n",
+            "hex": "0123456789abcdef", "marked": "a!b?c'd"}
+
+
+@pytest.mark.parametrize("kind", UNBROKEN)
+def test_windows_stay_small(kind):
+    r = random.Random(2)
+    text = "".join(r.choices(UNBROKEN[kind], k=60_000))
+    c = bpe.codec(PATH)
+    for cut in (30_000, 41_234):
+        left, right = c.encode(text[:cut]), c.encode(text[cut:])
+        low, window, high = c.window(left, right)
+        assert len(left) - low + high <= 260 and len(window) <= 260
+        assert c.join(left, right).tolist() == encoded(text)
+
+
+def test_an_encoding_that_shifts_as_a_whole():
+    c = bpe.codec(PATH)
+    for letter in "a-7é":
+        text = letter * 20_000
+        assert c.join(c.encode(text[:9_999]), c.encode(text[9_999:])).tolist() == encoded(text)
+
+
 @pytest.mark.parametrize("segment", [5, 64])
 def test_documents_by_the_tree(spark, segment):
     r = random.Random(5)
