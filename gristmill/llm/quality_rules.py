@@ -2,7 +2,8 @@
 
 A linear-chain conditional random field marks each line of a text as content or boilerplate; Viterbi decoding finds
 the likeliest marks, and the share of words in content lines decides whether a text that passes the base rules stays.
-The field is trained on a bounded sample of labelled documents, whose lines all bear the document's label.
+The field is trained on a bounded sample of labelled documents. Labels are of documents, so it learns where marks change
+from texts joined out of lines of good and bad documents, whose seams are known, besides the documents themselves.
 """
 
 from __future__ import annotations
@@ -108,46 +109,83 @@ def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(texts: list[list[list[float]]], marks: list[int], steps: int = STEPS) -> Field:
-    """Maximum likelihood with a quadratic penalty, by Adam; texts side by side, padded to the longest."""
-    size, most = len(texts), max(map(len, texts))
-    x = np.zeros((size, most, FEATURES))
-    for k, rows in enumerate(texts):
-        x[k, :len(rows)] = rows
-    lengths = np.array([len(t) for t in texts])
+def seamed(good: list[np.ndarray], bad: list[np.ndarray], most: int, seed: int = 0) -> list[tuple[np.ndarray, list[int]]]:
+    """Texts joined out of runs of lines of good and bad documents, with a mark for each line: a good text with a bad tail,
+    one with a bad head, one with bad lines in its middle, and a bad text with a good tail. The documents meet in turn until
+    each has been used; places and lengths of runs are drawn with ``seed``, and a text has at most ``most`` lines."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for k in range(max(len(good), len(bad))):
+        a, b = good[k % len(good)], bad[k % len(bad)]
+        cut = int(draw.integers(0, len(a) + 1))
+        shapes = ((a, 1, b, 0), (b, 0, a, 1), (a[:cut], 1, b, 0, a[cut:], 1), (b, 0, a, 1, b, 0))
+        for whole, shape in enumerate(shapes):
+            rows, marks = [], []
+            for run, mark in zip(shape[::2], shape[1::2]):
+                if len(run) and (mark == 0 or whole == 3):
+                    start = int(draw.integers(0, len(run)))
+                    run = run[start:start + int(draw.integers(1, len(run) + 1))]
+                rows.append(run)
+                marks += [mark] * len(run)
+            out.append((np.concatenate(rows)[:most], marks[:most]))
+    return out
+
+
+def _expected(x: np.ndarray, lengths: np.ndarray, weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected sums of features by mark and numbers of steps between marks, over texts side by side, padded to the longest."""
+    size, most = x.shape[:2]
     inside = np.arange(most) < lengths[:, None]
-    gold = np.array(marks)
-    linked = inside[:, 1:]
+    unary = x @ weights
+    forward, backward = np.zeros((most, size, 2)), np.zeros((most, size, 2))
+    forward[0] = unary[:, 0]
+    for t in range(1, most):
+        new = unary[:, t] + _sum_exp(forward[t - 1][:, :, None] + steps, 1)
+        forward[t] = np.where(inside[:, t, None], new, forward[t - 1])
+    z = _sum_exp(forward[-1], 1)
+    for t in range(most - 2, -1, -1):
+        new = _sum_exp(steps + (unary[:, t + 1] + backward[t + 1])[:, None, :], 2)
+        backward[t] = np.where(inside[:, t + 1, None], new, 0)
+    chance = np.exp(forward + backward - z[:, None]).transpose(1, 0, 2) * inside[:, :, None]
+    before, after = forward[:-1].transpose(1, 0, 2), (unary[:, 1:] + backward[1:].transpose(1, 0, 2))
+    pairs = np.exp(np.where(inside[:, 1:, None, None], before[:, :, :, None] + steps + after[:, :, None, :] - z[:, None, None, None], -np.inf))
+    return np.einsum("ntf,ntm->fm", x, chance), pairs.sum(axis=(0, 1))
+
+
+def fit(texts: list[np.ndarray], marks: list[list[int]], steps: int = STEPS) -> Field:
+    """Maximum likelihood of the lines' marks with a quadratic penalty, by Adam; texts of like length go side by side."""
+    groups: dict[int, list[int]] = {}
+    for k, rows in enumerate(texts):
+        groups.setdefault(len(rows).bit_length(), []).append(k)
+    padded = []
+    for at in groups.values():
+        lengths = np.array([len(texts[k]) for k in at])
+        x = np.zeros((len(at), lengths.max(), FEATURES))
+        for row, k in enumerate(at):
+            x[row, :len(texts[k])] = texts[k]
+        padded.append((x, lengths))
+    gold_x, gold_steps = np.zeros((FEATURES, 2)), np.zeros((2, 2))
+    for rows, own in zip(texts, marks):
+        np.add.at(gold_x.T, own, rows)
+        np.add.at(gold_steps, (own[:-1], own[1:]), 1)
+    total = sum(map(len, texts))
     parameters = np.zeros(FEATURES * 2 + 4)
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
-    gold_x = np.zeros((FEATURES, 2))
-    gold_step = np.zeros((2, 2))
-    for mark in (0, 1):
-        gold_x[:, mark] = x[gold == mark].sum(axis=(0, 1))
-        gold_step[mark, mark] = linked[gold == mark].sum()
-    total = inside.sum()
     for step in range(1, steps + 1):
-        weights, steps_matrix = parameters[:-4].reshape(FEATURES, 2), parameters[-4:].reshape(2, 2)
-        unary = x @ weights
-        forward, backward = np.zeros((most, size, 2)), np.zeros((most, size, 2))
-        forward[0] = unary[:, 0]
-        for t in range(1, most):
-            new = unary[:, t] + _sum_exp(forward[t - 1][:, :, None] + steps_matrix, 1)
-            forward[t] = np.where(inside[:, t, None], new, forward[t - 1])
-        z = _sum_exp(forward[-1], 1)
-        for t in range(most - 2, -1, -1):
-            new = _sum_exp(steps_matrix + (unary[:, t + 1] + backward[t + 1])[:, None, :], 2)
-            backward[t] = np.where(inside[:, t + 1, None], new, 0)
-        chance = np.exp(forward + backward - z[:, None]).transpose(1, 0, 2) * inside[:, :, None]
-        expected_x = np.einsum("ntf,ntm->fm", x, chance)
-        pair = np.exp(forward[:-1].transpose(1, 0, 2)[:, :, :, None] + steps_matrix + (unary[:, 1:] + backward[1:].transpose(1, 0, 2))[:, :, None, :]
-                      - z[:, None, None, None]) * linked[:, :, None, None] if most > 1 else np.zeros((size, 0, 2, 2))
-        slope = np.concatenate([(gold_x - expected_x).ravel(), (gold_step - pair.sum(axis=(0, 1))).ravel()]) / total - DECAY * parameters
+        weights, between = parameters[:-4].reshape(FEATURES, 2), parameters[-4:].reshape(2, 2)
+        found = [_expected(x, lengths, weights, between) for x, lengths in padded]
+        slope = np.concatenate([(gold_x - sum(f for f, _ in found)).ravel(), (gold_steps - sum(p for _, p in found)).ravel()]
+                               ) / total - DECAY * parameters
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope ** 2
         parameters = parameters + RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
     return Field(parameters[:-4].reshape(FEATURES, 2), parameters[-4:].reshape(2, 2))
 
 
+def fit_documents(good: list[np.ndarray], bad: list[np.ndarray], lines: int = SAMPLE_LINES) -> Field:
+    """A field from the line features of good and of bad documents, alone and joined."""
+    pairs = [(x, [mark] * len(x)) for mark, xs in ((0, bad), (1, good)) for x in xs] + seamed(good, bad, lines)
+    return fit([x for x, _ in pairs], [m for _, m in pairs])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
           sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Field | None:
     """A field from ``sample`` documents of each label, 0 and 1, with one to ``lines`` lines, taken by the hash of their
@@ -164,9 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 yield i, label, [v for row in found for v in row]
 
     found = sorted(map(tuple, map_rows(texts, "_id long, label int, features array<double>", features).collect()))
-    if {label for _, label, _ in found} != {0, 1}:
-        return None
-    return fit([np.array(x).reshape(-1, FEATURES).tolist() for _, _, x in found], [label for _, label, _ in found])
+    bad, good = ([np.array(x).reshape(-1, FEATURES) for _, own, x in found if own == label] for label in (0, 1))
+    return fit_documents(good, bad, lines) if good and bad else None
 
 
 def judged(text: str, field: Field | None) -> tuple:

@@ -133,6 +133,48 @@ def test_viterbi_is_the_best_path():
         assert tuple(field.decode(rows.tolist())) == max(itertools.product((0, 1), repeat=n), key=value)
 
 
+def test_expected_sums_are_those_of_all_paths():
+    r = np.random.default_rng(7)
+    lengths = np.array([1, 4, 3])
+    x = r.normal(size=(3, 4, quality_rules.FEATURES)) * (np.arange(4) < lengths[:, None])[:, :, None]
+    weights, steps = r.normal(size=(quality_rules.FEATURES, 2)), r.normal(size=(2, 2))
+    sums, pairs = np.zeros((quality_rules.FEATURES, 2)), np.zeros((2, 2))
+    for rows, n in zip(x, lengths):
+        paths = list(itertools.product((0, 1), repeat=int(n)))
+        chance = np.exp([sum(rows[k] @ weights[:, m] for k, m in enumerate(p)) + sum(steps[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+        for p, c in zip(paths, chance / chance.sum()):
+            for k, m in enumerate(p):
+                sums[:, m] += c * rows[k]
+            for a, b in itertools.pairwise(p):
+                pairs[a, b] += c
+    got = quality_rules._expected(x, lengths, weights, steps)
+    assert np.allclose(got[0], sums) and np.allclose(got[1], pairs)
+
+
+def test_seams_bear_the_marks_of_both_sides():
+    good, bad = ([np.full((n, quality_rules.FEATURES), mark) for n in sizes] for mark, sizes in ((1.0, [3, 1, 40]), (0.0, [2, 9])))
+    out = quality_rules.seamed(good, bad, 20)
+    assert len(out) == 12 and all(0 < len(x) == len(marks) <= 20 and (x[:, 0] == marks).all() for x, marks in out)
+    assert repr(out) == repr(quality_rules.seamed(good, bad, 20)) and sum(len(set(m)) == 2 for _, m in out) > 8
+
+
+def test_mixed_texts_get_mixed_marks(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    field = quality_rules.train(docs, labels.filter("doc_id % 2 = 0"))
+    rows = docs.join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("text IS NOT NULL").orderBy("doc_id").select("quality", "text").collect()
+    lines = {q: [[x for x in r.text.split("\n") if x.split()] for r in rows if r.quality == q] for q in (0, 1)}
+    right = total = mixed = 0
+    pairs = list(zip([x[:12] for x in lines[1] if len(x) >= 6], [x[:3] for x in lines[0] if x]))
+    for a, b in pairs:
+        for parts in ((a, 1, b, 0), (b, 0, a, 1)):
+            text, want = parts[0] + parts[2], [parts[1]] * len(parts[0]) + [parts[3]] * len(parts[2])
+            marks = field.decode(quality_rules.line_features("\n".join(text))[0])
+            right += sum(x == y for x, y in zip(marks, want))
+            total += len(want)
+            mixed += len(set(marks)) == 2 and 0 < quality_rules.judged("\n".join(text), field)[-1] < 1
+    assert len(pairs) > 100 and right > 0.95 * total and mixed > 0.85 * 2 * len(pairs)
+
+
 def test_odd_rows_are_judged(spark):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(None, "w " * 70), (3, "again " * 80), (3, "again " * 80), (20, "x " * 100000)]
     docs = spark.createDataFrame([(i, t, True, 1) for i, t in rows], "doc_id BIGINT, text STRING, kept BOOLEAN, quality INT")
@@ -154,6 +196,28 @@ def test_quality_of_unseen_documents(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
 
 
+def test_registered_quality_rules(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality_rules.train(docs, labels)
+
+    def kept(text):
+        found, sizes = quality_rules.line_features(text or "")
+        marks = max_path(field, found)
+        return sum(s for s, m in zip(sizes, marks) if m) >= quality_rules.CONTENT * sum(sizes)
+
+    want = sorted((r.doc_id, *plain_counts(r.text), not plain_counts(r.text)[-1] and kept(r.text)) for r in docs.collect())
+    assert sorted(tuple(r[:8]) for r in queries.op6_quality_rules(spark, FOLDER).collect()) == want
+
+
+def max_path(field, found):
+    """Marks of the best path, by best scores of all beginnings."""
+    best = {(): 0.0}
+    for k, row in enumerate(found):
+        longer = {(*p, m): v + np.dot(row, field.weights[:, m]) + (field.steps[p[-1], m] if p else 0) for p, v in best.items() for m in (0, 1)}
+        best = {p: longer[p] for m in (0, 1) for p in [max((q for q in longer if q[-1] == m), key=longer.get)]}
+    return max(best, key=best.get)
+
+
 @pytest.mark.parametrize("expression, labels, score", [
     ("mit", {"mit"}, 1.0), ("mit and gpl-2.0-only", {"mit", "gpl"}, 0.3), ("mit or gpl-2.0-only", {"mit", "gpl"}, 1.0),
     ("gpl-3.0+ with classpath-exception-2.0", {"gpl"}, 0.5), ("mit or gpl-2.0 and agpl-3.0", {"mit", "gpl", "agpl"}, 1.0),
