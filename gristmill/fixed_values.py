@@ -181,7 +181,16 @@ FAMILY_SKILLS = {
     "Data Scientist": ["Python", "Pandas", "SQL", "Statistical Modeling", "A/B Testing"],
 }
 
-# Entities resolved with built-in functions (our choice), ampersand last so
+# Tags whose content is no part of a page's text.
+DROPPED_TAGS = ["script", "style", "noscript", "nav", "footer", "header"]
+
+# Regions of a page that may hold the description, as (tag or *, attribute, value).
+DESCRIPTION_REGIONS = [
+    ("*", "data-test", "job-description"), ("*", "data-test", "jobDescription"), ("section", "class", "description"),
+    ("div", "class", "description"), ("div", "class", "job-details"), ("article", "", ""), ("main", "", ""), ("body", "", ""),
+]
+
+# Not a fixed value but our choice: entities resolved with built-in functions, ampersand last so
 # that an escaped entity is resolved only one level. Others use the UDF.
 NATIVE_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),

@@ -28,7 +28,7 @@ _RARE_ENTITY = r"&(?:#|[A-Za-z][A-Za-z0-9]|[A-Za-z];)"
 _UNCOMMON_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in fv.NATIVE_ENTITIES) + ");)(?:#|[A-Za-z][A-Za-z0-9]|[A-Za-z];)"
 _LEFT_OVER_TAG = r"<[A-Za-z/!?]"
 
-DROPPED = ("script", "style", "noscript", "nav", "footer", "header")
+_DROPPED = "|".join(fv.DROPPED_TAGS)
 SILENT = ("script", "style", "template")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -97,27 +97,19 @@ def _text_by_parser(values: pd.Series) -> pd.Series:
 
 
 def _description_regions(tag, attrs):
-    css, test = (attrs.get("class") or "").lower(), attrs.get("data-test")
-    found = []
-    if test == "job-description":
-        found.append(0)
-    if test == "jobDescription":
-        found.append(1)
-    if tag == "section" and "description" in css:
-        found.append(2)
-    if tag == "div" and "description" in css:
-        found.append(3)
-    if tag == "div" and "job-details" in css:
-        found.append(4)
-    if tag in ("article", "main", "body"):
-        found.append(("article", "main", "body").index(tag) + 5)
-    return found
+    """Places in DESCRIPTION_REGIONS of the regions that an element opens. A class holds the value somewhere, in any case."""
+    def holds(attribute, value):
+        own = attrs.get(attribute) or ""
+        return value in own.lower() if attribute == "class" else own == value
+
+    return [k for k, (wanted, attribute, value) in enumerate(fv.DESCRIPTION_REGIONS)
+            if wanted in ("*", tag) and (not attribute or holds(attribute, value))]
 
 
 @F.pandas_udf(StringType())
 def _longest_region_by_parser(values: pd.Series) -> pd.Series:
     def convert(value):
-        regions = _read(value, DROPPED, _description_regions).regions
+        regions = _read(value, fv.DROPPED_TAGS, _description_regions).regions
         texts = [_words(parts) for _, parts in sorted(regions, key=lambda r: r[0])]
         return max(texts, key=len, default="")
 
@@ -181,7 +173,7 @@ def with_text(rows: DataFrame, out: str, value: Column) -> DataFrame:
 
 def _drop_regions(html: Column) -> Column:
     html = F.regexp_replace(html, _COMMENT, " ")
-    return F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer|header)\b[^>]*>.*?</\1\s*>", " ")
+    return F.regexp_replace(html, rf"(?is)<({_DROPPED})\b[^>]*>.*?</\1\s*>", " ")
 
 
 def _native_page(html: Column) -> Column:
@@ -191,7 +183,7 @@ def _native_page(html: Column) -> Column:
         body = F.regexp_extract(kept, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
         title = F.coalesce(_some(_meta_title(kept)), _some(_element(kept, "h1")), _some(_element(kept, "title")), F.lit("Unknown"))
         return _let(strip_tags(body), lambda bare: F.struct(
-            (~kept.rlike(r"(?i)<body\b") | kept.rlike(r"(?i)</?(?:script|style|noscript|nav|footer|header)\b")
+            (~kept.rlike(r"(?i)<body\b") | kept.rlike(rf"(?i)</?(?:{_DROPPED})\b")
              | bare.rlike(_LEFT_OVER_TAG) | bare.rlike(_UNCOMMON_ENTITY)).alias("hard"),
             clean_text(unescape_common(bare)).alias("text"), title.alias("title"),
             clean_text(_meta(kept, "property", "og:site_name")).alias("site")))

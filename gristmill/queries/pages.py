@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gristmill import fixed_values as fv
 from gristmill.functions import html as H
 from gristmill.functions import urls as U
 from gristmill.operators import best_description as BD
@@ -32,7 +33,7 @@ def text_sql(markup: str) -> str:
 
 def body_sql(html: str) -> str:
     kept = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("script", "style", "noscript", "nav", "footer", "header"):
+    for tag in fv.DROPPED_TAGS:
         kept = f"regexp_replace({kept}, '(?s)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
     return text_sql(f"regexp_extract({kept}, '(?s)<body[^>]*>(.*?)(?:</body>|\\z)', 1)")
 
