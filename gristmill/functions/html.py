@@ -5,8 +5,10 @@ tags, pages without a body) go through one Arrow UDF on the standard-library par
 other rows the UDF input is NULL, so their text never leaves the JVM.
 """
 
+import re
 import sys
 from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -85,15 +87,29 @@ def _words(parts):
     return " ".join(" ".join(parts).split())
 
 
+_AMPERSAND = re.compile(r"&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|([A-Za-z][A-Za-z0-9]*;))?")
+
+
+def _only_ended(text):
+    """Escapes every ampersand that begins no whole reference, so that it stays when references are resolved."""
+    return _AMPERSAND.sub(lambda m: "&amp;" + m[0][1:] if m[0] == "&" or m[1] and m[1] not in html5 else m[0], text)
+
+
+def _text_of(value, guard):
+    text = unescape(guard(value))
+    if "<" in text and ">" in text:
+        return _words(_read(guard(text)).whole)
+    return " ".join(text.split())
+
+
 @F.pandas_udf(StringType())
 def _text_by_parser(values: pd.Series) -> pd.Series:
-    def convert(value):
-        text = unescape(value)
-        if "<" in text and ">" in text:
-            return _words(_read(text).whole)
-        return " ".join(text.split())
+    return values.map(lambda value: _text_of(value, str), na_action="ignore")
 
-    return values.map(convert, na_action="ignore")
+
+@F.pandas_udf(StringType())
+def _ended_text_by_parser(values: pd.Series) -> pd.Series:
+    return values.map(lambda value: _text_of(value, _only_ended), na_action="ignore")
 
 
 def _description_regions(tag, attrs):
@@ -106,14 +122,20 @@ def _description_regions(tag, attrs):
             if wanted in ("*", tag) and (not attribute or holds(attribute, value))]
 
 
+def _longest_region(value):
+    regions = _read(value, fv.DROPPED_TAGS, _description_regions).regions
+    texts = [_words(parts) for _, parts in sorted(regions, key=lambda r: r[0])]
+    return max(texts, key=len, default="")
+
+
 @F.pandas_udf(StringType())
 def _longest_region_by_parser(values: pd.Series) -> pd.Series:
-    def convert(value):
-        regions = _read(value, fv.DROPPED_TAGS, _description_regions).regions
-        texts = [_words(parts) for _, parts in sorted(regions, key=lambda r: r[0])]
-        return max(texts, key=len, default="")
+    return values.map(_longest_region, na_action="ignore")
+
 
-    return values.map(convert, na_action="ignore")
+@F.pandas_udf(StringType())
+def _longest_ended_region_by_parser(values: pd.Series) -> pd.Series:
+    return values.map(lambda value: _longest_region(_only_ended(value)), na_action="ignore")
 
 
 def _let(value: Column, body) -> Column:
@@ -166,9 +188,10 @@ def _settle(rows: DataFrame, out: str, value: Column, native: Column, parser, **
         **{name: F.col(f"_native.{field}") for name, field in extra.items()}}).drop("_value", "_native")
 
 
-def with_text(rows: DataFrame, out: str, value: Column) -> DataFrame:
-    """Adds the text of an HTML value: unescape, strip tags if any, collapse blanks; NULL gives ''."""
-    return _settle(rows, out, value, _native_text(value), _text_by_parser)
+def with_text(rows: DataFrame, out: str, value: Column, ended_only: bool = False) -> DataFrame:
+    """Adds the text of an HTML value: unescape, strip tags if any, collapse blanks; NULL gives ''. References
+    count without their semicolon as well, as browsers read them, unless ``ended_only`` leaves those as text."""
+    return _settle(rows, out, value, _native_text(value), _ended_text_by_parser if ended_only else _text_by_parser)
 
 
 def _drop_regions(html: Column) -> Column:
@@ -191,13 +214,14 @@ def _native_page(html: Column) -> Column:
     return _let(_drop_regions(html), settled)
 
 
-def with_generic_page(rows: DataFrame, html: Column, text: str, title: str, site: str) -> DataFrame:
+def with_generic_page(rows: DataFrame, html: Column, text: str, title: str, site: str, ended_only: bool = False) -> DataFrame:
     """Adds the longest text among the description regions, the title (og:title, twitter:title,
     first h1 outside dropped regions, <title>, Unknown) and the site name ('' if none). A body contains
     all the regions, so its text is the answer whenever there is one; only pages without a clean body
-    are parsed. A NULL page gives NULLs."""
+    are parsed. A NULL page gives NULLs. ``ended_only`` as in ``with_text``."""
     native = F.when(html.isNotNull(), _native_page(html))
-    return _settle(rows, text, html, native, _longest_region_by_parser, **{title: "title", site: "site"})
+    parser = _longest_ended_region_by_parser if ended_only else _longest_region_by_parser
+    return _settle(rows, text, html, native, parser, **{title: "title", site: "site"})
 
 
 def _meta(html: Column, attribute: str, name: str) -> Column:

@@ -25,6 +25,13 @@ def test_native_and_parser_agree(rows):
     assert texts(rows, *pages) == parsed
 
 
+def test_references_without_a_semicolon_can_stay(rows):
+    cases = {"<p>a&amp</p>": "a&amp", "a&amp": "a&amp", "<p>&copying &notit; &#65 &#x42;&#67;</p>": "&copying &notit; &#65 BC", "<p>&amp;amp; &eacute;&zeta;</p>": "& éζ",
+             "&lt;b&gt;x & y&lt;/b&gt;&lt": "x & y &lt", "<p>R&D</p>": "R&D"}
+    df = rows("i INT, t STRING", *enumerate(cases))
+    assert [r.v for r in H.with_text(df, "v", F.col("t"), ended_only=True).orderBy("i").collect()] == list(cases.values())
+
+
 def generic(rows, *pages):
     df = rows("i INT, url STRING, html STRING", *[(i, "u", p) for i, p in enumerate(pages)])
     return [r.p for r in BD.with_generic_posting(df, "html", "p").orderBy("i").collect()]
