@@ -7,6 +7,8 @@ next are read, so no parser meets a page whose posting is known. What a rung fin
 cut off in the checkpoint folder; documents are read where they lie.
 """
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ def json_ld_postings(pages: DataFrame) -> DataFrame:
     return made.groupBy("url").agg(F.min_by("posting", "pos").alias("posting"))
 
 
-def with_generic_posting(pages: DataFrame, html: str, out: str) -> DataFrame:
-    """Adds the generic posting of a page, NULL when its longest region is too short."""
-    described = H.with_generic_page(pages, F.col(html), "_text", "_title", "_site")
+def with_generic_posting(pages: DataFrame, html: str, out: str, ended_only: bool = False) -> DataFrame:
+    """Adds the generic posting of a page, NULL when its longest region is too short. ``ended_only`` as in ``with_text``."""
+    described = H.with_generic_page(pages, F.col(html), "_text", "_title", "_site", ended_only)
     made = posting(F.col("_title"), F.col("_site"), F.col("url"), F.col("_text"), "generic", F.lit("Unknown"))
     return described.withColumn(out, F.when(F.length("_text") >= fv.MIN_DESCRIPTION, made)).drop("_text", "_title", "_site")
 
@@ -85,10 +87,10 @@ def documents_of(pages: DataFrame, page: str, frame: str) -> DataFrame:
     return pages.select("url", slots).filter(F.col("html").isNotNull())
 
 
-def page_postings(documents: DataFrame) -> DataFrame:
+def page_postings(documents: DataFrame, ended_only: bool = False) -> DataFrame:
     """(url, posting) of pages: JSON-LD, then the frame's JSON-LD, the frame's generic text, and the page's generic text. Each
     document is read once for both kinds; documents are never shuffled, only postings are."""
-    read = with_generic_posting(documents.withColumn("_items", json_ld_items(F.col("html"))), "html", "_generic")
+    read = with_generic_posting(documents.withColumn("_items", json_ld_items(F.col("html"))), "html", "_generic", ended_only)
     items = read.select("url", "slot", "_generic", F.posexplode_outer("_items").alias("pos", "item"))
     found = _with_json_ld(items, "_ld").select("url", "slot", "_generic", "pos", "_ld")
 
@@ -113,23 +115,25 @@ def is_full(p: Column) -> Column:
     return _length(p) >= fv.FULL_DESCRIPTION
 
 
-def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+def best_descriptions(pages: DataFrame, details: DataFrame, boards: DataFrame, responses: DataFrame | None = None,
+                      ended_only: bool = False) -> DataFrame:
     """The posting chosen per url, with its fields as columns; urls without any are left out.
 
     Order: board record, careers record, embedded board (own url kept), page text if full, the longer
     of page and rendered page and rendered text, extraction response, whatever remains.
-    `responses` has url, text. A url's documents are parsed only if the rungs before left it open; links of
+    `responses` has url, text. With `ended_only`, generic text keeps references without a semicolon as they are. A url's documents are parsed only if the rungs before left it open; links of
     all pages are looked up at once.
     """
+    read = partial(page_postings, ended_only=True) if ended_only else page_postings
     careers = D.careers(D.requested(pages), details).withColumnRenamed("posting", "_careers")
     looked_up = cut_lineage(_board_lookups(pages, details, boards).join(careers, "url", "full_outer"))
     by_board = looked_up.select("url", F.coalesce("_api", "_careers", "_embedded").alias("posting")).filter(F.col("posting").isNotNull())
 
-    by_page = cut_lineage(page_postings(documents_of(without(pages.select("url", "html", "iframe_html"), by_board), "html", "iframe_html")))
+    by_page = cut_lineage(read(documents_of(without(pages.select("url", "html", "iframe_html"), by_board), "html", "iframe_html")))
     full = by_page.filter(is_full(F.col("posting")))
 
     rendered = without(pages.select("url", "rendered_html", "rendered_iframe_html", "rendered_text"), by_board, full)
-    by_rendered = page_postings(documents_of(rendered, "rendered_html", "rendered_iframe_html")).withColumnRenamed("posting", "_rendered")
+    by_rendered = read(documents_of(rendered, "rendered_html", "rendered_iframe_html")).withColumnRenamed("posting", "_rendered")
     rows = rendered.select("url", F.col("rendered_html").isNotNull().alias("_is_rendered"), text_posting(F.col("rendered_text"), F.col("url")).alias("_text"),
                            F.coalesce(F.col("rendered_text") != "", F.lit(False)).alias("_asked"))
     rows = rows.join(by_page.withColumnRenamed("posting", "_page"), "url", "left").join(by_rendered, "url", "left").join(

@@ -32,6 +32,14 @@ def test_references_without_a_semicolon_can_stay(rows):
     assert [r.v for r in H.with_text(df, "v", F.col("t"), ended_only=True).orderBy("i").collect()] == list(cases.values())
 
 
+def test_generic_text_keeps_references_without_a_semicolon(rows):
+    long = "word " * 30
+    page = f"<body><p>{long}a&amp</p>&zeta;</body>"
+    df = rows("i INT, url STRING, html STRING", (0, "u", page))
+    read = lambda ended: BD.with_generic_posting(df, "html", "p", ended).first().p.description
+    assert (read(True), read(False)) == (long + "a&amp ζ", long + "a& ζ")
+
+
 def generic(rows, *pages):
     df = rows("i INT, url STRING, html STRING", *[(i, "u", p) for i, p in enumerate(pages)])
     return [r.p for r in BD.with_generic_posting(df, "html", "p").orderBy("i").collect()]
