@@ -166,3 +166,32 @@ def test_recall_summary_golden(rows):
               *[("a", 1.0, 30, 1 / 3)] * 105, *[("b", 0.8, 30, 1 / 3)] * 45)
     s = R.recall_summary(df).first()
     assert (round(s.recall_mean, 3), s.recall_min, s.recall_max, s.perfect_docs, round(s.bigram_share_mean, 3)) == (0.94, 0.8, 1.0, 105, 0.333)
+
+
+def test_token_pairs_by_block_are_summed_whole_and_never_shuffled(rows, monkeypatch):
+    """Common and rare tokens in many blocks, texts in many chunks, and more pairs of a token than are summed at a time."""
+    for name, value in {"COMMON": 5, "BLOCK_TOKENS": 12, "RARE": 90, "STRIPE": 3, "PIECE": 1 / 64}.items():
+        monkeypatch.setattr(S, name, value)
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices([f"tok{k}" for k in range(30)], k=rnd.randint(0, 20)) + [f"rare{rnd.randint(0, 60)}" for _ in range(4)]) for _ in range(50)]
+    df = rows("i INT, t STRING", *enumerate(texts)).repartition(5)
+    kept = S._keep(df, "t")
+    sums = S._sums(kept)
+    got, sims = sums.first(), brute_cosines(texts)
+    assert len(kept.common) > 24 and kept.n_rare > 90
+    assert [got.s1, got.s2] == pytest.approx([sum(sims), sum(x * x for x in sims)], rel=1e-12)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan
+
+
+def test_route_of_texts_is_left_to_few_blocks(rows, monkeypatch):
+    """More texts than MOST_BLOCKS blocks are not copied once per block."""
+    monkeypatch.setattr(S, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(S, "_totals", None)
+    texts = ["alpha beta", "beta gamma", "gamma delta", "alpha", "alpha beta"]
+    df = rows("i INT, t STRING", *enumerate(texts))
+    sims = brute_cosines(texts)
+    got = S.pairwise_cosine_stats(df, "t", S.TEXTS, block_texts=2).first()
+    assert [got.cosine_mean, got.cosine_min, got.cosine_max] == pytest.approx([sum(sims) / 10, 0.0, 1.0], abs=1e-12)
+    moments = S.cosine_moments(df, "t", S.TEXTS, 2).first()
+    assert moments.n_pairs == 10 and moments.cosine_stdev == pytest.approx(got.cosine_stdev, abs=1e-12)
