@@ -13,12 +13,14 @@ from pyspark.sql.window import Window
 
 from gristmill import fixed_values as fv
 from gristmill.functions.text import keyword_words, token_rows
+from gristmill.session import pieces
 
 
 def by_document(docs: DataFrame, doc_id: str, *columns: str, placed: bool = False) -> DataFrame:
-    """The columns needed, hash-placed by document id. `placed` says the input is placed already."""
+    """The columns needed, hash-placed by document id in pieces small enough to be worked on in memory. `placed` says the
+    input is placed already."""
     slim = docs.select(doc_id, *columns)
-    return slim if placed else slim.repartition(doc_id)
+    return slim if placed else slim.repartition(pieces(docs), doc_id)
 
 
 def gram_counts(docs: DataFrame, doc_id: str, text: str, stopwords: Sequence[str] = fv.KEYWORD_STOPWORDS,

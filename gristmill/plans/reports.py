@@ -9,7 +9,7 @@ from gristmill.operators import recall as R
 from gristmill.operators import similarity as S
 from gristmill.operators import stats as ST
 from gristmill.operators.dedup import dedup_by_posting
-from gristmill.operators.keywords import keyword_lists
+from gristmill.operators.keywords import by_document, keyword_lists
 from gristmill.operators.limits import one_row
 
 
@@ -60,7 +60,7 @@ def statistics_report(log: DataFrame) -> DataFrame:
 def recall_report(docs: DataFrame, skills: DataFrame, doc_id: str = "id", text: str = "description",
                   top_n: int = fv.KEYWORDS_PER_TEXT) -> DataFrame:
     """K3: one row with corpus size, family counts, keyword statistics and recall, overall and by family, rounded as the report shows them."""
-    placed = docs.select(doc_id, "role_family", text).repartition(doc_id)
+    placed = by_document(docs, doc_id, "role_family", text)
     rows = R.recall_rows(placed, keyword_lists(placed, doc_id, text, top_n, placed=True), skills, doc_id)
     places = {"keywords_mean": 2, "bigram_share_mean": 3, "recall_mean": 3, "recall_min": 3, "recall_max": 3}
 

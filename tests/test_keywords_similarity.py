@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -12,6 +13,8 @@ from gristmill import fixed_values as fv
 from gristmill.operators import keywords as K
 from gristmill.operators import recall as R
 from gristmill.operators import similarity as S
+from gristmill.plans import reports as RP
+from gristmill import session
 
 
 def lists(rows, *texts, top_n=20):
@@ -195,3 +198,19 @@ def test_route_of_texts_is_left_to_few_blocks(rows, monkeypatch):
     assert [got.cosine_mean, got.cosine_min, got.cosine_max] == pytest.approx([sum(sims) / 10, 0.0, 1.0], abs=1e-12)
     moments = S.cosine_moments(df, "t", S.TEXTS, 2).first()
     assert moments.n_pairs == 10 and moments.cosine_stdev == pytest.approx(got.cosine_stdev, abs=1e-12)
+
+
+@pytest.mark.parametrize("made", [
+    lambda d: K.top_keywords(d, "i", "t"), lambda d: K.keyword_lists(d, "i", "t"), lambda d: K.term_frequencies(d, "i", "t"),
+    lambda d: S.unit_weights(K.term_frequencies(d, "i", "t"), "i"),
+    lambda d: RP.recall_report(d.withColumn("role_family", F.lit("f")), d.sparkSession.createDataFrame([("f", ["x"])], "role_family STRING, skills ARRAY<STRING>"), "i", "t"),
+])
+def test_pieces_grow_in_number_not_in_size(rows, tmp_path, monkeypatch, made):
+    """Words are counted in pieces of a bounded size, whose number adaptive coalescing does not lower."""
+    rows("i INT, t STRING", *[(i, f"alpha beta gamma{i}") for i in range(2000)]).coalesce(1).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(session, "PIECE_BYTES", 500)
+    docs = rows("i INT, t STRING").sparkSession.read.parquet(str(tmp_path / "d"))
+    n = session.pieces(docs)
+    assert 8 < n < 1000
+    assert "REPARTITION_BY_NUM" in (plan := made(docs)._jdf.queryExecution().executedPlan().toString())
+    assert max(int(x) for x in re.findall(r"hashpartitioning\(i#\d+, (\d+)\), REPARTITION_BY_NUM", plan)) > 8
