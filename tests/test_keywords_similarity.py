@@ -187,6 +187,20 @@ def test_token_pairs_by_block_are_summed_whole_and_never_shuffled(rows, monkeypa
     assert "hashpartitioning" not in plan and "Join" not in plan
 
 
+def test_each_pair_of_blocks_of_tokens_is_a_task(rows, monkeypatch):
+    """Not all pairs of blocks in one."""
+    for name, value in {"COMMON": 2, "BLOCK_TOKENS": 4, "RARE": 20}.items():
+        monkeypatch.setattr(S, name, value)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices([f"tok{k}" for k in range(16)], k=12)) + f" own{i}" for i in range(40)]
+    kept = S._keep(rows("i INT, t STRING", *enumerate(texts)), "t")
+    tiles = S._tiles(kept)
+    n_blocks = len(S._dealt(kept.df)[2]) + 2
+    assert n_blocks == 6 and tiles.rdd.getNumPartitions() >= n_blocks * (n_blocks + 1) // 2
+    q = tiles.agg(F.sum("q")).first()[0]
+    assert (q - len(texts)) / 2 == pytest.approx(sum(x * x for x in brute_cosines(texts)), rel=1e-12)
+
+
 def test_route_of_texts_is_left_to_few_blocks(rows, monkeypatch):
     """More texts than MOST_BLOCKS blocks are not copied once per block."""
     monkeypatch.setattr(S, "MOST_BLOCKS", 2)
