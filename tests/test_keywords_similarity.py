@@ -189,7 +189,7 @@ def test_token_pairs_by_block_are_summed_whole_and_never_shuffled(rows, monkeypa
 
 def test_each_pair_of_blocks_of_tokens_is_a_task(rows, monkeypatch):
     """Not all pairs of blocks in one."""
-    for name, value in {"COMMON": 2, "BLOCK_TOKENS": 4, "RARE": 20}.items():
+    for name, value in {"COMMON": 2, "BLOCK_TOKENS": 4, "RARE": 20, "PART": 30}.items():
         monkeypatch.setattr(S, name, value)
     rnd = random.Random(5)
     texts = [" ".join(rnd.choices([f"tok{k}" for k in range(16)], k=12)) + f" own{i}" for i in range(40)]
